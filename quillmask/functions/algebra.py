@@ -22,6 +22,11 @@ def _by_type(spans: str) -> str:
     return f"sort_array(transform({spans}, k -> {key}))"
 
 
+def _lone_types(spans: str) -> str:
+    """True if no two spans share a type, the usual case for short cells."""
+    return f"size(array_distinct(transform({spans}, k -> k.entity_type))) = size({spans})"
+
+
 def _hull(k: str) -> str:
     """A span from its sort key."""
     return struct(entity_type=f"{k}.entity_type", start=f"{k}.start", end=f"-{k}.back", score=f"-{k}.rank")
@@ -65,7 +70,7 @@ def drop_contained(spans: str) -> str:
         return after, f"if({inside}, {empty(SPANS)}, array({row}))"
 
     zero = struct(entity_type="''", seen=empty(frontier))
-    return f"if(size({spans}) <= 1, {spans}, {scan(_by_type(spans), zero, SPANS, step)})"
+    return f"if({_lone_types(spans)}, {spans}, {scan(_by_type(spans), zero, SPANS, step)})"
 
 
 def drop_allowed(spans: str, allow_list) -> str:
@@ -100,7 +105,7 @@ def merge_overlaps(spans: str) -> str:
         _by_type(spans),
         scan("slice(ks, 2, size(ks))", _hull("get(ks, 0)"), HULLS, step, lambda st: f"array({st})"),
     )
-    return f"if(size({spans}) <= 1, {hulls(spans)}, {merged})"
+    return f"if({_lone_types(spans)}, {hulls(spans)}, {merged})"
 
 
 def resolve_conflicts(merged: str) -> str:

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 from quillmask.catalogue import CONTEXT_WORDS_BEFORE, WORD
 from quillmask.functions.spans import NEAR
-from quillmask.functions.sql import let, regex
+from quillmask.functions.sql import let, regex, text as text_literal
 
 _FAR = 4000
 
 
-@lru_cache(maxsize=None)
-def telling_word_pattern(stopwords: tuple[str, ...]) -> str:
-    """A whole word token that is no stopword."""
-    if not stopwords:
-        return WORD
-    w = WORD[1:-2]
-    return rf"(?<![{w}])(?!(?:{'|'.join(map(re.escape, stopwords))})(?![{w}])){WORD}"
-
-
 def telling_words(text: str, stopwords) -> str:
     """Lower-case word tokens that are no stopwords."""
-    return f"regexp_extract_all(lower({text}), {regex(telling_word_pattern(tuple(stopwords)))}, 0)"
+    words = f"regexp_extract_all(lower({text}), {regex(WORD)}, 0)"
+    if not stopwords:
+        return words
+    return f"filter({words}, v -> v not in ({', '.join(map(text_literal, stopwords))}))"
 
 
 def context_of(text: str, match: str, stopwords) -> str:

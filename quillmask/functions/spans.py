@@ -7,7 +7,7 @@ from quillmask.functions.sql import empty, let, regex, struct
 
 # Text kept before each match for the context check; longer look-backs are only
 # taken when these characters hold too few words.
-NEAR = 200
+NEAR = 120
 
 INTERVALS = "array<struct<start:int,end:int>>"
 MATCHES = "array<struct<start:int,end:int,text:string,lead:string>>"

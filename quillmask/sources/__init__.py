@@ -1 +1 @@
-"""."""
+"""Reading tables, numbering rows and writing the outputs."""

@@ -1 +1 @@
-"""."""
+"""Anonymisation of streams."""
