@@ -391,12 +391,13 @@ def stream_anonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections per hour over a stream of event messages; only closed windows are out."""
-    messages = stream_of(spark, sf_dir, "events").selectExpr("ts", f"{EVENT_MESSAGE_SQL} AS message")
+    messages = stream_of(spark, sf_dir, "events").selectExpr("cast(ts AS timestamp) AS ts", f"{EVENT_MESSAGE_SQL} AS message")
     result = anonymise(messages, key="ts", threshold=0.45)
     out = shared_folder(spark)
     counts = detection_counts(result, "ts", "1 hour", "2 hours")
     write_stream(counts, f"{out}/data", f"{out}/checkpoint", available_now=True).awaitTermination()
-    return spark.read.parquet(f"{out}/data").drop("window_end")
+    starts = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return spark.read.parquet(f"{out}/data").select(starts, "entity_type", "detections")
 
 
 QUERIES: dict[str, Query] = {
