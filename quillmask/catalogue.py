@@ -247,6 +247,8 @@ _FOUR_DIGITS = r"\d{4}"
 _SIX_DIGITS = r"\d{2}\s?\d{2}\s?\d{2}"
 _NINE_DIGITS = r"\d(?:[\s\-]?\d){8}"
 _DIGIT_LETTERS = r"\d\p{L}{2}"
+# Written out with the letters that fold to these, as plain classes scan fastest.
+_TITLE_START = r"[Mm](?:[Rr][Ssſ]?|[Ssſ]|[Xx]|[Iiıİ][Ssſ]{2})\.?[ \t]"
 _DATE_DIGITS = r"\d[-/.]\d{1,2}[-/.]\d"
 
 DETECTORS = (
@@ -263,7 +265,7 @@ DETECTORS = (
     Detector("code_labelled", "ACCESS_CODE", CODE_LABELLED, 0.85, CODE_CONTEXT, needs=_FOUR_DIGITS),
     Detector("code_bare", "ACCESS_CODE", CODE_BARE, 0.25, CODE_CONTEXT, needs=_FOUR_DIGITS),
     Detector("name_label", "PERSON", NAME_LABEL, 0.90, NAME_LABEL_CONTEXT, needs_text=": "),
-    Detector("title_name", "PERSON", TITLE_NAME, 0.75),
+    Detector("title_name", "PERSON", TITLE_NAME, 0.75, needs=_TITLE_START),
     Detector("email", "EMAIL_ADDRESS", EMAIL, 1.0, EMAIL_CONTEXT, needs_text="@"),
     Detector("date_iso", "DATE_TIME", DATE_ISO, 0.6, DATE_CONTEXT, needs=_DATE_DIGITS),
     Detector("date_numeric", "DATE_TIME", DATE_NUMERIC, 0.6, DATE_CONTEXT, needs=_DATE_DIGITS),
@@ -298,7 +300,9 @@ RESIDUAL_PATTERNS = (
     ResidualPattern("POSSIBLE_UK_PHONE", UK_LANDLINE, needs=_NINE_DIGITS, covered_by="uk_landline"),
     ResidualPattern("POSSIBLE_NINO", UK_NINO_STRICT, needs=_SIX_DIGITS, covered_by="nino_strict"),
     ResidualPattern("LONG_DIGIT_SEQUENCE", LONG_DIGITS, needs=_FOUR_DIGITS),
-    ResidualPattern("POSSIBLE_PERSON_TITLE", TITLE_NAME, ignore_case=False, covered_by="title_name"),
+    ResidualPattern(
+        "POSSIBLE_PERSON_TITLE", TITLE_NAME, ignore_case=False, needs=_TITLE_START, covered_by="title_name"
+    ),
     ResidualPattern("POSSIBLE_NAME_LABEL", NAME_LABEL, ignore_case=False, needs_text="Name: "),
 )
 

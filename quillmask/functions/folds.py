@@ -33,12 +33,13 @@ def scan(
     """
     next_state, emitted = step("acc.state", "x")
     one = f"(acc, x) -> {struct(state=next_state, out=f'concat(acc.out, {emitted})')}"
+
+    def close(acc: str) -> str:
+        return f"{acc}.out" if finish is None else f"concat({acc}.out, {finish(f'{acc}.state')})"
+
+    zero = struct(state=state, out=empty(out_type))
+    short = f"aggregate(it, {zero}, {one}, acc -> {close('acc')})"
     inner = f"aggregate(block, {struct(state='big.state', out=empty(out_type))}, {one})"
     many = let("r", inner, struct(state="r.state", out="concat(big.out, r.out)"))
-    last = "big.out" if finish is None else f"concat(big.out, {finish('big.state')})"
-    return let(
-        "it",
-        items,
-        f"aggregate({blocks('it')}, {struct(state=state, out=empty(out_type))}, "
-        f"(big, block) -> {many}, big -> {last})",
-    )
+    long = f"aggregate({blocks('it')}, {zero}, (big, block) -> {many}, big -> {close('big')})"
+    return let("it", items, f"if(size(it) <= {BLOCK}, {short}, {long})")

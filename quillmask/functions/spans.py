@@ -20,7 +20,11 @@ def found(text: str, java_pattern: str) -> str:
 
 def between(text: str, java_pattern: str) -> str:
     """Texts around the matches, one more than there are matches."""
-    return f"split({text}, {regex(java_pattern)}, -1)"
+    # Splitting at a regex compiles it per row; replacing does not, and splitting
+    # at one plain character is cheap. Texts that hold that character take the
+    # first way.
+    marked = f"split(regexp_replace({text}, {regex(java_pattern)}, chr(0)), chr(0), -1)"
+    return f"if(contains({text}, chr(0)), split({text}, {regex(java_pattern)}, -1), {marked})"
 
 
 def place(found_texts: str, texts_between: str) -> str:

@@ -23,10 +23,10 @@ from quillmask.catalogue import (
 )
 from quillmask.functions import algebra
 from quillmask.functions.redaction import splice
-from quillmask.functions.sql import name
+from quillmask.functions.sql import name, regex
 from quillmask.operators import reports
 from quillmask.operators.columns import as_text, check_selection, output_names, text_columns
-from quillmask.operators.detection import candidates, guard, guard_patterns, pattern_hits
+from quillmask.operators.detection import HAS_DIGIT, candidates, guard, guard_patterns, pattern_hits
 from quillmask.operators.names import missed_names
 from quillmask.operators.residual import residual_findings
 
@@ -141,8 +141,9 @@ def anonymise(
         return frame.withColumns({getattr(c, step): F.expr(expression(c)) for c in cells})
 
     wide = df.withColumns({c.text: as_text(F.col(name(c.source))) for c in cells})
+    wide = add(wide, "digit", lambda c: f"{c.text} rlike {regex(HAS_DIGIT)}")
     wide = wide.withColumns(
-        {column: F.expr(guard(c.text, g)) for c in cells for g, column in has(c).items()}
+        {column: F.expr(guard(c.text, g, c.digit)) for c in cells for g, column in has(c).items()}
     )
     if on:
         wide = add(wide, "hits", lambda c: pattern_hits(c.text, on, has(c)))

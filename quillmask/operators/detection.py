@@ -18,10 +18,17 @@ def guard_patterns(patterns: Iterable) -> list[str]:
     return sorted({p.needs for p in patterns if p.needs is not None})
 
 
-def guard(text: str, needs: str) -> str:
-    """Cheap necessary condition; the digit test comes first as it settles most cells."""
-    digit = f"{text} rlike {regex('(?U)' + DIGIT)}"
-    return f"({digit})" if needs == DIGIT else f"({digit} and {text} rlike {regex('(?U)' + needs)})"
+HAS_DIGIT = "(?U)" + DIGIT
+
+
+def guard(text: str, needs: str, digit: str | None = None) -> str:
+    """Cheap necessary condition. Guards that ask for digits first test for any
+    digit, which settles most cells; ``digit`` names a column with that result."""
+    own = f"{text} rlike {regex('(?U)' + needs)}"
+    if not needs.startswith(DIGIT):
+        return f"({own})"
+    any_digit = digit or f"{text} rlike {regex(HAS_DIGIT)}"
+    return f"({any_digit})" if needs == DIGIT else f"({any_digit} and {own})"
 
 
 def may_match(text: str, pattern, guards: dict[str, str] | None = None) -> str:

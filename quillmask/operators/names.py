@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from quillmask.catalogue import MISSED_NAME_LABEL, WORD
 from quillmask.functions.folds import scan
-from quillmask.functions.spans import INTERVALS, find_matches, slices
+from quillmask.functions.spans import INTERVALS, MATCHES, NEAR, find_matches, slices
 from quillmask.functions.sql import empty, let, regex, struct, text as text_literal
 from quillmask.operators.residual import FINDINGS
 
 TOKENS = "array<struct<start:int,end:int,text:string,pos:string>>"
 
 _W = WORD[1:-2]
+_GAP = rf"[^{_W}.!?\r\n]"
 # Without a tagger a capitalised word counts as a proper noun unless a sentence
 # starts with it: some word must precede it with no sentence end in between.
-MID_SENTENCE = rf"(?<=[{_W}])[^{_W}.!?\r\n]+\p{{Lu}}[{_W}]*"
-_LAST_WORD = rf"\p{{Lu}}[{_W}]*\z"
+# The search looks for capitals and then back over at most four characters;
+# longer gaps are settled afterwards on the text before the word.
+CAPITALISED = rf"\p{{Lu}}(?<=[{_W}]{_GAP}{{1,3}}\p{{Lu}}|{_GAP}{{4}}\p{{Lu}})[{_W}]*"
+_MID_SENTENCE = rf"[{_W}]{_GAP}+\z"
 
 
 def _name_like(word: str, allow_list) -> str:
@@ -29,15 +32,16 @@ def _name_like(word: str, allow_list) -> str:
 
 def guessed_tokens(text: str, allow_list) -> str:
     """Name-like words by capitalisation alone; the pronoun "I" is left out."""
-    token = let(
-        "w",
-        f"regexp_extract(m.text, {regex(_LAST_WORD)}, 0)",
-        struct(start="m.end - length(w)", end="m.end", text="w"),
+    mid, only_gap = regex(_MID_SENTENCE), regex(rf"^{_GAP}*\z")
+    within = (
+        f"(t.lead rlike {mid} or (t.start > {NEAR} and t.lead rlike {only_gap} "
+        f"and substring({text}, 1, t.start) rlike {mid}))"
     )
-    words = f"transform({find_matches(text, MID_SENTENCE)}, m -> {token})"
-    kept = f"filter({words}, t -> t.text <> 'I' and {_name_like('t.text', allow_list)})"
-    nothing = empty("array<struct<start:int,end:int,text:string>>")
-    return f"if({text} rlike {regex(MID_SENTENCE)}, {kept}, {nothing})"
+    kept = (
+        f"filter({find_matches(text, CAPITALISED)}, "
+        f"t -> t.text <> 'I' and {_name_like('t.text', allow_list)} and {within})"
+    )
+    return f"if({text} rlike {regex(CAPITALISED)}, {kept}, {empty(MATCHES)})"
 
 
 def tagged_tokens(tokens: str, allow_list) -> str:
