@@ -26,7 +26,7 @@ from quillmask.functions.redaction import splice
 from quillmask.functions.sql import name, regex
 from quillmask.operators import reports
 from quillmask.operators.columns import as_text, check_selection, output_names, text_columns
-from quillmask.operators.detection import HAS_DIGIT, candidates, guard, guard_patterns, pattern_hits
+from quillmask.operators.detection import HAS_DIGIT, candidates, guard, guard_patterns
 from quillmask.operators.names import missed_names
 from quillmask.operators.residual import residual_findings
 
@@ -145,14 +145,10 @@ def anonymise(
     wide = wide.withColumns(
         {column: F.expr(guard(c.text, g, c.digit)) for c in cells for g, column in has(c).items()}
     )
-    if on:
-        wide = add(wide, "hits", lambda c: pattern_hits(c.text, on, has(c)))
     wide = add(
         wide,
         "candidates",
-        lambda c: candidates(
-            c.text, c.hits if on else None, catalogue, entity_types, threshold, annotation(entities, c)
-        ),
+        lambda c: candidates(c.text, on, catalogue, entity_types, threshold, has(c), annotation(entities, c)),
     )
     wide = add(wide, "kept", lambda c: detections_of(c.candidates, catalogue))
     wide = add(wide, "detections", lambda c: algebra.report_order(c.kept))

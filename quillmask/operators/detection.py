@@ -8,7 +8,7 @@ from quillmask.catalogue import DIGIT, MODEL_LABELS, MODEL_SCORE, Catalogue, Det
 from quillmask.functions.algebra import SPANS
 from quillmask.functions.context import context_of, has_context
 from quillmask.functions.spans import MATCHES, between, find_matches, found, place, slices
-from quillmask.functions.sql import empty, regex, struct, text as text_literal, texts, typed_array
+from quillmask.functions.sql import empty, let, regex, struct, text as text_literal, texts
 
 ENTITIES = "array<struct<start:int,end:int,label:string,score:double>>"
 
@@ -110,12 +110,19 @@ def entity_spans(text: str, entities: str, entity_types, threshold: float) -> st
 
 
 def candidates(
-    text: str, hits: str | None, catalogue: Catalogue, entity_types, threshold: float, entities: str | None = None
+    text: str,
+    detectors,
+    catalogue: Catalogue,
+    entity_types,
+    threshold: float,
+    guards: dict[str, str] | None = None,
+    entities: str | None = None,
 ) -> str:
     """All spans of the wanted types that reach the threshold, duplicates included."""
     parts = []
-    if hits is not None:
-        parts.append(f"if(size({hits}) = 0, {empty(SPANS)}, {spans_of_hits(text, hits, catalogue.stopwords, threshold)})")
+    if detectors:
+        spans = spans_of_hits(text, "hs", catalogue.stopwords, threshold)
+        parts.append(let("hs", pattern_hits(text, detectors, guards), f"if(size(hs) = 0, {empty(SPANS)}, {spans})"))
     if entities is not None:
         parts.append(entity_spans(text, entities, entity_types, threshold))
-    return f"concat({', '.join(parts)})" if parts else typed_array([], SPANS)
+    return f"concat({', '.join(parts)})" if parts else empty(SPANS)

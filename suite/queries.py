@@ -13,7 +13,7 @@ from quillmask import catalogue as cat
 from quillmask.catalogue import DEFAULT_CATALOGUE
 from quillmask.functions import algebra
 from quillmask.operators.annotations import attach_entities, attach_tokens, dictionary_entities
-from quillmask.operators.detection import candidates, pattern_hits, raw_matches
+from quillmask.operators.detection import candidates, raw_matches
 from quillmask.operators.quality import review_sample, span_scores, threshold_sweep
 from quillmask.operators.residual import findings_of
 from quillmask.plans.staging import shared_folder
@@ -115,8 +115,7 @@ def comment_matches(*detectors: str) -> Query:
 def scored_cells(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     base = cells(comment_table(spark, sf_dir))
     on = DEFAULT_CATALOGUE.active(ALL_TYPES, threshold)
-    hits = base.withColumn("hits", F.expr(pattern_hits("t", on)))
-    return hits.withColumn("spans", F.expr(candidates("t", "hits", DEFAULT_CATALOGUE, ALL_TYPES, threshold)))
+    return base.withColumn("spans", F.expr(candidates("t", on, DEFAULT_CATALOGUE, ALL_TYPES, threshold)))
 
 
 def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
