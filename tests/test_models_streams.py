@@ -10,26 +10,30 @@ from quillmask.operators.models import attach_model
 from quillmask.streaming.streams import detection_counts, write_stream
 
 
-def load_toy_model():
-    """Words that follow "by" are people, all other capitalised words products."""
+def toy_model_loader():
+    """A loader defined in a function travels to the workers by value."""
 
-    def model(texts):
-        for text in texts:
-            words = list(re.finditer(r"\w+", text))
-            tokens = [(w.start(), w.end(), w.group(), "PROPN" if w.group()[0].isupper() else "X") for w in words]
-            entities = [
-                (w.start(), w.end(), "PERSON" if before.group() == "by" else "PRODUCT")
-                for before, w in zip(words, words[1:])
-                if w.group()[0].isupper()
-            ]
-            yield entities, tokens
+    def load():
+        def model(texts):
+            """Words that follow "by" are people, all other capitalised words products."""
+            for text in texts:
+                words = list(re.finditer(r"\w+", text))
+                tokens = [(w.start(), w.end(), w.group(), "PROPN" if w.group()[0].isupper() else "X") for w in words]
+                entities = [
+                    (w.start(), w.end(), "PERSON" if before.group() == "by" else "PRODUCT")
+                    for before, w in zip(words, words[1:])
+                    if w.group()[0].isupper()
+                ]
+                yield entities, tokens
 
-    return model
+        return model
+
+    return load
 
 
 def test_caller_model(spark):
     df = spark.createDataFrame([(0, "sent by Ünal to Acme"), (1, None)], "id int, text string")
-    joined = attach_model(df, {"text": ("ents", "toks")}, load_toy_model)
+    joined = attach_model(df, {"text": ("ents", "toks")}, toy_model_loader())
     result = anonymise(
         joined, columns=["text"], key="id", style=STYLE_ENTITY_TAGS, entities={"text": "ents"}, tokens={"text": "toks"}
     )
