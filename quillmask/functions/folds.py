@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from quillmask.functions.sql import empty, let, struct
 
-# Appending to an array copies it, so a plain fold that collects n results is
-# quadratic. Folding block by block makes the copies negligible.
-BLOCK = 256
+# A fold copies its whole accumulator at every step, so collecting n results in
+# one fold is quadratic. Output is therefore collected per block only.
+BLOCK = 64
 
 
 def blocks(items: str, size: int = BLOCK) -> str:
@@ -34,12 +34,17 @@ def scan(
     next_state, emitted = step("acc.state", "x")
     one = f"(acc, x) -> {struct(state=next_state, out=f'concat(acc.out, {emitted})')}"
 
-    def close(acc: str) -> str:
-        return f"{acc}.out" if finish is None else f"concat({acc}.out, {finish(f'{acc}.state')})"
+    def ending(st: str) -> list[str]:
+        return [] if finish is None else [finish(st)]
 
-    zero = struct(state=state, out=empty(out_type))
-    short = f"aggregate(it, {zero}, {one}, acc -> {close('acc')})"
-    inner = f"aggregate(block, {struct(state='big.state', out=empty(out_type))}, {one})"
-    many = let("r", inner, struct(state="r.state", out="concat(big.out, r.out)"))
-    long = f"aggregate({blocks('it')}, {zero}, (big, block) -> {many}, big -> {close('big')})"
+    short_end = f"concat({', '.join(['acc.out', *ending('acc.state')])})"
+    short = f"aggregate(it, {struct(state=state, out=empty(out_type))}, {one}, acc -> {short_end})"
+
+    # Long arrays take two passes: the state at the start of every block, then
+    # the output of each block from its state.
+    skip = f"aggregate(block, get(sts, size(sts) - 1), (st, x) -> {step('st', 'x')[0]})"
+    states = f"aggregate({blocks('it')}, array({state}), (sts, block) -> concat(sts, array({skip})))"
+    block_out = f"aggregate(block, {struct(state='s0', out=empty(out_type))}, {one}, acc -> acc.out)"
+    outs = f"flatten(zip_with({blocks('it')}, slice(sts, 1, size(sts) - 1), (block, s0) -> {block_out}))"
+    long = let("sts", states, f"concat({', '.join([outs, *ending('get(sts, size(sts) - 1)')])})")
     return let("it", items, f"if(size(it) <= {BLOCK}, {short}, {long})")

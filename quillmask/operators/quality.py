@@ -27,11 +27,12 @@ def threshold_sweep(detections: DataFrame, thresholds: list[float] | None = None
 def review_sample(df: DataFrame, key: str, size: int = 500, seed: int = 0) -> DataFrame:
     """A reproducible sample for review: the rows with the smallest mixed keys.
 
-    The mix is plain arithmetic on an integer key, so it can be redone
-    anywhere. ``orderBy`` with ``limit`` keeps ``size`` rows per task and merges
+    The mix is plain arithmetic on an integer key (a multiplicative generator
+    modulo a prime), so it can be redone anywhere. ``orderBy`` with ``limit`` keeps ``size`` rows per task and merges
     those; nothing is sorted as a whole.
     """
-    mixed = F.pmod((F.col(key) % 1000003 + seed) * 7919 + 104729, F.lit(1000003))
+    prime = F.lit(2147483647).cast("long")
+    mixed = F.pmod((F.pmod(F.col(key).cast("long"), prime) + seed) * 48271, prime)
     return df.withColumn("__mixed", mixed).orderBy("__mixed", key).limit(size).drop("__mixed")
 
 

@@ -275,6 +275,7 @@ def build() -> dict[str, str]:
       SELECT c.row_id, c.notes, c.description, c.category, n.redacted AS "notes_Anonymised", d.redacted AS "description_Anonymised"
       FROM comments c JOIN redacted n ON c.row_id = n.row_id AND n.source_column = 'notes'
       JOIN redacted d ON c.row_id = d.row_id AND d.source_column = 'description'"""
+    sql["outputs_data"] = sql["redact_two_columns"]
     sql["redact_low_threshold"] = f"""WITH {CELLS}, {span_steps(ALL_TYPES, 0.2)}
       SELECT {CELL_KEYS}, redacted FROM redacted"""
     sql["redact_annotated"] = f"""WITH {CELLS}, {ENTITIES}, {annotated}
@@ -349,7 +350,7 @@ def build() -> dict[str, str]:
       FROM detections, (SELECT unnest(range(0, 17)) AS s) WHERE score >= round(0.1 + 0.05 * s, 2)
       GROUP BY entity_type, s"""
     sql["qa_sample"] = f"""WITH {CELLS} SELECT row_id, notes FROM comments
-      ORDER BY ((row_id % 1000003) * 7919 + 104729) % 1000003, row_id LIMIT 500"""
+      ORDER BY ((row_id % 2147483647) * 48271) % 2147483647, row_id LIMIT 500"""
     gold = f"""gold AS (SELECT row_id, 'PERSON' AS entity_type, "start", "end" FROM entities WHERE label = 'PERSON'
       UNION ALL SELECT row_id, 'PHONE_NUMBER', "start", "end" FROM ({matches("(SELECT * FROM cells WHERE source_column = 'notes')", cat.UK_MOBILE, CELL_KEYS)}))"""
     sql["span_eval"] = f"""WITH {CELLS}, {ENTITIES}, {standard}, {gold},

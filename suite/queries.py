@@ -20,7 +20,7 @@ from quillmask.plans.staging import shared_folder
 from quillmask.sources.comments import comments
 from quillmask.sources.readers import read_csv, read_parquet
 from quillmask.sources.row_index import read_parquet_with_index, with_row_index
-from quillmask.sources.writers import DETECTIONS, RESIDUALS, nan_to_null, write_outputs
+from quillmask.sources.writers import DATA, DETECTIONS, RESIDUALS, nan_to_null, write_outputs
 from quillmask.streaming.streams import detection_counts, write_stream
 from suite.relations import (
     CUSTOMER_NOTES_SQL,
@@ -268,6 +268,10 @@ def written(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return write_outputs(standard(spark, sf_dir), shared_folder(spark))
 
 
+def outputs_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(written(spark, sf_dir)[DATA])
+
+
 def outputs_detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(written(spark, sf_dir)[DETECTIONS])
 
@@ -434,6 +438,7 @@ QUERIES: dict[str, Query] = {
     "missed_names": missed_names,
     "missed_names_off_label": missed_names_off_label,
     "gazetteer_detect": gazetteer_detect,
+    "outputs_data": outputs_data,
     "outputs_detection_report": outputs_detection_report,
     "outputs_residual_flags": outputs_residual_flags,
     "redact_documents": redact_documents,
