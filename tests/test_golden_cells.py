@@ -92,6 +92,19 @@ def test_offsets_are_code_points(spans):
     assert spans(["😀 Mr Smith"])[0] == {("PERSON", 0.75, 2, 10, "Mr Smith")}
 
 
+def test_text_with_nul_characters(spans, redacted):
+    """NUL marks cut points internally; texts that hold it must come out whole."""
+    text = "\0a\0 Mr Smith\0, 07700900123\0\0 x"
+    assert {s[2:] for s in spans([text])[0]} == {(4, 12, "Mr Smith"), (15, 26, "07700900123")}
+    assert redacted([text]) == ["\0a\0 <REDACTED>\0, <REDACTED>\0\0 x"]
+
+
+def test_several_windows_of_context_and_dense_matches(spans):
+    """Matches close together look back over each other to the word before them."""
+    got = spans(["pin 1111, 2222, 3333, 4444, 5555, 6666, 7777"], threshold=0.4)[0]
+    assert sorted(s[4] for s in got) == ["1111", "2222", "3333", "4444", "5555"]
+
+
 def test_no_blank_and_unicode_digits(spans):
     assert spans(["٠٧٧٠٠٩٠٠١٢٣"], entity_types=ALL)[0] == set()
 
