@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quillmask.llm import mixing, winnowing
+from quillmask.llm import languages, licences, mixing, toxicity, winnowing
 
 QUERIES = {
     "op5_pareto_mix": mixing.op5_pareto_mix,
     "op7_winnowing": winnowing.op7_winnowing,
+    "op8_licence_scan": licences.op8_licence_scan,
+    "op9_language_mixture": languages.op9_language_mixture,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
