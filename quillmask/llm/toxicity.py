@@ -31,8 +31,9 @@ SAMPLE_ROWS = 2000
 GRAMS = (3, 4, 5)
 BUCKETS = 2**17
 DIM = 12
-SPAN = 6
-EPOCHS = 5
+SPAN = 2
+EPOCHS = 6
+BATCH = 16
 WARM = 1  # first epochs, in which random spans carry their document's label
 RATE = 0.3
 BLOCK = 512 * 1024  # bytes of text that are cut up at once
@@ -110,7 +111,7 @@ class Model:
             self.sums[k] += slope**2
             value -= np.float32(RATE / 3) * slope / np.sqrt(self.sums[k])
 
-    def fit(self, texts: list[str], labels: list[int], batch: int = 64) -> Model:
+    def fit(self, texts: list[str], labels: list[int], batch: int = BATCH) -> Model:
         y = np.array(labels)
         for epoch in range(EPOCHS):
             order = self.random.permutation(len(texts))
@@ -124,7 +125,7 @@ class Model:
                     lots = self.random.random(len(doc))
                 else:
                     lots = self.span_margins(grams, owner, len(doc))
-                chosen = top_spans(lots, doc, full, 4 if epoch < WARM else 1)
+                chosen = top_spans(lots, doc, full, 8 if epoch < WARM else 1)
                 number = np.full(len(doc), -1)
                 number[chosen] = np.arange(len(chosen))
                 keep = np.flatnonzero(number[owner] >= 0)
