@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quillmask.llm import languages, licences, mixing, toxicity, winnowing
+from quillmask.llm import languages, licences, mixing, pieces, token_counts, topk, toxicity, winnowing
 
 QUERIES = {
+    "op2_token_cache": token_counts.op2_token_cache,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pareto_mix": mixing.op5_pareto_mix,
+    "op6_top_k": topk.op6_top_k,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_licence_scan": licences.op8_licence_scan,
     "op9_language_mixture": languages.op9_language_mixture,
@@ -13,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_top_k": topk.ORACLE,
     "op5_pareto_mix": mixing.ORACLE,
 }
