@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillmask.llm import languages, licences, mixing, pieces, token_counts, topk, toxicity, winnowing
+from quillmask.llm import languages, licences, mixing, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
 
 QUERIES = {
     "op2_token_cache": token_counts.op2_token_cache,
+    "op3_prob_minhash": prob_minhash.op3_prob_minhash,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pareto_mix": mixing.op5_pareto_mix,
     "op6_top_k": topk.op6_top_k,
