@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillmask.llm import languages, licences, mixing, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
+from quillmask.llm import hmm, languages, licences, mixing, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
 
 QUERIES = {
+    "op1_hmm": hmm.op1_hmm,
     "op2_token_cache": token_counts.op2_token_cache,
     "op3_prob_minhash": prob_minhash.op3_prob_minhash,
     "op4_sentencepiece": pieces.op4_sentencepiece,
