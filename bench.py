@@ -9,17 +9,23 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+os.environ.setdefault("SUITE_PARTITIONS", os.environ.get("BENCH_CPUS", "8"))
+
 from suite.queries import QUERIES, table  # noqa: E402
 
 HEADLINE = (
     "redact_two_columns",
     "redact_generic",
+    "redact_entity_tags",
+    "missed_names",
+    "changed_rows",
     "detection_report",
     "residual_flags",
     "run_stats",
@@ -51,6 +57,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillmask-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -166,8 +166,14 @@ MISSED_NAME_LABEL = "POSSIBLE_MISSED_NAME"
 # Own patterns and lists (no fixed counterpart).
 # --------------------------------------------------------------------------
 
-# RFC-shaped address: bounded local part and labels keep matching linear.
-EMAIL = r"\b[A-Z0-9._%+-]{1,64}@(?:[A-Z0-9-]{1,63}\.)+[A-Z]{2,63}\b"
+# An address in any script; the length of the local part is open. It starts at the
+# first letter or digit of a run of its characters (or of what the last match left
+# of one), so a run is read once, possessively, and the search stays linear.
+_LOCAL_SIGNS = r".%+'!#$&*/=?^`{|}~-"
+EMAIL_START = (
+    rf"(?<=(?:\G|(?<![\p{{L}}\p{{N}}_{_LOCAL_SIGNS}])|[{_LOCAL_SIGNS}]{{64}})[{_LOCAL_SIGNS}]{{0,63}})"
+)
+EMAIL = EMAIL_START + rf"[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_{_LOCAL_SIGNS}]*+@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.)+\p{{L}}{{2,63}}\b"
 EMAIL_CONTEXT = ("email",)
 
 # International (+cc groups) and North-American shaped numbers.
@@ -179,10 +185,18 @@ PHONE_INTERNATIONAL = (
 
 _DAY = r"(?:0?[1-9]|[12]\d|3[01])"
 _MONTH = r"(?:0?[1-9]|1[0-2])"
-_MONTH_NAME = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}"
+_MONTH_NAME = (
+    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?"
+    r"|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+)
 DATE_ISO = rf"\b\d{{4}}[-/.]{_MONTH}[-/.]{_DAY}\b"
 DATE_NUMERIC = rf"\b\d{{1,2}}[-/.]\d{{1,2}}[-/.](?:\d{{4}}|\d{{2}})\b"
 DATE_MONTH_NAME = rf"\b{_DAY}(?:st|nd|rd|th)?[ -]{_MONTH_NAME}[ ,-]{{1,2}}(?:\d{{4}}|\d{{2}})\b"
+DATE_MONTH_FIRST = rf"\b{_MONTH_NAME} {_DAY}(?:st|nd|rd|th)?,? \d{{4}}\b"
+DATE_MONTH_YEAR = rf"\b{_MONTH_NAME},? \d{{4}}\b"
+DATE_TIMESTAMP = (
+    rf"\b\d{{4}}-{_MONTH}-{_DAY}[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?(?:Z|[+-]\d{{2}}:?\d{{2}})?\b"
+)
 DATE_CONTEXT = ("date", "birthday")
 
 # Word tokens, equal in Java, Python (regex) and RE2.
@@ -234,7 +248,7 @@ class Detector:
     @property
     def context_words(self) -> tuple[str, ...]:
         """Context entries that can occur inside one word token; the rest never fire."""
-        return tuple(w for w in self.context if re.fullmatch(r"\w+", w))
+        return tuple(w for w in self.context if not re.search(r"\s", w))
 
     @property
     def best_score(self) -> float:
@@ -270,24 +284,22 @@ DETECTORS = (
     Detector("date_iso", "DATE_TIME", DATE_ISO, 0.6, DATE_CONTEXT, needs=_DATE_DIGITS),
     Detector("date_numeric", "DATE_TIME", DATE_NUMERIC, 0.6, DATE_CONTEXT, needs=_DATE_DIGITS),
     Detector("date_month_name", "DATE_TIME", DATE_MONTH_NAME, 0.6, DATE_CONTEXT, needs=DIGIT),
+    Detector("date_month_first", "DATE_TIME", DATE_MONTH_FIRST, 0.6, DATE_CONTEXT, needs=DIGIT),
+    Detector("date_month_year", "DATE_TIME", DATE_MONTH_YEAR, 0.6, DATE_CONTEXT, needs=DIGIT),
+    Detector("date_timestamp", "DATE_TIME", DATE_TIMESTAMP, 0.6, DATE_CONTEXT, needs=_DATE_DIGITS),
     Detector("phone_international", "PHONE_NUMBER", PHONE_INTERNATIONAL, 0.4, PHONE_CONTEXT, needs=DIGIT),
 )
 
 
 @dataclass(frozen=True)
 class ResidualPattern:
-    """A leftover pattern for the scan of redacted text.
-
-    ``covered_by`` names a detector that redacts everything this pattern could
-    find, so a cell that detector left unchanged needs no second scan.
-    """
+    """A leftover pattern for the scan of redacted text."""
 
     label: str
     pattern: str
     ignore_case: bool = True
     needs: str | None = None
     needs_text: str | None = None
-    covered_by: str | None = None
 
     @property
     def java_pattern(self) -> str:
@@ -295,13 +307,13 @@ class ResidualPattern:
 
 
 RESIDUAL_PATTERNS = (
-    ResidualPattern("POSSIBLE_UK_POSTCODE", UK_POSTCODE, needs=_DIGIT_LETTERS, covered_by="uk_postcode"),
-    ResidualPattern("POSSIBLE_UK_MOBILE", UK_MOBILE, needs=_NINE_DIGITS, covered_by="uk_mobile"),
-    ResidualPattern("POSSIBLE_UK_PHONE", UK_LANDLINE, needs=_NINE_DIGITS, covered_by="uk_landline"),
-    ResidualPattern("POSSIBLE_NINO", UK_NINO_STRICT, needs=_SIX_DIGITS, covered_by="nino_strict"),
+    ResidualPattern("POSSIBLE_UK_POSTCODE", UK_POSTCODE, needs=_DIGIT_LETTERS),
+    ResidualPattern("POSSIBLE_UK_MOBILE", UK_MOBILE, needs=_NINE_DIGITS),
+    ResidualPattern("POSSIBLE_UK_PHONE", UK_LANDLINE, needs=_NINE_DIGITS),
+    ResidualPattern("POSSIBLE_NINO", UK_NINO_STRICT, needs=_SIX_DIGITS),
     ResidualPattern("LONG_DIGIT_SEQUENCE", LONG_DIGITS, needs=_FOUR_DIGITS),
     ResidualPattern(
-        "POSSIBLE_PERSON_TITLE", TITLE_NAME, ignore_case=False, needs=_TITLE_START, covered_by="title_name"
+        "POSSIBLE_PERSON_TITLE", TITLE_NAME, ignore_case=False, needs=_TITLE_START
     ),
     ResidualPattern("POSSIBLE_NAME_LABEL", NAME_LABEL, ignore_case=False, needs_text="Name: "),
 )
@@ -332,16 +344,10 @@ class Catalogue:
             raise ValueError(f"score must lie in [0, 1], not {score}")
         new = Detector(name, entity_type, pattern, score, tuple(context), ignore_case)
         kept = tuple(d for d in self.detectors if d.name != name)
-        # A replaced detector no longer vouches for its residual pattern.
-        residual = tuple(
-            replace(p, covered_by=None) if p.covered_by == name else p for p in self.residual_patterns
-        )
         tags = dict(self.tags)
         if tag is not None:
             tags[entity_type] = tag
-        return replace(
-            self, detectors=kept + (new,), residual_patterns=residual, tags=tuple(tags.items())
-        )
+        return replace(self, detectors=kept + (new,), tags=tuple(tags.items()))
 
     def without_detector(self, name: str) -> "Catalogue":
         """Drop a detector by name."""

@@ -21,7 +21,7 @@ def context_of(text: str, match: str, stopwords) -> str:
     """The words that can lift a match, joined by blanks.
 
     These are the last five words before the match that are no stopwords, plus
-    the match's own first word. Nearly always the ``lead`` characters hold
+    the match's own first run of non-blanks, punctuation included. Nearly always the ``lead`` characters hold
     enough words; if not, a longer and finally the whole prefix is read. A
     window cut inside a word is only trusted when it holds one word more than
     needed.
@@ -40,7 +40,7 @@ def context_of(text: str, match: str, stopwords) -> str:
         f"if(size(w1) >= {enough} or {match}.start <= {NEAR}, w1, {far})",
     )
     last = let("w0", before, f"slice(reverse(w0), 1, {CONTEXT_WORDS_BEFORE})")
-    return f"concat_ws(' ', {last}, regexp_extract(lower({match}.text), {regex(WORD)}, 0))"
+    return f"concat_ws(' ', {last}, regexp_extract(lower({match}.text), {regex(chr(92) + "S+")}, 0))"
 
 
 def has_context(context: str, context_words: str) -> str:

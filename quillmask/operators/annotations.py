@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmask.catalogue import MODEL_SCORE, WORD
 from quillmask.functions.spans import find_matches
-from quillmask.functions.sql import name
+from quillmask.functions.sql import name, text as text_literal
 from quillmask.operators.columns import as_text
 
 
@@ -66,16 +66,20 @@ def attach_tokens(df: DataFrame, tokens: DataFrame, key, columns: dict[str, str]
     return _attach(df, tokens, _token(tokens), key, columns)
 
 
-def dictionary_entities(
-    df: DataFrame, column: str, key, dictionary: DataFrame, max_words: int = 3
-) -> DataFrame:
+# Up to this many different first words of terms are tested before words are exploded.
+FIRST_WORDS = 10_000
+
+
+def dictionary_entities(df: DataFrame, column: str, key, dictionary: DataFrame) -> DataFrame:
     """Entities by look-up of word sequences in a dictionary, as an annotation table.
 
     ``dictionary`` holds ``term``, ``label`` and optionally ``score``. Word
-    sequences of up to ``max_words`` words are compared without regard to case
-    and to what separates the words. The dictionary is joined without hint: by
-    size it is broadcast, or both sides shuffle on the term, where adaptive
-    execution splits the partitions of frequent words.
+    sequences as long as some term are compared without regard to case and to
+    what separates the words. Sequences whose first word starts no term are
+    left out before they become rows (up to FIRST_WORDS such words). The
+    dictionary is joined without hint: by size it is broadcast, or both sides
+    shuffle on the term, where adaptive execution splits the partitions of
+    frequent words.
     """
     key = [key] if isinstance(key, str) else list(key)
     score = F.col("score").cast("double") if "score" in dictionary.columns else F.lit(MODEL_SCORE)
@@ -85,11 +89,14 @@ def dictionary_entities(
         .filter(F.col("gram") != "")
         .distinct()
     )
+    lengths = sorted(r[0] for r in terms.select(F.size(F.split("gram", " "))).distinct().collect())
+    firsts = [r[0] for r in terms.select(F.split("gram", " ")[0]).distinct().limit(FIRST_WORDS + 1).collect()]
+    starts = f"lower(w.text) in ({', '.join(map(text_literal, firsts))})" if 0 < len(firsts) <= FIRST_WORDS else "true"
     words = df.select(*key, as_text(F.col(name(column))).alias("__text")).select(
         *key, F.expr(find_matches("__text", WORD)).alias("words")
     )
     # One row per word; each carries the few sequences that start with it.
-    steps = ", ".join(str(n) for n in range(max_words))
+    steps = ", ".join(str(n - 1) for n in lengths)
     gram = (
         "named_struct('start', w.start, 'end', get(words, i + n).end, 'gram', "
         "lower(array_join(transform(slice(words, i + 1, n + 1), v -> v.text), ' ')))"
@@ -97,8 +104,8 @@ def dictionary_entities(
     grams = words.select(
         *key,
         F.expr(
-            f"explode(flatten(transform(words, (w, i) -> transform(filter(array({steps}), "
-            f"n -> i + n < size(words)), n -> {gram}))))"
+            f"explode(flatten(transform(words, (w, i) -> transform(filter(cast(array({steps}) as array<int>), "
+            f"n -> {starts} and i + n < size(words)), n -> {gram}))))"
         ).alias("g"),
     ).select(*key, "g.start", "g.end", "g.gram")
     return grams.join(terms, "gram").select(

@@ -41,6 +41,9 @@ def redaction_spans(merged: str) -> str:
     return algebra.resolve_conflicts(merged)
 
 
+STEPS = ("text", "digit", "candidates", "kept", "detections", "merged", "spans", "joined", "redacted", "findings")
+
+
 @dataclass(frozen=True)
 class CellColumns:
     """Names of the working columns of one source column."""
@@ -50,7 +53,7 @@ class CellColumns:
     prefix: str
 
     def __getattr__(self, step: str) -> str:
-        if step.startswith("__"):
+        if step not in STEPS:
             raise AttributeError(step)
         return f"{self.prefix}{step}"
 
@@ -67,11 +70,16 @@ class Anonymised:
 
     @property
     def data(self) -> DataFrame:
-        """All original columns plus one redacted column per selected column."""
-        return self.wide.select(
-            *[F.col(name(c)) for c in self.original_columns],
-            *[F.col(c.redacted).alias(c.output) for c in self.cells],
-        )
+        """All original columns plus one redacted column per selected column.
+
+        The redacted columns pass through a generator, which the optimiser does
+        not push predicates through; a filter on one of them would otherwise be
+        rewritten in terms of the source text, once for every use of every step.
+        """
+        redacted = F.struct(*[F.col(c.redacted).alias(c.redacted) for c in self.cells])
+        originals = [F.col(name(c)) for c in self.original_columns]
+        barred = self.wide.select(*originals, F.explode(F.array(redacted)).alias("__qm_out"))
+        return barred.select(*originals, *[F.col(f"__qm_out.{c.redacted}").alias(c.output) for c in self.cells])
 
     @property
     def output_columns(self) -> tuple[str, ...]:
@@ -134,13 +142,24 @@ def anonymise(
     def has(cell: CellColumns) -> dict[str, str]:
         return {g: f"{cell.prefix}has{i}" for i, g in enumerate(guards)}
 
+    # Annotations get names of their own, which no variable of an expression has.
+    aliased = {}
+
     def annotation(given: dict[str, str] | None, cell: CellColumns) -> str | None:
-        return name(given[cell.source]) if given and cell.source in given else None
+        if not given or cell.source not in given:
+            return None
+        kind = "tokens" if given is tokens else "entities"
+        aliased[f"{cell.prefix}given_{kind}"] = F.col(name(given[cell.source]))
+        return f"{cell.prefix}given_{kind}"
+
+    for c in cells:
+        for given in (entities, tokens):
+            annotation(given, c)
 
     def add(frame: DataFrame, step: str, expression) -> DataFrame:
         return frame.withColumns({getattr(c, step): F.expr(expression(c)) for c in cells})
 
-    wide = df.withColumns({c.text: as_text(F.col(name(c.source))) for c in cells})
+    wide = df.withColumns({c.text: as_text(F.col(name(c.source))) for c in cells} | aliased)
     wide = add(wide, "digit", lambda c: f"{c.text} rlike {regex(HAS_DIGIT)}")
     wide = wide.withColumns(
         {column: F.expr(guard(c.text, g, c.digit)) for c in cells for g, column in has(c).items()}
@@ -159,7 +178,7 @@ def anonymise(
 
     def findings(c: CellColumns) -> str:
         left = residual_findings(
-            c.redacted, catalogue, f"size({c.detections}) > 0", entity_types, threshold, style, has(c)
+            c.redacted, catalogue, f"size({c.candidates}) > 0", entity_types, threshold, style, has(c)
         )
         if "PERSON" not in entity_types:
             return left

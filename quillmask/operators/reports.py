@@ -7,15 +7,23 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmask.functions.sql import name
+
 if TYPE_CHECKING:
     from quillmask.operators.anonymise import Anonymised
 
 
+def check_identity(result: "Anonymised") -> None:
+    if not result.key and result.row_index is None:
+        raise ValueError("reports need rows to be told apart: pass key or row_index to anonymise")
+
+
 def _position(result: "Anonymised") -> list[Column]:
     """Caller keys, then the row position if there is one."""
-    columns = [F.col(f"`{k}`") for k in result.key if k != "row_index"]
+    check_identity(result)
+    columns = [F.col(name(k)) for k in result.key if k != "row_index"]
     if result.row_index is not None:
-        columns.append(F.col(f"`{result.row_index}`").alias("row_index"))
+        columns.append(F.col(name(result.row_index)).alias("row_index"))
     return columns
 
 
@@ -106,7 +114,7 @@ def flagged_cells(result: "Anonymised") -> DataFrame:
 
 def _split_position(result: "Anonymised") -> tuple[list[str], list[Column]]:
     head = ["row_index"] if result.row_index is not None else []
-    keys = [F.col(f"`{n}`") for n in _position_names(result) if n != "row_index"]
+    keys = [F.col(name(n)) for n in _position_names(result) if n != "row_index"]
     return head, keys
 
 

@@ -50,15 +50,19 @@ def residual_findings(
 ) -> str:
     """Findings of all residual patterns.
 
-    ``changed`` tells whether the cell was redacted at all. If a detector that
-    was on finds everything a residual pattern could, an unchanged cell cannot
-    hold that leftover and is not scanned again. ``guards`` are guard results
+    ``changed`` tells whether anything was found in the cell, allowed or not. If
+    a detector that was on has the pattern of a leftover, a cell in which
+    nothing was found cannot hold that leftover and is not scanned again. ``guards`` are guard results
     on the original text; they carry over as long as tags hold no digits.
     """
-    on = {d.name for d in catalogue.active(entity_types, threshold) if d.score >= threshold}
+    on = [d for d in catalogue.active(entity_types, threshold) if d.score >= threshold]
+
+    def covered(p) -> bool:
+        return any(d.pattern == p.pattern and (d.ignore_case or not p.ignore_case) for d in on)
+
     tags = [GENERIC_TAG] if is_generic(style) else [GENERIC_TAG, *catalogue.tag_map.values()]
     plain_tags = all(re.match(REDACTION_TAG, t) for t in tags)
-    only_if = {p.label: changed for p in catalogue.residual_patterns if changed and p.covered_by in on}
+    only_if = {p.label: changed for p in catalogue.residual_patterns if changed and covered(p)}
     if not catalogue.residual_patterns:
         return empty(FINDINGS)
     return findings_of(text, catalogue.residual_patterns, guards if plain_tags else None, only_if)

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# One parquet row group is read by one task. Inputs of at most this many bytes
-# per core may sit in fewer row groups than there are cores.
-ROW_GROUP_BYTES = 128 * 1024 * 1024
-
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors can reach.
 
-    Taken from ``spark.checkpoint.dir``; only a local session without that
-    setting falls back to a temporary folder of its machine.
+    Taken from ``spark.checkpoint.dir``, which must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="quillmask-")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/quillmask-{uuid.uuid4().hex}"
 
 
@@ -34,18 +24,8 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under a path, without reading their content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-
-
-def spread_if_small(df: DataFrame, total_bytes: int) -> DataFrame:
-    """Deal the rows of a small input out to all cores.
-
-    Detection is bound by CPU, and a small file may be one row group, hence one
-    task. Large inputs have row groups for every core and are left alone, so no
-    shuffle is ever added where it would cost.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if total_bytes < cores * ROW_GROUP_BYTES else df
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a stored frame through the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from quillmask.catalogue import CSV_NA_TOKENS
 from quillmask.functions.sql import name
-from quillmask.plans.staging import input_bytes, spread_if_small
 
 _FORMATS = {"parquet": "parquet", "orc": "orc", "json": "json", "jsonl": "json", "ndjson": "json"}
 
@@ -22,47 +21,83 @@ def na_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """Give all-string columns the narrowest of long, double and boolean that fits every value.
+def infer_types(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """Give string columns the narrowest type that fits every value; ``but`` stay as they are.
 
-    One aggregation over the table; pass a schema to skip it.
+    Whole numbers become long, else decimal of 38 digits, else stay strings, so
+    that none loses a digit; then come double and boolean. One aggregation over
+    the table; pass a schema to skip it.
     """
-    casts = {"bigint": r"^[+-]?\d{1,18}$", "double": r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", "boolean": r"^(True|TRUE|true|False|FALSE|false)$"}
-    tests = [
-        F.coalesce(F.every(F.trim(F.col(name(c))).rlike(pattern)), F.lit(False)).alias(f"{i}_{kind}")
-        for i, c in enumerate(df.columns)
-        for kind, pattern in casts.items()
-    ]
-    fits = df.agg(*tests).first()
+
+    def tests(c: str) -> dict:
+        value = F.trim(F.col(name(c)))
+        whole = value.rlike(r"^[+-]?\d+$")
+        return {
+            "bigint": whole & value.try_cast("bigint").isNotNull(),
+            "decimal(38,0)": whole & value.try_cast("decimal(38,0)").isNotNull(),
+            "string": whole,
+            "double": value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"),
+            "boolean": value.rlike("^(True|TRUE|true|False|FALSE|false)$"),
+        }
+
+    columns = [c for c in df.columns if c not in but]
+    # every() skips nulls, which fit any type
+    fits = df.agg(
+        *[
+            F.coalesce(F.every(F.when(F.col(name(c)).isNotNull(), test)), F.lit(False)).alias(f"{i}_{kind}")
+            for i, c in enumerate(columns)
+            for kind, test in tests(c).items()
+        ]
+    ).first()
     chosen = {
-        c: next((kind for kind in casts if fits[f"{i}_{kind}"]), "string") for i, c in enumerate(df.columns)
+        c: next((kind for kind in tests(c) if fits[f"{i}_{kind}"]), "string") for i, c in enumerate(columns)
     }
     return df.select(
-        *[F.trim(F.col(name(c))).cast(k).alias(c) if k != "string" else F.col(name(c)) for c, k in chosen.items()]
+        *[F.trim(F.col(name(c))).cast(k).alias(c) if k != "string" else F.col(name(c)) for c, k in chosen.items()],
+        *but,
     )
 
 
+LOCATION = ("__file", "__block", "__pos")
+
+
+def _strings(spark: SparkSession, path: str, multi_line: bool, located: bool) -> DataFrame:
+    """All fields as strings; a row with text beyond the last column fails the query."""
+    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "nullValue": ""}
+    header = spark.read.options(**options).csv(path, inferSchema=False).columns
+    surplus = "__surplus"
+    fields = [T.StructField(c, T.StringType()) for c in [*header, surplus]]
+    raw = spark.read.options(**options).schema(T.StructType(fields)).csv(path)
+    if located:
+        place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        raw = raw.select("*", *[p.alias(c) for p, c in zip(place, LOCATION, strict=True)])
+    message = F.concat(F.lit("a row has more fields than the header, from: "), F.col(surplus))
+    return raw.filter(F.when(F.col(surplus).isNull(), True).otherwise(F.raise_error(message).cast("boolean"))).drop(surplus)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
     infer: bool = True,
     multi_line: bool = True,
+    located: bool = False,
 ) -> DataFrame:
     """CSV with a header row; null tokens become null.
 
+    A row with more fields than the header fails the query; missing fields are null.
+
     Quoted line breaks (``multi_line``) make a file unsplittable; turn it off
     for large files without them. Pass a ``schema`` to avoid the inference pass.
+    ``located`` adds where a row was read: file, block and running number.
     """
-    reader = spark.read.options(
-        header=True, multiLine=multi_line, quote='"', escape='"', nullValue=""
-    )
-    raw = reader.csv(path, inferSchema=False)
-    clean = na_to_null(raw)
+    kept = LOCATION if located else ()
+    raw = _strings(spark, path, multi_line, located)
+    clean = na_to_null(raw, [c for c in raw.columns if c not in kept])
     if schema is not None:
         target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        return clean.select(*[F.col(name(f.name)).cast(f.dataType).alias(f.name) for f in target.fields])
-    return infer_types(clean) if infer else clean
+        return clean.select(*[F.col(name(f.name)).cast(f.dataType).alias(f.name) for f in target.fields], *kept)
+    return infer_types(clean, kept) if infer else clean
 
 
 def load_table(spark: SparkSession, source: str, **csv_options) -> DataFrame:
@@ -79,9 +114,15 @@ def load_table(spark: SparkSession, source: str, **csv_options) -> DataFrame:
     return spark.table(source)
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet, its rows dealt out to all cores if the input is small."""
+def read_parquet(
+    spark: SparkSession, path: str, columns: list[str] | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Parquet; ``partitions`` deals the rows out anew.
+
+    Detection is bound by CPU and a row group is one task, so a small file may
+    keep most cores idle; inputs with row groups for every core need no dealing.
+    """
     df = spark.read.parquet(path)
     if columns is not None:
         df = df.select(*columns)
-    return spread_if_small(df, input_bytes(spark, path))
+    return df if partitions is None else df.repartition(partitions)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmask.functions.sql import name
+from quillmask.operators import reports
 from quillmask.operators.anonymise import Anonymised
-from quillmask.plans.staging import stored
+from quillmask.plans.staging import delete, shared_folder, stored
 
 DATA = "anonymised_data"
 DETECTIONS = "detection_report"
@@ -32,26 +33,37 @@ def write_outputs(
 ) -> dict[str, str]:
     """Write data, detection report, residual flags and counters; return their paths.
 
-    Detection runs once: the wide frame is stored first (in ``staging``, else in
+    Detection runs once: the wide frame is stored first (at ``staging``, else in
     the shared folder) and the outputs read only the columns they need from it.
-    The reports hold raw personal data; ``report_destination`` puts them
-    elsewhere and ``with_report=False`` leaves the detection report out.
+    The stage holds raw personal data and is deleted at the end, also after a
+    failure. So do the reports; ``report_destination`` puts them elsewhere and
+    ``with_report=False`` keeps detected texts out of stage and outputs.
     Residual flags are only written if there are any.
     """
-    needed = [c for c in dict.fromkeys([*result.original_columns, *result.key]) if c]
-    working = [x for c in result.cells for x in (c.redacted, c.detections, c.findings)]
-    stage = stored(result.wide.select(*[F.col(name(c)) for c in [*needed, *working]]), staging)
-    done = result.on(stage)
-    reports = report_destination or destination
+    reports.check_identity(result)
+    spark = result.wide.sparkSession
+    path = staging or shared_folder(spark)
+    needed = [c for c in dict.fromkeys([*result.original_columns, *result.key, result.row_index]) if c]
+    working = [F.col(x) for c in result.cells for x in (c.redacted, c.findings)]
+    # the counters need the number of detections, only the report needs what they say
+    found = [F.col(c.detections) if with_report else F.transform(c.detections, lambda x: F.lit(0)).alias(c.detections) for c in result.cells]
+    try:
+        stage = stored(result.wide.select(*[F.col(name(c)) for c in needed], *working, *found), path)
+        return _write(result.on(stage), destination, report_destination or destination, file_format, with_report)
+    finally:
+        delete(spark, path)
+
+
+def _write(done: Anonymised, destination: str, reports_to: str, file_format: str, with_report: bool) -> dict[str, str]:
     paths = {DATA: f"{destination}/{DATA}"}
     nan_to_null(done.data).write.format(file_format).save(paths[DATA])
     if with_report:
-        paths[DETECTIONS] = f"{reports}/{DETECTIONS}"
+        paths[DETECTIONS] = f"{reports_to}/{DETECTIONS}"
         nan_to_null(done.detections()).write.format(file_format).save(paths[DETECTIONS])
     residuals = done.residuals()
     if not residuals.isEmpty():
-        paths[RESIDUALS] = f"{reports}/{RESIDUALS}"
+        paths[RESIDUALS] = f"{reports_to}/{RESIDUALS}"
         residuals.write.format(file_format).save(paths[RESIDUALS])
-    paths[STATS] = f"{reports}/{STATS}"
+    paths[STATS] = f"{reports_to}/{STATS}"
     done.stats().write.format(file_format).save(paths[STATS])
     return paths

@@ -42,7 +42,8 @@ def detection_counts(
     The time column must be among the keys of the result. Counting is partial
     per task, so a window with very many events still shuffles one row per task.
     """
-    found = result.detections().withWatermark(event_time, late)
+    # on all rows, so that rows without detections move the time on as well
+    found = result.on(result.wide.withWatermark(event_time, late)).detections()
     return (
         found.groupBy(F.window(event_time, window), "entity_type")
         .agg(F.count(F.lit(1)).alias("detections"))

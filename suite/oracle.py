@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from quillmask import catalogue as cat
 from quillmask.catalogue import DEFAULT_CATALOGUE, Detector
-from quillmask.sources.comments import COMMENTS_SQL
+from suite.comments import COMMENTS_SQL
 from suite.relations import (
     CUSTOMER_NOTES_SQL,
     DICTIONARY_SQL,
@@ -59,7 +59,7 @@ def matches(source: str, pattern: str, keys: str, text: str = "t", ignore_case:
     if _LOOKAHEAD in pattern:
         inner = places(source, flags + pattern.replace(_LOOKAHEAD, ""), keys, text)
         return f"SELECT * FROM ({inner}) WHERE upper(said[1:2]) NOT IN ({qs(_BANNED)})"
-    return places(source, flags + pattern, keys, text)
+    return places(source, flags + pattern.replace(cat.EMAIL_START, "").replace("]*+@", "]*@"), keys, text)
 
 
 CELLS = f"""
@@ -82,15 +82,14 @@ def scored(detectors: list[Detector], source: str, keys: str) -> str:
     """All spans with their lifted scores (context words before the match)."""
     parts = []
     for d in detectors:
-        words = d.context_words
-        lifted = f"regexp_matches(around, {q('|'.join(words))})" if words else "false"
+        lifted = " OR ".join(f"contains(around, {q(w)})" for w in d.context if " " not in w) or "false"
         parts.append(f"""
           SELECT {keys}, {q(d.entity_type)} AS entity_type, "start", "end",
-            CASE WHEN {lifted} THEN {d.boosted_score!r}::DOUBLE ELSE {d.score!r}::DOUBLE END AS score, text
+            CASE WHEN {lifted} THEN round(least(1.0, greatest({d.score} + {cat.CONTEXT_BOOST}, {cat.CONTEXT_MIN_SCORE})), 3)::DOUBLE ELSE {d.score!r}::DOUBLE END AS score, text
           FROM (SELECT *, array_to_string(
                   list_filter(regexp_extract_all(lower(t[1:CAST("start" AS BIGINT)]), {q(cat.WORD)}, 0),
                     lambda x: x NOT IN ({qs(cat.STOPWORDS)}))[-5:], ' ')
-                  || ' ' || regexp_extract(lower(said), {q(cat.WORD)}, 0) AS around, said AS text
+                  || ' ' || regexp_extract(lower(said), '[^ \t\r\n]+', 0) AS around, said AS text
                 FROM ({matches(source, d.pattern, keys, ignore_case=d.ignore_case)}))""")
     return " UNION ALL ".join(parts)
 
@@ -106,6 +105,7 @@ def span_steps(
     source: str = "cells",
     keys: str = CELL_KEYS,
     extra: str | None = None,
+    allowed=cat.ALLOW_LIST,
 ) -> str:
     """CTEs from scored spans to redacted text."""
     same = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
@@ -124,7 +124,7 @@ def span_steps(
         AND b."start" <= a."start" AND b."end" >= a."end"
         AND (b.score > a.score OR (b.score = a.score AND (b."start" < a."start" OR b."end" > a."end"))))),
   reached AS (SELECT * FROM deduped WHERE score >= {threshold}),
-  detections AS (SELECT * FROM reached WHERE text NOT IN ({qs(cat.ALLOW_LIST)})),
+  detections AS (SELECT * FROM reached WHERE text NOT IN ({qs(allowed)})),
   flagged AS (
     SELECT *, CASE WHEN "start" < max("end") OVER (PARTITION BY {by}, entity_type ORDER BY "start", "end" DESC, score DESC
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM detections),
@@ -249,7 +249,7 @@ def build() -> dict[str, str]:
         "detect_access_code": ["code_labelled", "code_bare"],
         "detect_name_label": ["name_label"],
         "detect_title_name": ["title_name"],
-        "detect_dates": ["date_iso", "date_numeric", "date_month_name"],
+        "detect_dates": ["date_iso", "date_numeric", "date_month_name", "date_month_first", "date_month_year", "date_timestamp"],
     }.items():
         sql[key] = detector_query(names)
 
@@ -276,6 +276,8 @@ def build() -> dict[str, str]:
       FROM comments c JOIN redacted n ON c.row_id = n.row_id AND n.source_column = 'notes'
       JOIN redacted d ON c.row_id = d.row_id AND d.source_column = 'description'"""
     sql["outputs_data"] = sql["redact_two_columns"]
+    sql["changed_rows"] = f"""SELECT * FROM ({sql["redact_two_columns"]})
+      WHERE "notes_Anonymised" <> notes OR "description_Anonymised" <> description"""
     sql["redact_low_threshold"] = f"""WITH {CELLS}, {span_steps(ALL_TYPES, 0.2)}
       SELECT {CELL_KEYS}, redacted FROM redacted"""
     sql["redact_annotated"] = f"""WITH {CELLS}, {ENTITIES}, {annotated}
@@ -293,6 +295,11 @@ def build() -> dict[str, str]:
       SELECT source_column, {OUTPUT_COLUMN}, row_id AS row_index, label, text FROM findings"""
     sql["residual_flags"] = flags
     sql["outputs_residual_flags"] = flags
+    sql["flagged_rows"] = f"""SELECT row_index, source_column, count(*) AS n_findings FROM ({flags})
+      WHERE source_column = 'notes' GROUP BY row_index, source_column"""
+    own = ("Mr Brown", *(f"0191 {a} {b}" for a in range(100, 110) for b in range(1000, 1010)))
+    sql["residual_own_allow_list"] = f"""WITH {CELLS}, {span_steps(allowed=own)}, {residual_ctes()}
+      SELECT {CELL_KEYS}, label, text FROM residual"""
     sql["run_stats"] = f"""WITH {everything}, {findings}
       SELECT (SELECT count(*) FROM comments) AS records_processed, CAST(2 AS BIGINT) AS columns_anonymised,
         (SELECT count(*) FROM detections) AS pii_entities_detected,
@@ -308,12 +315,14 @@ def build() -> dict[str, str]:
       SELECT {CELL_KEYS}, "start", "end", label, text FROM missed"""
 
     grams = f"""notes AS ({CUSTOMER_NOTES_SQL}), cells AS (SELECT c_custkey, note AS t FROM notes),
-      dictionary AS ({DICTIONARY_SQL}), words AS (SELECT c_custkey, i, "start", "end", lower(said) AS w FROM ({places('cells', cat.WORD, 'c_custkey')})),
+      dictionary AS ({DICTIONARY_SQL}),
+      words AS (
+        SELECT c_custkey, list(lower(said) ORDER BY i) AS w, list("start" ORDER BY i) AS s, list("end" ORDER BY i) AS e
+        FROM ({places('cells', cat.WORD, 'c_custkey')}) GROUP BY c_custkey),
+      starts AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words),
       grams AS (
-        SELECT c_custkey, "start", "end", w AS gram FROM words
-        UNION ALL SELECT a.c_custkey, a."start", b."end", a.w || ' ' || b.w FROM words a JOIN words b ON a.c_custkey = b.c_custkey AND b.i = a.i + 1
-        UNION ALL SELECT a.c_custkey, a."start", c."end", a.w || ' ' || b.w || ' ' || c.w FROM words a
-          JOIN words b ON a.c_custkey = b.c_custkey AND b.i = a.i + 1 JOIN words c ON a.c_custkey = c.c_custkey AND c.i = a.i + 2)"""
+        SELECT c_custkey, s[i] AS "start", e[i + n - 1] AS "end", array_to_string(w[i:i + n - 1], ' ') AS gram
+        FROM (SELECT *, unnest(range(1, 10)) AS n FROM starts) WHERE i + n - 1 <= len(w))"""
     sql["gazetteer_detect"] = f"""WITH {grams}
       SELECT c_custkey, 'note' AS source_column, "start", "end", label, 0.85::DOUBLE AS score
       FROM grams JOIN (SELECT DISTINCT array_to_string(regexp_extract_all(lower(term), {q(cat.WORD)}, 0), ' ') AS gram, label FROM dictionary) d USING (gram)"""
@@ -322,24 +331,25 @@ def build() -> dict[str, str]:
     sql["csv_na_normalise"] = f"""SELECT row_id, n_items, CASE WHEN remark IN ({qs(cat.CSV_NA_TOKENS)}) THEN NULL ELSE remark END AS remark
       FROM ({NA_SQL})"""
     sql["nan_to_null"] = f"""SELECT o_orderkey, CASE WHEN isnan(ratio) THEN NULL ELSE ratio END AS ratio FROM ({MEASURES_SQL.format(nan="CAST('NaN' AS DOUBLE)")})"""
+    sql["row_index_csv"] = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders"
     sql["row_index_by_file"] = "SELECT o_orderkey, o_orderkey AS row_index FROM orders"
     sql["row_index_by_order"] = """SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row_index FROM orders"""
 
     # Whole texts
     doc_steps = span_steps(ALL_TYPES, 0.45, keys="doc_id")
     sql["redact_documents"] = f"""WITH {docs}, {doc_steps}
-      SELECT d.doc_id, d.lang, r.redacted AS "text_Anonymised" FROM documents d JOIN redacted r USING (doc_id)"""
+      SELECT d.doc_id, d.lang, d.source, d.n_chars, r.redacted AS "text_Anonymised" FROM documents d JOIN redacted r USING (doc_id)"""
     sql["detections_documents"] = f"""WITH {docs}, {doc_steps}
       SELECT doc_id, entity_type, score, "start", "end", text AS original_text FROM detections"""
     conv = _document_cells("conversations", "conv_id, turn")
     sql["redact_conversations"] = f"""WITH {conv}, {span_steps(ALL_TYPES, 0.45, keys="conv_id, turn")}
-      SELECT conv_id, turn, redacted AS "text_Anonymised" FROM redacted"""
+      SELECT conv_id, turn, c.role, redacted AS "text_Anonymised" FROM redacted JOIN conversations c USING (conv_id, turn)"""
     pages = _document_cells("pages", "page_id", "html")
     sql["redact_pages_html"] = f"""WITH {pages}, {span_steps(keys="page_id")}
-      SELECT page_id, redacted AS "html_Anonymised" FROM redacted"""
+      SELECT page_id, p.url, redacted AS "html_Anonymised" FROM redacted JOIN pages p USING (page_id)"""
     fallback = "cells AS (SELECT page_id, CAST(page_id AS VARCHAR) AS t FROM pages)"
     sql["redact_pages_fallback"] = f"""WITH {fallback}, {span_steps(keys="page_id")}
-      SELECT page_id, url, redacted AS "page_id_Anonymised" FROM pages JOIN redacted USING (page_id)"""
+      SELECT page_id, url, html, redacted AS "page_id_Anonymised" FROM pages JOIN redacted USING (page_id)"""
     doc_all = f"""{docs}, {span_steps(keys="doc_id")}, {residual_ctes("doc_id")}, {missed_ctes("doc_id")}"""
     sql["residuals_documents"] = f"""WITH {doc_all}
       SELECT doc_id, label, text FROM residual UNION ALL SELECT doc_id, label, text FROM missed"""
@@ -366,7 +376,7 @@ def build() -> dict[str, str]:
     sql["stream_window_counts"] = f"""WITH {events}, {span_steps(keys="event_id")}
       SELECT date_trunc('hour', e.ts) AS window_start, entity_type, count(*) AS detections
       FROM detections JOIN events e USING (event_id)
-      WHERE date_trunc('hour', e.ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events JOIN detections USING (event_id))
+      WHERE date_trunc('hour', e.ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)
       GROUP BY 1, 2"""
     sql["stream_anonymise"] = sql["redact_conversations"]
     return sql

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +19,10 @@ from quillmask.operators.annotations import attach_entities, attach_tokens, dict
 from quillmask.operators.detection import candidates, raw_matches
 from quillmask.operators.quality import review_sample, span_scores, threshold_sweep
 from quillmask.operators.residual import findings_of
-from quillmask.plans.staging import shared_folder
-from quillmask.sources.comments import comments
+from quillmask.plans import staging
+from suite.comments import comments
 from quillmask.sources.readers import read_csv, read_parquet
-from quillmask.sources.row_index import read_parquet_with_index, with_row_index
+from quillmask.sources.row_index import read_csv_with_index, read_parquet_with_index, with_row_index
 from quillmask.sources.writers import DATA, DETECTIONS, RESIDUALS, nan_to_null, write_outputs
 from quillmask.streaming.streams import detection_counts, write_stream
 from suite.relations import (
@@ -34,13 +37,26 @@ from suite.relations import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Numbers that no detector may redact in residual_own_allow_list.
+OWN_ALLOWED = tuple(f"0191 {a} {b}" for a in range(100, 110) for b in range(1000, 1010))
 ALL_TYPES = tuple(cat.ENTITY_OPTIONS.values())
 DETECTORS = {d.name: d for d in DEFAULT_CATALOGUE.detectors}
 SPAN = ["entity_type", "start", "end", "score"]
 
 
+# Tasks that a table's rows are dealt out to, for tables of a single row group.
+PARTITIONS = int(os.environ["SUITE_PARTITIONS"]) if "SUITE_PARTITIONS" in os.environ else None
+
+
 def table(spark: SparkSession, sf_dir: str, name_: str, *columns: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name_}.parquet", list(columns) or None)
+    return read_parquet(spark, f"{sf_dir}/{name_}.parquet", list(columns) or None, PARTITIONS)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder for what a query stores; a local session without one gets its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillmask-"))
+    return staging.shared_folder(spark)
 
 
 def comment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +258,26 @@ def redact_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standard(spark, sf_dir).data
 
 
+def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on output columns."""
+    return standard(spark, sf_dir).data.filter(
+        "notes_Anonymised <> notes OR description_Anonymised <> description"
+    )
+
+
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = standard(spark, sf_dir).residual_flags().filter("source_column = 'notes'")
+    return flagged.select("row_index", "source_column", F.size("findings").cast("long").alias("n_findings"))
+
+
+def residual_own_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an own list allows stays in clear and is flagged for review."""
+    own = replace(DEFAULT_CATALOGUE, allow_list=("Mr Brown", *OWN_ALLOWED))
+    result = standard(spark, sf_dir, catalogue=own, key="row_id")
+    flat = step_rows(result, "findings", ["row_id"], "label", "text", "scope")
+    return flat.filter("scope = 'output'").drop("scope")
+
+
 def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standard(spark, sf_dir).detections()
 
@@ -290,7 +326,7 @@ def document_run(spark: SparkSession, sf_dir: str, columns: list[str], **setting
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text column is picked by its name."""
-    result = document_run(spark, sf_dir, ["doc_id", "text", "lang"], entity_types=ALL_TYPES)
+    result = document_run(spark, sf_dir, [], entity_types=ALL_TYPES)
     return result.data.drop("text")
 
 
@@ -304,18 +340,18 @@ def residuals_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    turns = table(spark, sf_dir, "conversations")
     return anonymise(turns, entity_types=ALL_TYPES, style=STYLE_ENTITY_TAGS, threshold=0.45).data.drop("text")
 
 
 def redact_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages", "page_id", "html")
+    pages = table(spark, sf_dir, "pages")
     return anonymise(pages, columns=["html"], style=STYLE_ENTITY_TAGS, threshold=0.45).data.drop("html")
 
 
 def redact_pages_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No column name suggests free text, so the first column is taken."""
-    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    pages = table(spark, sf_dir, "pages")
     return anonymise(pages, style=STYLE_ENTITY_TAGS, threshold=0.45).data
 
 
@@ -338,11 +374,20 @@ def nan_to_null_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nan_to_null(spark.sql(sql, orders=orders))
 
 
+def row_index_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the rows of CSV files that are split into blocks."""
+    path = shared_folder(spark) + ".csv"
+    table(spark, sf_dir, "orders", "o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey").write.csv(path, header=True)
+    return read_csv_with_index(spark, path, multi_line=False)
+
+
 def row_index_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
     return read_parquet_with_index(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "row_index")
 
 
 def row_index_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
     return with_row_index(orders, ["o_totalprice", "o_orderkey"]).select("o_orderkey", "row_index")
 
@@ -385,7 +430,7 @@ def stream_of(spark: SparkSession, sf_dir: str, name_: str) -> DataFrame:
 
 def stream_anonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream, drained into files and read back."""
-    turns = stream_of(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = stream_of(spark, sf_dir, "conversations")
     result = anonymise(turns, entity_types=ALL_TYPES, style=STYLE_ENTITY_TAGS, threshold=0.45)
     out = shared_folder(spark)
     write_stream(result.data.drop("text"), f"{out}/data", f"{out}/checkpoint", available_now=True).awaitTermination()
@@ -417,7 +462,7 @@ QUERIES: dict[str, Query] = {
     "detect_access_code": comment_matches("code_labelled", "code_bare"),
     "detect_name_label": comment_matches("name_label"),
     "detect_title_name": comment_matches("title_name"),
-    "detect_dates": comment_matches("date_iso", "date_numeric", "date_month_name"),
+    "detect_dates": comment_matches("date_iso", "date_numeric", "date_month_name", "date_month_first", "date_month_year", "date_timestamp"),
     "context_boost": context_boost,
     "dedup_same_type": dedup_same_type,
     "threshold_filter": threshold_filter,
@@ -438,6 +483,9 @@ QUERIES: dict[str, Query] = {
     "missed_names": missed_names,
     "missed_names_off_label": missed_names_off_label,
     "gazetteer_detect": gazetteer_detect,
+    "changed_rows": changed_rows,
+    "flagged_rows": flagged_rows,
+    "residual_own_allow_list": residual_own_allow_list,
     "outputs_data": outputs_data,
     "outputs_detection_report": outputs_detection_report,
     "outputs_residual_flags": outputs_residual_flags,
@@ -449,6 +497,7 @@ QUERIES: dict[str, Query] = {
     "redact_pages_fallback": redact_pages_fallback,
     "csv_na_normalise": csv_na_normalise,
     "nan_to_null": nan_to_null_query,
+    "row_index_csv": row_index_csv,
     "row_index_by_file": row_index_by_file,
     "row_index_by_order": row_index_by_order,
     "threshold_sweep": sweep,

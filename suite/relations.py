@@ -47,6 +47,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 
 DICTIONARY_SQL = """
 SELECT n_name AS term, 'GPE' AS label FROM nation UNION ALL SELECT r_name, 'LOC' FROM region
+UNION ALL SELECT 'From ' || n_name || ' / ' || r_name || ' / ' || n_name, 'ORIGIN' FROM nation JOIN region ON n_regionkey = r_regionkey
 """
 
 # A CSV-like export with remarks that spell out missing values, quotes and line breaks.

@@ -9,10 +9,10 @@ ALL = list(ENTITY_OPTIONS.values())
 TAGS = dict(style=STYLE_ENTITY_TAGS, threshold=0.45)
 
 COMMENTS = {
-    "Miss Cole received a letter, REP-2023-01200, call 07009502800": "<PERSON> letter, <HOUSING_REF>, call <PHONE_NUMBER>",
+    "Miss Harlow sent the form back, REP-2023-01200, call 07009502800": "<PERSON> form back, <HOUSING_REF>, call <PHONE_NUMBER>",
     "Tenant rang, key safe: 2201 flat at SW1A 1AA": "Tenant rang, <ACCESS_CODE> flat at <POSTCODE>",
-    "Name: Mr R A Poile\nNI no AB001202C": "Name: <PERSON>\nNI no <NINO>",
-    "REF 11203 for mr & mrs judge, 0191 403 2203": "<HOUSING_REF> for <PERSON>, <PHONE_NUMBER>",
+    "Name: Mr T B Quill\nNI no AB001202C": "Name: <PERSON>\nNI no <NINO>",
+    "REF 11203 for mr & mrs tanner, 0191 403 2203": "<HOUSING_REF> for <PERSON>, <PHONE_NUMBER>",
     "Email user1204@example.com, customer-2204": "Email <EMAIL>, <HOUSING_REF>",
     "GB123456A is not valid, AB 12 34 56 D is, ask +44 7700 001205": "GB123456A is not valid, <NINO> is, ask +44 <PHONE_NUMBER>",
     "Tenancy 101207 in BH-407 and BH 123 456 seen": "<HOUSING_REF> in <HOUSING_REF> and <HOUSING_REF> 456 seen",
@@ -79,7 +79,7 @@ def test_score_on_the_threshold_counts(spans):
 
 
 def test_title_takes_following_words(spans):
-    assert {s[4] for s in spans(["Miss Cole received a letter"])[0]} == {"Miss Cole received a"}
+    assert {s[4] for s in spans(["Miss Harlow sent the form back"])[0]} == {"Miss Harlow sent the"}
 
 
 def test_name_label_takes_the_line_in_any_case(spans):
@@ -156,12 +156,12 @@ def test_high_threshold_leaves_are_flagged(run):
 
 
 def test_missed_names(run):
-    texts = ["We met Sarah Jones-Smith and I saw NHS staff. Then Bob left. see R A Poile"]
+    texts = ["We met Sarah Jones-Smith and I saw NHS staff. Then Bob left. see T B Quill"]
     got = findings(run(texts))
     assert got == [
         ("POSSIBLE_MISSED_NAME", "Bob"),
-        ("POSSIBLE_MISSED_NAME", "R A Poile"),
         ("POSSIBLE_MISSED_NAME", "Sarah Jones-Smith"),
+        ("POSSIBLE_MISSED_NAME", "T B Quill"),
     ]
     assert findings(run(texts, entity_types=["EMAIL_ADDRESS"])) == []
 
