@@ -34,36 +34,65 @@ def _token(df: DataFrame) -> Column:
     )
 
 
-def _attach(df: DataFrame, table: DataFrame, row: Column, key, columns: dict[str, str]) -> DataFrame:
+def _attach(df: DataFrame, lists: DataFrame, key: list[str], partitions: int | None) -> DataFrame:
     """Left join of per-row arrays.
 
     The lists are gathered per row key, so each is bounded by the text of one
     row. Map-side partial lists keep the shuffle small, and no side is forced
     into a broadcast: a small table is broadcast by its size, else the join
-    shuffles on the row key.
+    shuffles on the row key. Detection after the join is bound by CPU, while
+    adaptive execution sizes partitions by bytes; ``partitions`` fixes their
+    number.
     """
-    key = [key] if isinstance(key, str) else list(key)
-    wanted = table.filter(F.col("source_column").isin(*columns))
-    lists = [
-        F.sort_array(F.collect_list(F.when(F.col("source_column") == source, row))).alias(target)
+    if partitions is not None:
+        df = df.repartition(partitions, *key)
+    return df.join(lists, key, "left")
+
+
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _lists(kind: str, row: Column, columns: dict[str, str]) -> list[Column]:
+    return [
+        F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & (F.col("source_column") == source), row))).alias(target)
         for source, target in columns.items()
     ]
-    return df.join(wanted.groupBy(*key).agg(*lists), key, "left")
 
 
-def attach_entities(df: DataFrame, entities: DataFrame, key, columns: dict[str, str]) -> DataFrame:
+def _gathered(tables: list[tuple[str, DataFrame, Column, dict[str, str]]], key: list[str]) -> DataFrame:
+    """All annotation tables grouped by row key at once, one list for each target column."""
+    parts = [
+        t.filter(F.col("source_column").isin(*columns)).select(*key, F.lit(kind).alias("kind"), "source_column", row.alias(kind))
+        for kind, t, row, columns in tables
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.groupBy(*key).agg(*[c for kind, _, _, columns in tables for c in _lists(kind, F.col(kind), columns)])
+
+
+def attach_annotations(
+    df: DataFrame, entities: DataFrame, tokens: DataFrame, key, entity_columns, token_columns, partitions: int | None = None
+) -> DataFrame:
+    """Add entity and token columns with one grouping and one join."""
+    tables = [("entity", entities, _entity(entities), entity_columns), ("token", tokens, _token(tokens), token_columns)]
+    return _attach(df, _gathered(tables, _keys(key)), _keys(key), partitions)
+
+
+def attach_entities(df: DataFrame, entities: DataFrame, key, columns: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Add an entity column per source column.
 
     ``entities`` has the key columns, ``source_column``, ``start``, ``end``,
     ``label`` and optionally ``score``; ``columns`` maps source columns to the
     names of the new columns.
     """
-    return _attach(df, entities, _entity(entities), key, columns)
+    return _attach(df, _gathered([("entity", entities, _entity(entities), columns)], _keys(key)), _keys(key), partitions)
 
 
-def attach_tokens(df: DataFrame, tokens: DataFrame, key, columns: dict[str, str]) -> DataFrame:
+def attach_tokens(df: DataFrame, tokens: DataFrame, key, columns: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Add a token column per source column, from ``start``, ``end``, ``text`` and ``pos``."""
-    return _attach(df, tokens, _token(tokens), key, columns)
+    return _attach(df, _gathered([("token", tokens, _token(tokens), columns)], _keys(key)), _keys(key), partitions)
 
 
 # Up to this many different first words of terms are tested before words are exploded.

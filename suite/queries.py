@@ -15,7 +15,7 @@ from quillmask import STYLE_ENTITY_TAGS, STYLE_GENERIC, anonymise
 from quillmask import catalogue as cat
 from quillmask.catalogue import DEFAULT_CATALOGUE
 from quillmask.functions import algebra
-from quillmask.operators.annotations import attach_entities, attach_tokens, dictionary_entities
+from quillmask.operators.annotations import attach_annotations, attach_entities, dictionary_entities
 from quillmask.operators.detection import candidates, raw_matches
 from quillmask.operators.quality import review_sample, span_scores, threshold_sweep
 from quillmask.operators.residual import findings_of
@@ -28,11 +28,11 @@ from quillmask.streaming.streams import detection_counts, write_stream
 from suite.relations import (
     CUSTOMER_NOTES_SQL,
     DICTIONARY_SQL,
-    ENTITIES_SQL,
+    ENTITIES_SPARK,
     EVENT_MESSAGE_SQL,
     MEASURES_SQL,
     NA_SQL,
-    TOKEN_POS_SQL,
+    TOKEN_POS_SPARK,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,13 +189,14 @@ def redact_low_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotated(spark: SparkSession, sf_dir: str, tokens: bool = False, **settings):
     df = comment_table(spark, sf_dir)
-    entities = spark_sql(spark, ENTITIES_SQL, comments=df)
-    joined = attach_entities(df, entities, "row_id", {"notes": "ents_n", "description": "ents_d"})
+    entities = spark.sql(ENTITIES_SPARK, comments=df)
     given = {"entities": {"notes": "ents_n", "description": "ents_d"}}
     if tokens:
-        tagged = spark_sql(spark, TOKEN_POS_SQL, comments=df)
-        joined = attach_tokens(joined, tagged, "row_id", {"notes": "toks_n", "description": "toks_d"})
+        tagged = spark.sql(TOKEN_POS_SPARK, comments=df)
         given["tokens"] = {"notes": "toks_n", "description": "toks_d"}
+        joined = attach_annotations(df, entities, tagged, "row_id", given["entities"], given["tokens"], PARTITIONS)
+    else:
+        joined = attach_entities(df, entities, "row_id", given["entities"], PARTITIONS)
     settings = {"entity_types": ALL_TYPES, "threshold": 0.45, **settings}
     return anonymise(
         joined, columns=["notes", "description"], style=STYLE_ENTITY_TAGS, key="row_id", **given, **settings
@@ -407,7 +408,7 @@ def qa_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = comment_table(spark, sf_dir)
     found = anonymise(df, columns=["notes"], threshold=0.45, key="row_id").detections()
-    people = spark_sql(spark, ENTITIES_SQL, comments=df).filter("label = 'PERSON'")
+    people = spark.sql(ENTITIES_SPARK, comments=df).filter("label = 'PERSON'")
     mobiles = rows_of(
         df.select("row_id", F.coalesce("notes", F.lit("")).alias("t")).select(
             "row_id", F.expr(raw_matches("t", DETECTORS["uk_mobile"])).alias("found")

@@ -2,43 +2,59 @@
 
 from __future__ import annotations
 
+
+
+def word_at(column: str, word: str, length: int | None = None) -> tuple[str, str]:
+    """Start and end of a word's first place."""
+    size = len(word) if length is None else length
+    return f"CAST(instr({column}, '{word}') - 1 AS int)", f"CAST(instr({column}, '{word}') + {size - 1} AS int)"
+
+
 # What a model might have found in the comments: names whole or in two parts,
 # a role word, a place and labels outside the entity types.
-ENTITIES_SQL = """
-SELECT row_id, 'notes' AS source_column, CAST(instr(notes, 'Sarah') - 1 AS int) AS "start", CAST(instr(notes, 'Sarah') + 4 AS int) AS "end", 'PERSON' AS label
-  FROM comments WHERE notes LIKE '%Sarah Jones%' AND category <> '1-URGENT'
-UNION ALL
-SELECT row_id, 'notes', CAST(instr(notes, 'Jones') - 1 AS int), CAST(instr(notes, 'Jones') + 4 AS int), 'PERSON'
-  FROM comments WHERE notes LIKE '%Sarah Jones%' AND category <> '1-URGENT'
-UNION ALL
-SELECT row_id, 'notes', CAST(instr(notes, 'Sarah') - 1 AS int), CAST(instr(notes, 'Sarah') + 10 AS int), 'PRODUCT'
-  FROM comments WHERE notes LIKE '%Sarah Jones%' AND category = '1-URGENT'
-UNION ALL
-SELECT row_id, 'notes', 0, 6, 'PERSON' FROM comments WHERE notes LIKE 'Tenant %'
-UNION ALL
-SELECT row_id, 'notes', CAST(instr(notes, 'SW1A') - 1 AS int), CAST(instr(notes, 'SW1A') + 3 AS int), 'GPE' FROM comments WHERE notes LIKE '%SW1A%'
-UNION ALL
-SELECT row_id, 'notes', 0, 4, 'ORG' FROM comments WHERE notes LIKE 'Caf%'
-UNION ALL
-SELECT row_id, 'description', 9, 17, 'PER' FROM comments WHERE description LIKE 'Spoke to Mr Brown%'
-"""
+ENTITY_ROWS = (
+    ("'notes'", *word_at("notes", "Sarah"), "'PERSON'", "notes LIKE '%Sarah Jones%' AND category <> '1-URGENT'"),
+    ("'notes'", *word_at("notes", "Jones"), "'PERSON'", "notes LIKE '%Sarah Jones%' AND category <> '1-URGENT'"),
+    ("'notes'", *word_at("notes", "Sarah", 11), "'PRODUCT'", "notes LIKE '%Sarah Jones%' AND category = '1-URGENT'"),
+    ("'notes'", "0", "6", "'PERSON'", "notes LIKE 'Tenant %'"),
+    ("'notes'", *word_at("notes", "SW1A"), "'GPE'", "notes LIKE '%SW1A%'"),
+    ("'notes'", "0", "4", "'ORG'", "notes LIKE 'Caf%'"),
+    ("'description'", "9", "17", "'PER'", "description LIKE 'Spoke to Mr Brown%'"),
+)
 
 # Tagged tokens for the same comments.
-TOKEN_POS_SQL = """
-SELECT row_id, 'notes' AS source_column, CAST(instr(notes, 'Sarah') - 1 AS int) AS "start", CAST(instr(notes, 'Sarah') + 4 AS int) AS "end", 'Sarah' AS text, 'PROPN' AS pos
-  FROM comments WHERE notes LIKE '%Sarah Jones%'
-UNION ALL
-SELECT row_id, 'notes', CAST(instr(notes, 'Jones') - 1 AS int), CAST(instr(notes, 'Jones') + 4 AS int), 'Jones', 'PROPN'
-  FROM comments WHERE notes LIKE '%Sarah Jones%'
-UNION ALL
-SELECT row_id, 'notes', 0, 6, 'Tenant', 'PROPN' FROM comments WHERE notes LIKE 'Tenant %'
-UNION ALL
-SELECT row_id, 'notes', 0, 4, 'Miss', 'PROPN' FROM comments WHERE notes LIKE 'Miss %'
-UNION ALL
-SELECT row_id, 'notes', 0, 4, 'Good', 'ADJ' FROM comments WHERE notes LIKE 'Good %'
-UNION ALL
-SELECT row_id, 'notes', 0, 5, 'Email', 'PROPN' FROM comments WHERE notes LIKE 'Email %'
-"""
+TOKEN_ROWS = (
+    ("'notes'", *word_at("notes", "Sarah"), "'Sarah'", "'PROPN'", "notes LIKE '%Sarah Jones%'"),
+    ("'notes'", *word_at("notes", "Jones"), "'Jones'", "'PROPN'", "notes LIKE '%Sarah Jones%'"),
+    ("'notes'", "0", "6", "'Tenant'", "'PROPN'", "notes LIKE 'Tenant %'"),
+    ("'notes'", "0", "4", "'Miss'", "'PROPN'", "notes LIKE 'Miss %'"),
+    ("'notes'", "0", "4", "'Good'", "'ADJ'", "notes LIKE 'Good %'"),
+    ("'notes'", "0", "5", "'Email'", "'PROPN'", "notes LIKE 'Email %'"),
+)
+
+ENTITY_FIELDS = ("source_column", "start", "end", "label")
+TOKEN_FIELDS = ("source_column", "start", "end", "text", "pos")
+
+
+def as_union(rows, fields) -> str:
+    """One branch for each kind of row."""
+    return " UNION ALL ".join(
+        "SELECT row_id, " + ", ".join(f'{v} AS "{f}"' for f, v in zip(fields, values, strict=True)) + f" FROM comments WHERE {condition}"
+        for *values, condition in rows
+    )
+
+
+def in_one_pass(rows, fields) -> str:
+    """The same rows from one scan of the comments."""
+    structs = ", ".join(
+        f"if({condition}, named_struct(" + ", ".join(f"'{f}', {v}" for f, v in zip(fields, values, strict=True)) + "), null)"
+        for *values, condition in rows
+    )
+    return f"SELECT row_id, inline(filter(array({structs}), r -> r is not null)) FROM {{comments}}"
+
+
+ENTITIES_SQL, ENTITIES_SPARK = as_union(ENTITY_ROWS, ENTITY_FIELDS), in_one_pass(ENTITY_ROWS, ENTITY_FIELDS)
+TOKEN_POS_SQL, TOKEN_POS_SPARK = as_union(TOKEN_ROWS, TOKEN_FIELDS), in_one_pass(TOKEN_ROWS, TOKEN_FIELDS)
 
 CUSTOMER_NOTES_SQL = """
 SELECT c_custkey, 'Call with customer ' || cast(c_custkey AS string) || ' from ' || n_name || ' (' || lower(r_name) || '): ' || n_name || ', branch ' || c_mktsegment AS note
