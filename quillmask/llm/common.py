@@ -32,6 +32,31 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored intermediates of one operation that are deleted when they are done with."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Delete everything but the given frames, through the file system that holds it."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        for out, path in self.held:
+            if not any(out is k for k in kept):
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(conf).delete(target, True)
+        self.held = [(out, path) for out, path in self.held if any(out is k for k in kept)]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Documents can be long, so few of them travel to Python at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
