@@ -1,15 +1,19 @@
 """SentencePiece encoding and decoding.
 
-An Aho-Corasick automaton holds all pieces. One pass over a text follows its
-transitions; at each position the automaton's outputs (the pieces that end
-there, longest first along the output links) relax the best score. A character
-that no piece ends at costs less than any piece and is written as byte pieces.
+An Aho-Corasick automaton holds all pieces. For a unigram model one pass over a
+text follows its transitions; at each position the automaton's outputs (the
+pieces that end there, longest first along the output links) relax the best
+score. Of equal scores the longer last piece wins.
 
-No piece has a blank after another character, so the best path of a text is the
-best paths of its words (with the blanks before them) put together, and each
-worker remembers words it has seen.
+The scores of a BPE model are merge ranks, whose sums mean nothing. There the
+neighbours whose union is the piece of the best rank are merged, leftmost first,
+until no union is a piece; the automaton's pieces tell which unions are.
 
-Of equal scores the longer last piece wins. Decoding gives back the exact text.
+A character that is no piece scores less than any piece and is written as byte
+pieces. No piece has a blank after another character, so the pieces of a text
+are the pieces of its words (with the blanks before them) put together, and each
+worker remembers words it has seen. Decoding gives back the exact text: texts
+are not normalised, whatever the model says.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text;
 a literal U+2581 is written as bytes, to be told from a blank; repeated rows are
@@ -20,6 +24,7 @@ encode_column and left out by encode.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -39,7 +44,7 @@ WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
 class Codec:
-    """Pieces of a model file, their scores and the automaton over them."""
+    """Pieces of a model file, their scores and the automaton over them; best sum of scores."""
 
     def __init__(self, proto: bytes):
         import ahocorasick
@@ -103,10 +108,12 @@ class Codec:
             at -= length
         return tuple(reversed(ids)), score[n]
 
+    cut = best
+
     def word(self, text: str) -> tuple[tuple[int, ...], float]:
         found = self.memo.get(text)
         if found is None:
-            found = self.best(text)
+            found = self.cut(text)
             if len(text) <= LONG_WORD:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -132,10 +139,64 @@ class Codec:
         return b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+class MergingCodec(Codec):
+    """Pieces of a BPE model by merges in order of rank, as the library makes them."""
+
+    def __init__(self, proto: bytes):
+        super().__init__(proto)
+        self.listed = dict(self.automaton.items())
+
+    def cut(self, text: str) -> tuple[tuple[int, ...], float]:
+        """Piece ids and the sum of their scores."""
+        n, piece = len(text), self.listed.get
+        after = list(range(1, n + 1))  # where the symbol that starts here ends; 0 if merged away
+        before = list(range(-1, n))  # where the symbol before it starts
+        # best rank first, then leftmost; an entry is stale if one of its symbols has changed
+        queue = [(-hit[2], i, i + 1, i + 2) for i in range(n - 1) if (hit := piece(text[i : i + 2]))]
+        heapq.heapify(queue)
+        while queue:
+            _, start, middle, end = heapq.heappop(queue)
+            if after[start] != middle or after[middle] != end:
+                continue
+            after[start], after[middle], before[end] = end, 0, start
+            if start and (hit := piece(text[before[start] : end])):
+                heapq.heappush(queue, (-hit[2], before[start], start, end))
+            if end < n and (hit := piece(text[start : after[end]])):
+                heapq.heappush(queue, (-hit[2], start, end, after[end]))
+        ids: list[int] = []
+        score, at = 0.0, 0
+        while at < n:
+            symbol = text[at : after[at]]
+            if hit := piece(symbol):
+                ids.append(hit[1])
+                score += hit[2]
+            else:
+                ids += [self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass")]
+                score += self.unknown
+            at = after[at]
+        return tuple(ids), score
+
+
+def codec_of(proto: bytes) -> Codec:
+    """The codec of the model's type."""
+    from sentencepiece import sentencepiece_model_pb2 as format_
+
+    model = format_.ModelProto.FromString(proto)
+    kinds, kind = format_.TrainerSpec, model.trainer_spec.model_type
+    if kind == kinds.UNIGRAM:
+        return Codec(proto)
+    if kind != kinds.BPE:
+        raise ValueError("only unigram and BPE models are supported")
+    special = {format_.ModelProto.SentencePiece.USER_DEFINED, format_.ModelProto.SentencePiece.UNUSED}
+    if any(p.type in special for p in model.pieces):
+        raise ValueError("user-defined and unused pieces of BPE models are not supported")
+    return MergingCodec(proto)
+
+
 @functools.lru_cache(maxsize=1)
 def held(proto: bytes) -> Codec:
     """A worker keeps its codec, and the words it has seen, from task to task."""
-    return Codec(proto)
+    return codec_of(proto)
 
 
 RESULT = T.StructType(

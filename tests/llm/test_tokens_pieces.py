@@ -104,3 +104,33 @@ def test_round_trip(spark, sf, codec, odd, odd_rows, empty):
     assert sorted((r.t for r in back)) == sorted(t or "" for _, t, _, _ in odd_rows)
     assert {r.doc_id: r.n_pieces for r in got.collect()}[3] == 0
     assert pieces.encode(empty, MODEL).count() == 0
+
+
+def test_ids_equal_the_library(spark, sf):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("NOT contains(text, '▁')")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in pieces.encode(docs, MODEL).collect()}
+    assert got.keys() == texts.keys() and len(got) > 100
+    for i, text in texts.items():
+        assert got[i].ids == library.encode(text or "")
+        assert got[i].n_pieces == len(got[i].ids)
+
+
+def test_odd_ids_equal_the_library():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    with open(MODEL, "rb") as file:
+        merging = pieces.codec_of(file.read())
+    lot = random.Random(11)
+    runs = ["".join(lot.choice("abeinrst ,1日本") for _ in range(lot.randrange(400))) for _ in range(300)]
+    texts = [t for t in odd_texts(2000, 7) if pieces.BLANK not in t]
+    for text in ["the and License", " " * 37 + "x", "internationalisation" * 50, "a" * 999, *runs, *texts]:
+        ids, score = merging.encode(text)
+        assert ids.tolist() == library.encode(text)
+        assert merging.decode(ids.tolist()) == text
+    ids, score = merging.encode("the License")
+    assert score == sum(library.get_score(int(k)) for k in ids)
