@@ -167,13 +167,16 @@ MISSED_NAME_LABEL = "POSSIBLE_MISSED_NAME"
 # --------------------------------------------------------------------------
 
 # An address in any script; the length of the local part is open. It starts at the
-# first letter or digit of a run of its characters (or of what the last match left
+# first letter, mark or digit of a run of its characters (or of what the last match left
 # of one), so a run is read once, possessively, and the search stays linear.
 _LOCAL_SIGNS = r".%+'!#$&*/=?^`{|}~-"
 EMAIL_START = (
-    rf"(?<=(?:\G|(?<![\p{{L}}\p{{N}}_{_LOCAL_SIGNS}])|[{_LOCAL_SIGNS}]{{64}})[{_LOCAL_SIGNS}]{{0,63}})"
+    rf"(?<=(?:\G|(?<![\p{{L}}\p{{M}}\p{{N}}_{_LOCAL_SIGNS}])|[{_LOCAL_SIGNS}]{{64}})[{_LOCAL_SIGNS}]{{0,63}})"
+)
+EMAIL = EMAIL_START + (
+    rf"[\p{{L}}\p{{M}}\p{{N}}_][\p{{L}}\p{{M}}\p{{N}}_{_LOCAL_SIGNS}]*+"
+    rf"@(?:[\p{{L}}\p{{M}}\p{{N}}-]{{1,63}}\.)+[\p{{L}}\p{{M}}]{{2,63}}\b"
 )
-EMAIL = EMAIL_START + rf"[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_{_LOCAL_SIGNS}]*+@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.)+\p{{L}}{{2,63}}\b"
 EMAIL_CONTEXT = ("email",)
 
 # International (+cc groups) and North-American shaped numbers.

@@ -157,6 +157,13 @@ def test_dates_and_addresses(spans, text, found):
     assert got == ({found} if found and found in text else set((found or "").split()))
 
 
+def test_addresses_with_combining_marks(spans):
+    whole = ["jose\u0301@exame\u0301ple.com", "e\u0301.x@a.com", "राम.शर्मा@उदाहरण.कॉम", "रवि@डाटामेल.भारत", "\u0301x@b.org"]
+    for address in whole:
+        got = spans([f"mail {address}, now"], entity_types=["EMAIL_ADDRESS"], threshold=0.5)[0]
+        assert {s[4] for s in got} == {address}
+
+
 def test_punctuated_context_lifts(spans):
     (only,) = [s for s in spans(["REP-2023-00042"], entity_types=["HOUSING_REF"], threshold=0.1)[0] if s[0] == "HOUSING_REF"]
     assert only[1] == 1.0
