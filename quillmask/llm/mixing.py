@@ -12,8 +12,9 @@ no task ever sorts a whole source.
 
 Defined cases: a null text has size 0; documents without words take 0 words; a
 null source is a source, last in order; an empty table gives no rows; rows with
-equal ids share a random number and are told apart by size, equal rows are
-interchangeable. Other columns are not looked at.
+equal ids (and all null ids) share a random number and are told apart by size;
+of rows equal in both the cut takes as many as it needs, whichever they are.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def pareto_rank(u: Column, part: Column) -> Column:
 
 
 def _cuts(narrow: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source the last row of the ranking that is taken: (rank, id, size)."""
+    """Per source the last row of the ranking that is taken: (rank, id, size), and how many (m) of the n rows equal to it."""
     ranked = narrow.join(targets.filter("part > 0").select("source", "part", "quota"), narrow["source"].eqNullSafe(targets["source"])).select(
         narrow["source"], "id", "size", "quota", pareto_rank(F.col("u"), F.col("part")).alias("rank")
     )
@@ -106,12 +107,21 @@ def _cuts(narrow: DataFrame, targets: DataFrame) -> DataFrame:
             .withColumn("quota", F.col("quota") - F.col("cut_before"))
             .drop("digit", "cut_source", "cut_digit", "cut_before")
         )
+    # equal rows are one row with a count, of which the cut may take a part
+    same = open_rows.groupBy("source", "rank", "id", "size").agg(F.count("*").alias("n"), F.first("quota").alias("quota"))
     order = Window.partitionBy("source").orderBy("rank", F.col("id").asc_nulls_last(), "size")
-    run = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = open_rows.withColumn("run", run).withColumn("in", F.col("run") - F.col("size") / 2.0 <= F.col("quota"))
+    upto = F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    same = same.withColumn("before", F.coalesce(upto, F.lit(0)))
+    fits = lambda k: F.col("before") + k * F.col("size") - F.col("size") / 2.0 <= F.col("quota")
+    near = F.when(F.col("size") > 0, F.floor((F.col("quota") - F.col("before")) / F.col("size") + 0.5)).otherwise(F.col("n"))
+    same = same.withColumn("near", F.greatest(F.lit(0), F.least(near, F.col("n"))))
+    # the division may be off by one where the midpoint meets the quota
+    exact = F.when((F.col("near") > 0) & ~fits(F.col("near")), F.col("near") - 1)
+    exact = exact.when((F.col("near") < F.col("n")) & fits(F.col("near") + 1), F.col("near") + 1).otherwise(F.col("near"))
     # the bucket may hold no taken row: all rows of earlier buckets are below its first row
     edge = F.struct("rank", F.col("id").isNull().alias("no_id"), "id", "size")
-    return last.groupBy("source").agg(F.max(F.when(F.col("in"), edge)).alias("upto"), F.min(edge).alias("first"))
+    last = same.select("source", edge.alias("edge"), exact.alias("m"), "n")
+    return last.groupBy("source").agg(F.max(F.when(F.col("m") > 0, F.struct("edge", "m", "n"))).alias("upto"), F.min("edge").alias("first"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -130,22 +140,47 @@ def plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     return narrow, _small(stored(plans))
 
 
-def copies(id_: Column, size: Column, u: Column) -> Column:
-    """Copies of a row, given the columns of its source's plan beside it."""
-    edge = F.struct(
+def _edge(id_: Column, size: Column, u: Column) -> Column:
+    return F.struct(
         pareto_rank(u, F.col("plan.part")).alias("rank"), id_.isNull().alias("no_id"), id_.alias("id"), size.alias("size")
     )
-    more = F.when(F.col("plan.upto").isNotNull(), edge <= F.col("plan.upto")).otherwise(edge < F.col("plan.first"))
+
+
+def copies(id_: Column, size: Column, u: Column) -> Column:
+    """Copies of a row, given the columns of its source's plan beside it; rows equal to the last taken one all count."""
+    edge = _edge(id_, size, u)
+    more = F.when(F.col("plan.upto").isNotNull(), edge <= F.col("plan.upto.edge")).otherwise(edge < F.col("plan.first"))
     extra = F.when((F.col("plan.part") > 0) & more, 1).otherwise(0)
     return F.when(size > 0, F.col("plan.whole") + extra).otherwise(0).cast("long")
 
 
+def _with_copies(joined: DataFrame, plans: DataFrame, id_: Column, size: Column, u: Column) -> DataFrame:
+    """Add the copies (n) to rows that have their plan beside them.
+
+    Where the cut falls among equal rows, those are stored and numbered by the
+    task that wrote them, so no task reads all of a large group.
+    """
+    n = copies(id_, size, u).alias("n")
+    if not plans.filter("upto.m < upto.n AND upto.edge.size > 0").limit(1).count():
+        return joined.select("*", n)
+    tie = F.coalesce((F.col("plan.upto.m") < F.col("plan.upto.n")) & (_edge(id_, size, u) == F.col("plan.upto.edge")), F.lit(False))
+    tied = stored(joined.filter(tie).select("*", n, F.spark_partition_id().alias("slot")))
+    slots = tied.groupBy(F.col("plan.source").alias("of"), F.col("slot").alias("at")).agg(F.count("*").alias("held"))
+    upto = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("before", F.coalesce(F.sum("held").over(upto), F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy("plan.source", "slot").orderBy(F.lit(0)))
+    numbered = tied.withColumn("turn", turn).join(slots, F.col("plan.source").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("at")))
+    late = F.when(F.col("before") + F.col("turn") > F.col("plan.upto.m"), 1).otherwise(0)
+    part = numbered.withColumn("n", F.when(F.col("n") > 0, F.col("n") - late).otherwise(0).cast("long"))
+    return joined.filter(~tie).select("*", n).unionByName(part.select(*joined.columns, "n"))
+
+
 def decisions(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row."""
     narrow, plans = plan(docs, id_col, text_col, source_col, weights, max_repeats)
     joined = narrow.join(plans.select(F.struct("*").alias("plan")), F.col("source").eqNullSafe(F.col("plan.source")))
-    n = copies(F.col("id"), F.col("size"), F.col("u"))
-    return joined.select(
+    n = F.col("n")
+    return _with_copies(joined, plans, F.col("id"), F.col("size"), F.col("u")).select(
         F.col("id").alias("doc_id"),
         "size",
         F.col("plan.source_size").alias("source_size"),
@@ -161,8 +196,8 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     row = docs.select(F.struct(*[q(c) for c in docs.columns]).alias("row"))
     field = lambda name: F.col("row").getField(name)
     joined = row.join(plans.select(F.struct("*").alias("plan")), field(source_col).eqNullSafe(F.col("plan.source")))
-    n = copies(field(id_col), words(field(text_col)), uniform(field(id_col)))
-    times = joined.select("row", n.alias("n")).filter("n > 0")
+    counted = _with_copies(joined, plans, field(id_col), words(field(text_col)), uniform(field(id_col)))
+    times = counted.select("row", "n").filter("n > 0")
     return times.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("row.*")
 
 

@@ -42,6 +42,21 @@ def test_mix_odd_rows(spark, odd, odd_rows, empty):
     assert mixing.decisions(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_cut_takes_a_part_of_equal_rows(spark, make, tmp_path):
+    rows = [(7 if i % 3 else i, "w " * (9 if i % 3 else 4 + i % 5), "en", "a") for i in range(300)]
+    rows += [(None if i % 2 else i, "w " * (3 + i % 4 // 2), "en", None) for i in range(200)]
+    rows += [(i, "w " * 20, "en", "c") for i in range(1000, 1040)]
+    for k, other in enumerate([[], [(5, "w " * 3000, "fr", "d")]]):
+        path = str(tmp_path / f"docs{k}.parquet")
+        make(rows + other).select("doc_id", "text", "source").repartition(7).write.parquet(path)
+        docs = spark.read.parquet(path)
+        got = mixing.decisions(docs)
+        same(got.withColumn("doc_id", F.col("doc_id").cast("double")).toPandas(), f"SELECT * REPLACE (doc_id::DOUBLE AS doc_id) FROM ({mixing.ORACLE})", documents=f"{path}/*.parquet")
+        taken = {r.source: r.taken for r in mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("taken")).collect()}
+        for r in mixing.source_targets(docs.select("source", mixing.words(F.col("text")).alias("size"))).collect():
+            assert abs(taken.get(r.source, 0) - r.target) <= docs.filter(F.col("source").eqNullSafe(F.lit(r.source))).agg(F.max(mixing.words(F.col("text")))).first()[0] / 2 + 1
+
+
 def test_targets_stop_at_three_times(spark, make):
     docs = make([(i, "w " * (5 if i < 2 else 100), "en", "a" if i < 2 else "b") for i in range(20)])
     got = mixing.decisions(docs).toPandas().groupby("source_size").target.first()
