@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmask.llm import hmm, languages, licences, mixing, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
+from quillmask.llm import hmm, languages, licences, mixing, negatives, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
 
 QUERIES = {
     "op1_hmm": hmm.op1_hmm,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_licence_scan": licences.op8_licence_scan,
     "op9_language_mixture": languages.op9_language_mixture,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_slot_negatives": negatives.op11_slot_negatives,
 }
 
 ORACLES = {
     "op6_top_k": topk.ORACLE,
     "op5_pareto_mix": mixing.ORACLE,
+    "op11_slot_negatives": negatives.ORACLE,
 }
