@@ -39,9 +39,9 @@ class Scratch:
         self.spark = spark
         self.held: list[tuple[DataFrame, str]] = []
 
-    def stored(self, df: DataFrame) -> DataFrame:
+    def stored(self, df: DataFrame, **options: str) -> DataFrame:
         path = shared_folder(self.spark)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.held.append((out, path))
         return out

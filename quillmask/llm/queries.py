@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmask.llm import hmm, languages, licences, mixing, negatives, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
+from quillmask.llm import alignment, hmm, languages, licences, mixing, negatives, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
 
 QUERIES = {
     "op1_hmm": hmm.op1_hmm,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_mixture": languages.op9_language_mixture,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_slot_negatives": negatives.op11_slot_negatives,
+    "op12_token_alignment": alignment.op12_token_alignment,
 }
 
 ORACLES = {
