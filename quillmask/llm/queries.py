@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmask.llm import alignment, hmm, languages, licences, mixing, negatives, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
+from quillmask.llm import alignment, decontamination, hmm, languages, licences, mixing, negatives, pieces, prob_minhash, token_counts, topk, toxicity, winnowing
 
 QUERIES = {
     "op1_hmm": hmm.op1_hmm,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_slot_negatives": negatives.op11_slot_negatives,
     "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_prefix_join": decontamination.op13_prefix_join,
 }
 
 ORACLES = {
     "op6_top_k": topk.ORACLE,
     "op5_pareto_mix": mixing.ORACLE,
     "op11_slot_negatives": negatives.ORACLE,
+    "op13_prefix_join": decontamination.ORACLE,
 }
