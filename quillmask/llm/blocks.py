@@ -79,7 +79,8 @@ def packed(rows: DataFrame, per_block: int) -> DataFrame:
     full = rows.groupBy("dim", "lot").agg(F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     dealt = rows.join(full, ["dim", "lot"]).withColumn("block", block).drop("blocks")
-    return dealt.groupBy("dim", "lot", "block").applyInArrow(pack, PACKED)
+    # dealt by block, not by lot as the join before it: a lot may hold a third of all rows
+    return dealt.repartition("dim", "lot", "block").groupBy("dim", "lot", "block").applyInArrow(pack, PACKED)
 
 
 def meetings(queries: DataFrame, lists: DataFrame, same_lot: bool = False) -> DataFrame:
