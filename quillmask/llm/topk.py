@@ -2,21 +2,25 @@
 
 Candidates lie in blocks. A block has, for each dimension, its values as a
 sorted list; a query reads the lists of its positive components from the top and
-those of its negative ones from the bottom, all to the same depth. What was read
-gives every candidate a lower bound (unread values at their worst) and an upper
-one (unread values at the list's frontier). After each depth, candidates whose
-upper bound lies below a query's k-th best lower bound are out, and those that
-no query needs any more leave the block. Reading stops when the rest is few or
-the lists end; then the rest gets its final scores. The best k of all blocks are
-merged by query.
+those of its negative ones from the bottom, all of them on by one step after the
+other. What a step has read is added to what is known of each candidate; unread
+values are at their worst for its lower bound, and at the list's frontier for its
+upper one. After each step, candidates whose upper bound lies below a query's
+k-th best lower bound are out, and those that no query of the block needs leave
+it. Reading stops when no candidate but the best k can qualify, or the lists
+end; the values not yet read of those that are left resolve their scores. The
+best k of all blocks are merged by query.
 
 Queries are read in blocks against all blocks of candidates.
 
-Defined cases: vectors that are null, empty or hold null or non-finite values
-take no part, nor do rows with a null id; a query meets only vectors of its
-length; rows that repeat the query's id are its own and no candidates for it;
-ties go to the smaller id; with fewer than k candidates all are returned. Scores
-must fit a long.
+Defined cases: vectors that are null or hold null or non-finite values take no
+part, nor do rows with a null id; a query meets only vectors of its length (an
+empty one only empty ones, at score 0); every query row has a list of its own, so
+a query id that stands in several rows has several; rows that repeat the query's
+id are its own and no candidates for it; other repeated rows are candidates each;
+ties go to the smaller id; with fewer than k candidates all are returned; an empty
+table gives no rows; other columns are not looked at. Scores must fit a long;
+bounds of very large values have a margin for rounding, scores have none.
 """
 
 from __future__ import annotations
@@ -24,135 +28,98 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import q, small_batches, stored
+from quillmask.llm import blocks
+from quillmask.llm.blocks import Block, batch_of, best, meetings, met, packed, whole_vectors
+from quillmask.llm.common import Scratch
 
-BLOCK = 8192
-QUERY_BLOCK = 128
-COPIES = 4  # of a block, so that several tasks can read it
-DEPTHS = (1 / 16, 1 / 4, 1 / 2)
-FEW = 4  # times k
-
-
-def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<long>, dim) of the rows that take part."""
-    bad = F.exists(q(vector_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = F.transform(q(vector_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    kept = df.filter(q(id_col).isNotNull() & q(vector_col).isNotNull() & (F.size(q(vector_col)) > 0))
-    return kept.filter(~bad).select(q(id_col).cast("long").alias("vec_id"), v.alias("v")).withColumn("dim", F.size("v"))
-
-
-def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for a block: ids and values as bytes."""
-    pdf = pdf.sort_values("vec_id")
-    values = np.stack(pdf["v"].to_numpy()).astype(np.int64)
-    return pd.DataFrame(
-        {"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [values.tobytes()]}
-    )
+FIRST_STEP = 64  # entries of each list; every step doubles the depth
 
 
 class Lists:
     """The sorted lists of one block of candidates."""
 
-    def __init__(self, ids: bytes, data: bytes, dim: int):
-        self.ids = np.frombuffer(ids, np.int64)
-        self.values = np.frombuffer(data, np.int64).reshape(-1, dim)
-        self.largest = float(np.abs(self.values).max(initial=0))
-        self.x = self.values.astype(np.float64)
-        self.sorted = np.sort(self.x, axis=0)
-
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """(query index, candidate id, score) of the best k of each query."""
-        if float(np.abs(queries).max(initial=0)) * self.largest * queries.shape[1] >= 2**52:
-            yield from self.finals(query_ids, queries, np.arange(len(self.ids)), None, k)
-            return
-        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-        both = np.hstack([up, down])
-        least, most = self.sorted[0], self.sorted[-1]
-        left = np.arange(len(self.ids))
-        alive = None
-        for depth in DEPTHS:
-            if len(left) <= FEW * k:
-                break
-            place = min(len(self.ids) - 1, int(depth * len(self.ids)))
-            top, bottom = self.sorted[len(self.ids) - 1 - place], self.sorted[place]
-            x = self.x[left]
-            read_top, read_bottom = x >= top, x <= bottom
-            low = both @ np.hstack([np.where(read_top, x, least), np.where(read_bottom, x, most)]).T
-            high = both @ np.hstack([np.where(read_top, x, top), np.where(read_bottom, x, bottom)]).T
-            own = query_ids[:, None] == self.ids[left][None, :]
-            low[own], high[own] = -np.inf, -np.inf
+    def __init__(self, block: Block):
+        self.block = block
+        self.x = block.values.astype(np.float64)
+        n = len(self.x)
+        order = np.argsort(self.x, axis=0, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
+        # places of a candidate's values in the lists read from the top, then in those from the bottom
+        self.rank = np.hstack([n - 1 - rank, rank])
+        up = np.take_along_axis(self.x, order, axis=0)
+        self.lists = np.hstack([up[::-1], up])
+        self.depth = 0  # that the last search has read
+
+    def nearest(self, queries: Block, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, candidate ids, scores) of the best k of each query."""
+        q = queries.values.astype(np.float64)
+        both = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+        n = len(self.x)
+        margin = 0.0 if queries.exact(self.block) else 2.0**-44 * (np.abs(both) @ np.abs(self.lists).max(axis=0, initial=0))[:, None]
+        own = queries.vec_id[:, None] == self.block.vec_id[None, :]
+        left = np.arange(n)
+        known = np.zeros((len(q), n))
+        alive, self.depth, step = ~own, 0, FIRST_STEP
+        while len(left) > k and self.depth < n:
+            before, self.depth = self.depth, min(n, self.depth + step)
+            step = self.depth
+            rank, x = self.rank[left], np.hstack([self.x[left]] * 2)
+            read = rank < self.depth
+            known += both @ np.where(read & (rank >= before), x, 0.0).T
+            unread = (~read).astype(np.float64)
+            low = known + (both * self.lists[-1]) @ unread.T - margin
+            high = known + (both * self.lists[self.depth - 1]) @ unread.T + margin
+            low[~alive] = -np.inf
             bar = np.partition(low, len(left) - k, axis=1)[:, len(left) - k]
-            alive = (high >= bar[:, None]) & ~own
+            alive &= high >= bar[:, None]
             needed = alive.any(axis=0)
-            left, alive = left[needed], alive[:, needed]
-        yield from self.finals(query_ids, queries, left, alive, k)
-
-    def finals(self, query_ids, queries, left, alive, k: int):
-        """Read on to the end for the candidates that are left."""
-        ids, values = self.ids[left], self.values[left]
-        exact = float(np.abs(queries).max(initial=0)) * self.largest * queries.shape[1] < 2**52
-        scores = (queries.astype(np.float64) @ self.x[left].T).astype(np.int64) if exact else queries @ values.T
-        for i in range(len(queries)):
-            rows = np.flatnonzero(ids != query_ids[i] if alive is None else alive[i])
-            if len(rows) > k:
-                bar = np.partition(scores[i, rows], len(rows) - k)[len(rows) - k]
-                rows = rows[scores[i, rows] >= bar]
-            best = rows[np.lexsort((ids[rows], -scores[i, rows]))][:k]
-            yield i, ids[best], scores[i, best]
+            left, alive, known = left[needed], alive[:, needed], known[:, needed]
+            if (alive.sum(axis=1) <= k).all():
+                break
+        yield from self.resolved(queries, both, left, alive, known, k)
+
+    def resolved(self, queries: Block, both: np.ndarray, left: np.ndarray, alive: np.ndarray, known: np.ndarray, k: int):
+        """Add what is not read yet of the candidates that are left."""
+        ids = self.block.vec_id[left]
+        if queries.exact(self.block):
+            rest = np.where(self.rank[left] >= self.depth, np.hstack([self.x[left]] * 2), 0.0)
+            scores = np.rint(known + both @ rest.T).astype(np.int64)
+        else:
+            scores = queries.values.astype(np.int64) @ self.block.values[left].astype(np.int64).T
+        for i in range(len(queries.values)):
+            rows = np.flatnonzero(alive[i])
+            rows = rows[best(scores[i, rows], ids[rows], k)]
+            yield i, ids[rows], scores[i, rows]
 
 
 def search(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of every row for which is_query holds."""
-    rows = stored(whole_vectors(df, id_col, vector_col, scale))
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = rows.join(sizes, "dim").withColumn("blocks", blocks)
-    schema = "dim int, block int, ids binary, data binary"
-
-    def group(part: DataFrame, parts) -> DataFrame:
-        return part.withColumn("block", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).select("dim", "block", "vec_id", "v")
-
-    lists = stored(group(placed, F.col("blocks")).groupBy("dim", "block").applyInPandas(packed, schema))
-    asked = rows.filter(is_query)
-    query_sizes = asked.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
-    asked = asked.join(query_sizes, "dim")
-    query_blocks = stored(group(asked, F.col("parts")).groupBy("dim", "block").applyInPandas(packed, schema))
-
-    # every query block goes to every block of candidates of its length
-    turn = F.pmod(F.col("block"), F.lit(COPIES))
-    sent = query_blocks.join(sizes.select("dim", blocks.alias("blocks")), "dim").select(
-        "dim", turn.alias("copy"), F.col("ids").alias("query_ids"), F.col("data").alias("queries"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-    )
-    spread = lists.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    pairs = sent.join(spread, ["dim", "block", "copy"]).select("dim", "block", "query_ids", "queries", "ids", "data")
+    """(query_id, rank, vec_id, score): the k best of every row for which is_query holds; is_query reads vec_id."""
+    scratch = Scratch(df.sparkSession)
+    rows = whole_vectors(df, scratch, id_col, vector_col, scale)
+    lists = scratch.stored(packed(rows, blocks.BLOCK))
+    queries = scratch.stored(packed(rows.filter(is_query), blocks.QUERY_BLOCK))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, None
-        for batch in batches:
-            for dim, block, query_ids, queries, ids, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if at != (dim, block):
-                    held, at = Lists(ids, data, dim), (dim, block)
-                own = np.frombuffer(query_ids, np.int64)
-                found = list(held.nearest(own, np.frombuffer(queries, np.int64).reshape(-1, dim), k))
-                counts = [len(f[1]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own[[f[0] for f in found]], counts), pa.int64()),
-                     pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
-                     pa.array(np.concatenate([f[2] for f in found]), pa.int64())],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    # a row holds a whole block, so rows travel one by one
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    near = stored(pairs.mapInArrow(read, "query_id bigint, vec_id bigint, score bigint"))
-    small_batches(df.sparkSession)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        for own, block in met(batches):
+            if at is not block:
+                held, at = Lists(block), block
+            out: dict[str, list] = {"row": [], "query_id": [], "vec_id": [], "score": []}
+            for i, ids, scores in held.nearest(own, k):
+                out["row"].append(np.full(len(ids), own.row[i]))
+                out["query_id"].append(np.full(len(ids), own.vec_id[i]))
+                out["vec_id"].append(ids)
+                out["score"].append(scores)
+            yield batch_of(out)
+
+    near = scratch.stored(meetings(queries, lists).mapInArrow(read, "row bigint, query_id bigint, vec_id bigint, score bigint"))
+    scratch.clear(near)
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -164,14 +131,13 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id,
-         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  SELECT a.rid, a.vec_id AS query_id, b.vec_id,
+         coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

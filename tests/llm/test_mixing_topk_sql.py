@@ -84,12 +84,42 @@ def test_top_k_odd_vectors(spark, k):
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0, k, 64).count() == 0
 
 
-def test_bounds_never_lose_a_neighbour():
+def test_repeated_query_rows_have_lists_of_their_own(spark):
+    """Different and equal vectors under one query id, and candidates that repeat."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (40, [1.0, 1.0]), (40, [1.0, 1.0])] + [(i, [float(i), float(-i)]) for i in range(1, 9)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 20 == 0, 3, 1).collect())
+    want = []
+    for i, v in rows:
+        if i % 20 == 0:
+            scored = sorted((-int(v[0] * w[0] + v[1] * w[1]), j) for j, w in rows if j != i)[:3]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
+    assert len(got) == 12 and got == sorted(want)
+
+
+def block_of(x, ids=None):
+    x = np.asarray(x, np.int64)
+    ids = np.arange(len(x)) if ids is None else np.asarray(ids)
+    return topk.Block(x.shape[1], len(x), ids.astype(np.int64).tobytes(), ids.astype(np.int64).tobytes(), [""] * len(x), [[]] * len(x), "<i8", x.tobytes())
+
+
+@pytest.mark.parametrize("scale", [1, 2**24])
+def test_bounds_never_lose_a_neighbour(scale):
     random = np.random.default_rng(3)
-    x = random.integers(-30, 30, (700, 12))
+    x = random.integers(-30, 30, (700, 12)) * scale + random.integers(0, 2, (700, 12))
     x[100:300] = x[0]
-    lists = topk.Lists(np.arange(700).tobytes(), x.astype(np.int64).tobytes(), 12)
     ids = np.arange(0, 700, 50)
-    for i, near, scores in lists.nearest(ids, x[ids], 20):
+    for i, near, scores in topk.Lists(block_of(x)).nearest(block_of(x[ids], ids), 20):
         every = sorted((-int(x[ids[i]] @ x[j]), j) for j in range(700) if j != ids[i])[:20]
         assert [(-s, j) for s, j in every] == list(zip(scores.tolist(), near.tolist()))
+
+
+def test_reading_stops_before_the_lists_end():
+    """A cluster around the query stands out after a few entries of each list."""
+    random = np.random.default_rng(4)
+    x = random.integers(-5, 5, (4000, 8))
+    x[:30] = 100 + random.integers(0, 5, (30, 8))
+    lists = topk.Lists(block_of(x))
+    found = list(lists.nearest(block_of(x[:1], [0]), 20))
+    assert lists.depth < 400
+    assert found[0][1].tolist() == [j for _, j in sorted((-int(x[0] @ x[j]), j) for j in range(1, 4000))[:20]]
