@@ -168,13 +168,16 @@ MISSED_NAME_LABEL = "POSSIBLE_MISSED_NAME"
 
 # An address in any script; the length of the local part is open. It starts at the
 # first letter, mark or digit of a run of its characters (or of what the last match left
-# of one), so a run is read once, possessively, and the search stays linear.
+# of one), so a run is read once, possessively, and the search stays linear. Mostly no
+# character of a run stands before it; only after a sign is it looked for further back.
 _LOCAL_SIGNS = r".%+'!#$&*/=?^`{|}~-"
+_LOCAL = rf"\p{{L}}\p{{M}}\p{{N}}_{_LOCAL_SIGNS}"
 EMAIL_START = (
-    rf"(?<=(?:\G|(?<![\p{{L}}\p{{M}}\p{{N}}_{_LOCAL_SIGNS}])|[{_LOCAL_SIGNS}]{{64}})[{_LOCAL_SIGNS}]{{0,63}})"
+    rf"(?:(?<![{_LOCAL}])|"
+    rf"(?<=[{_LOCAL_SIGNS}])(?<=(?:\G|(?<![{_LOCAL}])|[{_LOCAL_SIGNS}]{{64}})[{_LOCAL_SIGNS}]{{1,63}}))"
 )
 EMAIL = EMAIL_START + (
-    rf"[\p{{L}}\p{{M}}\p{{N}}_][\p{{L}}\p{{M}}\p{{N}}_{_LOCAL_SIGNS}]*+"
+    rf"[\p{{L}}\p{{M}}\p{{N}}_][{_LOCAL}]*+"
     rf"@(?:[\p{{L}}\p{{M}}\p{{N}}-]{{1,63}}\.)+[\p{{L}}\p{{M}}]{{2,63}}\b"
 )
 EMAIL_CONTEXT = ("email",)

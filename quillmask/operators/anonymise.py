@@ -31,9 +31,13 @@ from quillmask.operators.names import missed_names
 from quillmask.operators.residual import residual_findings
 
 
-def detections_of(candidate_spans: str, catalogue: Catalogue) -> str:
-    """Spans without those inside a better one of their type, and without allowed words."""
-    return algebra.drop_allowed(algebra.drop_contained(candidate_spans), catalogue.allow_list)
+def detections_of(candidate_spans: str, catalogue: Catalogue, allowed: str | None = None) -> str:
+    """Spans without those inside a better one of their type, and without allowed words.
+
+    ``allowed`` names a column with the allowed texts of the cell.
+    """
+    kept = algebra.drop_allowed(algebra.drop_contained(candidate_spans), catalogue.allow_list)
+    return kept if allowed is None else f"filter({kept}, a -> not coalesce(array_contains({allowed}, a.text), false))"
 
 
 def redaction_spans(merged: str) -> str:
@@ -117,13 +121,15 @@ def anonymise(
     catalogue: Catalogue = DEFAULT_CATALOGUE,
     entities: dict[str, str] | None = None,
     tokens: dict[str, str] | None = None,
+    allowed: dict[str, str] | None = None,
 ) -> Anonymised:
     """Plan the anonymisation of the free-text columns of ``df``.
 
     ``columns`` defaults to the columns whose names suggest free text. ``key``
     columns are carried into the reports; ``row_index`` names a column with the
     row position (see ``sources.row_index``). ``entities`` and ``tokens`` map a
-    selected column to an annotation column (see ``operators.annotations``).
+    selected column to an annotation column (see ``operators.annotations``),
+    ``allowed`` to a column of texts that are no detections (``operators.allowed``).
     """
     columns = text_columns(df.columns) if columns is None else list(columns)
     entity_types = tuple(dict.fromkeys(entity_types))
@@ -131,7 +137,7 @@ def anonymise(
     check_selection(df, columns, entity_types, known, threshold)
     key = (key,) if isinstance(key, str) else tuple(key)
     # Working columns of annotations are inputs, not part of the result.
-    hidden = set((entities or {}).values()) | set((tokens or {}).values())
+    hidden = {column for given in (entities, tokens, allowed) for column in (given or {}).values()}
     original = tuple(c for c in df.columns if c not in hidden)
     names = output_names(list(original), columns)
     cells = tuple(CellColumns(c, names[c], f"__qm{i}_") for i, c in enumerate(columns))
@@ -148,12 +154,12 @@ def anonymise(
     def annotation(given: dict[str, str] | None, cell: CellColumns) -> str | None:
         if not given or cell.source not in given:
             return None
-        kind = "tokens" if given is tokens else "entities"
+        kind = "tokens" if given is tokens else "allowed" if given is allowed else "entities"
         aliased[f"{cell.prefix}given_{kind}"] = F.col(name(given[cell.source]))
         return f"{cell.prefix}given_{kind}"
 
     for c in cells:
-        for given in (entities, tokens):
+        for given in (entities, tokens, allowed):
             annotation(given, c)
 
     def add(frame: DataFrame, step: str, expression) -> DataFrame:
@@ -169,7 +175,7 @@ def anonymise(
         "candidates",
         lambda c: candidates(c.text, on, catalogue, entity_types, threshold, has(c), annotation(entities, c)),
     )
-    wide = add(wide, "kept", lambda c: detections_of(c.candidates, catalogue))
+    wide = add(wide, "kept", lambda c: detections_of(c.candidates, catalogue, annotation(allowed, c)))
     wide = add(wide, "detections", lambda c: algebra.report_order(c.kept))
     wide = add(wide, "merged", lambda c: algebra.merge_overlaps(c.detections))
     wide = add(wide, "spans", lambda c: redaction_spans(c.merged))

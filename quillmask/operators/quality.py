@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmask.functions.sql import name
 from quillmask.operators.columns import threshold_steps
 
 
@@ -24,16 +25,23 @@ def threshold_sweep(detections: DataFrame, thresholds: list[float] | None = None
     )
 
 
-def review_sample(df: DataFrame, key: str, size: int = 500, seed: int = 0) -> DataFrame:
-    """A reproducible sample for review: the rows with the smallest mixed keys.
+def review_sample(df: DataFrame, key, size: int = 500, seed: int = 0, strata=()) -> DataFrame:
+    """A reproducible sample for review: the rows whose key has the smallest digests.
 
-    The mix is plain arithmetic on an integer key (a multiplicative generator
-    modulo a prime), so it can be redone anywhere. ``orderBy`` with ``limit`` keeps ``size`` rows per task and merges
-    those; nothing is sorted as a whole.
+    The key is any column or columns; its digest is the md5 of seed and key as
+    text, so the sample can be redone anywhere and does not depend on how rows
+    are dealt out. With ``strata`` it is so many rows of each stratum (a type, a
+    label; null is one). Tasks pass on no more than ``size`` rows of a stratum.
+    Rows of equal keys are ordered by all their columns that have an order.
     """
-    prime = F.lit(2147483647).cast("long")
-    mixed = F.pmod((F.pmod(F.col(key).cast("long"), prime) + seed) * 48271, prime)
-    return df.withColumn("__mixed", mixed).orderBy("__mixed", key).limit(size).drop("__mixed")
+    key, strata = ([x] if isinstance(x, str) else list(x) for x in (key, strata))
+    parts = [F.coalesce(F.col(name(k)).cast("string"), F.lit("")) for k in key]
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), *[F.col(name(k)) for k in key]]
+    order += [F.col(name(f.name)) for f in df.schema.fields if f.name not in key and not f.dataType.typeName() in ("map", "variant")]
+    if not strata:
+        return df.orderBy(*order).limit(size)
+    place = F.row_number().over(Window.partitionBy(*[F.col(name(s)) for s in strata]).orderBy(*order))
+    return df.withColumn("__place", place).filter(F.col("__place") <= size).drop("__place")
 
 
 def span_scores(found: DataFrame, gold: DataFrame, key) -> DataFrame:

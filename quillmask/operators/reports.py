@@ -118,17 +118,26 @@ def _split_position(result: "Anonymised") -> tuple[list[str], list[Column]]:
     return head, keys
 
 
-def run_stats(result: "Anonymised") -> DataFrame:
-    """Six counters in one row; partial sums per task, then one tiny merge."""
-    n = len(result.cells)
+COUNTERS = """records_processed bigint, columns_anonymised bigint, pii_entities_detected bigint,
+  rows_with_possible_residual_items bigint, processed_cells bigint, total_cells bigint"""
+
+
+def counter_columns(result: "Anonymised") -> list[Column]:
+    """What a run counts over its rows, as aggregates."""
     spans = sum((F.size(c.detections).cast("long") for c in result.cells), F.lit(0).cast("long"))
     flags = sum(((F.size(c.findings) > 0).cast("long") for c in result.cells), F.lit(0).cast("long"))
-    per_row = result.wide.select(spans.alias("spans"), flags.alias("flags"))
-    return per_row.agg(
-        F.count(F.lit(1)).alias("records_processed"),
-        F.lit(n).cast("long").alias("columns_anonymised"),
-        F.coalesce(F.sum("spans"), F.lit(0)).alias("pii_entities_detected"),
-        F.coalesce(F.sum("flags"), F.lit(0)).alias("rows_with_possible_residual_items"),
-        (F.count(F.lit(1)) * n).alias("processed_cells"),
-        (F.count(F.lit(1)) * n).alias("total_cells"),
-    )
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(spans), F.lit(0)).alias("spans"), F.coalesce(F.sum(flags), F.lit(0)).alias("flags")]
+
+
+def counters(result: "Anonymised", rows, spans, flags) -> tuple:
+    """The six counters in order, from numbers or columns."""
+    n = len(result.cells)
+    return rows, n, spans, flags, rows * n, rows * n
+
+
+def run_stats(result: "Anonymised") -> DataFrame:
+    """Six counters in one row; partial sums per task, then one tiny merge."""
+    sums = result.wide.agg(*counter_columns(result))
+    names = [c.split()[0] for c in COUNTERS.split(",")]
+    columns = counters(result, F.col("rows"), F.col("spans"), F.col("flags"))
+    return sums.select(*[(c if isinstance(c, Column) else F.lit(c)).cast("long").alias(n) for n, c in zip(names, columns, strict=True)])

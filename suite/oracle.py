@@ -12,12 +12,14 @@ from quillmask import catalogue as cat
 from quillmask.catalogue import DEFAULT_CATALOGUE, Detector
 from suite.comments import COMMENTS_SQL
 from suite.relations import (
+    ALLOWED_SQL,
     CUSTOMER_NOTES_SQL,
     DICTIONARY_SQL,
     ENTITIES_SQL,
     EVENT_MESSAGE_SQL,
     MEASURES_SQL,
     NA_SQL,
+    OVERLAP_SQL,
     TOKEN_POS_SQL,
 )
 
@@ -227,6 +229,10 @@ def _model_spans() -> str:
 ENTITIES = f"entities AS ({ENTITIES_SQL})"
 
 
+BOTH = """SELECT n.row_id, n.redacted AS "notes_Anonymised", d.redacted AS "description_Anonymised"
+      FROM redacted n JOIN redacted d ON n.row_id = d.row_id AND n.source_column = 'notes' AND d.source_column = 'description'"""
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     docs = _document_cells("documents", "doc_id")
@@ -267,10 +273,8 @@ def build() -> dict[str, str]:
     sql["merge_adjacent"] = f"WITH {CELLS}, {ENTITIES}, {annotated} SELECT {span_cols} FROM joined"
 
     standard = span_steps()
-    sql["redact_generic"] = f"""WITH {CELLS}, {span_steps(style=cat.STYLE_GENERIC)}
-      SELECT row_id, redacted AS "notes_Anonymised" FROM redacted WHERE source_column = 'notes'"""
-    sql["redact_entity_tags"] = f"""WITH {CELLS}, {standard}
-      SELECT row_id, redacted AS "notes_Anonymised" FROM redacted WHERE source_column = 'notes'"""
+    sql["redact_generic"] = f"""WITH {CELLS}, {span_steps(style=cat.STYLE_GENERIC)} {BOTH}"""
+    sql["redact_entity_tags"] = f"WITH {CELLS}, {standard} {BOTH}"
     sql["redact_two_columns"] = f"""WITH {CELLS}, {standard}
       SELECT c.row_id, c.notes, c.description, c.category, n.redacted AS "notes_Anonymised", d.redacted AS "description_Anonymised"
       FROM comments c JOIN redacted n ON c.row_id = n.row_id AND n.source_column = 'notes'
@@ -280,8 +284,7 @@ def build() -> dict[str, str]:
       WHERE "notes_Anonymised" <> notes OR "description_Anonymised" <> description"""
     sql["redact_low_threshold"] = f"""WITH {CELLS}, {span_steps(ALL_TYPES, 0.2)}
       SELECT {CELL_KEYS}, redacted FROM redacted"""
-    sql["redact_annotated"] = f"""WITH {CELLS}, {ENTITIES}, {annotated}
-      SELECT row_id, redacted AS "notes_Anonymised" FROM redacted WHERE source_column = 'notes'"""
+    sql["redact_annotated"] = f"WITH {CELLS}, {ENTITIES}, {annotated} {BOTH}"
 
     report = f"""WITH {CELLS}, {standard}
       SELECT source_column, {OUTPUT_COLUMN}, row_id AS row_index, entity_type, round(score, 3) AS score,
@@ -296,7 +299,7 @@ def build() -> dict[str, str]:
     sql["residual_flags"] = flags
     sql["outputs_residual_flags"] = flags
     sql["flagged_rows"] = f"""SELECT row_index, source_column, count(*) AS n_findings FROM ({flags})
-      WHERE source_column = 'notes' GROUP BY row_index, source_column"""
+      GROUP BY row_index, source_column"""
     own = ("Mr Brown", *(f"0191 {a} {b}" for a in range(100, 110) for b in range(1000, 1010)))
     sql["residual_own_allow_list"] = f"""WITH {CELLS}, {span_steps(allowed=own)}, {residual_ctes()}
       SELECT {CELL_KEYS}, label, text FROM residual"""
@@ -338,15 +341,15 @@ def build() -> dict[str, str]:
     # Whole texts
     doc_steps = span_steps(ALL_TYPES, 0.45, keys="doc_id")
     sql["redact_documents"] = f"""WITH {docs}, {doc_steps}
-      SELECT d.doc_id, d.lang, d.source, d.n_chars, r.redacted AS "text_Anonymised" FROM documents d JOIN redacted r USING (doc_id)"""
+      SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, r.redacted AS "text_Anonymised" FROM documents d JOIN redacted r USING (doc_id)"""
     sql["detections_documents"] = f"""WITH {docs}, {doc_steps}
       SELECT doc_id, entity_type, score, "start", "end", text AS original_text FROM detections"""
     conv = _document_cells("conversations", "conv_id, turn")
     sql["redact_conversations"] = f"""WITH {conv}, {span_steps(ALL_TYPES, 0.45, keys="conv_id, turn")}
-      SELECT conv_id, turn, c.role, redacted AS "text_Anonymised" FROM redacted JOIN conversations c USING (conv_id, turn)"""
+      SELECT conv_id, turn, c.role, c.text, redacted AS "text_Anonymised" FROM redacted JOIN conversations c USING (conv_id, turn)"""
     pages = _document_cells("pages", "page_id", "html")
     sql["redact_pages_html"] = f"""WITH {pages}, {span_steps(keys="page_id")}
-      SELECT page_id, p.url, redacted AS "html_Anonymised" FROM redacted JOIN pages p USING (page_id)"""
+      SELECT page_id, p.url, p.html, redacted AS "html_Anonymised" FROM redacted JOIN pages p USING (page_id)"""
     fallback = "cells AS (SELECT page_id, CAST(page_id AS VARCHAR) AS t FROM pages)"
     sql["redact_pages_fallback"] = f"""WITH {fallback}, {span_steps(keys="page_id")}
       SELECT page_id, url, html, redacted AS "page_id_Anonymised" FROM pages JOIN redacted USING (page_id)"""
@@ -360,13 +363,17 @@ def build() -> dict[str, str]:
       FROM detections, (SELECT unnest(range(0, 17)) AS s) WHERE score >= round(0.1 + 0.05 * s, 2)
       GROUP BY entity_type, s"""
     sql["qa_sample"] = f"""WITH {CELLS} SELECT row_id, notes FROM comments
-      ORDER BY ((row_id % 2147483647) * 48271) % 2147483647, row_id LIMIT 500"""
-    gold = f"""gold AS (SELECT row_id, 'PERSON' AS entity_type, "start", "end" FROM entities WHERE label = 'PERSON'
-      UNION ALL SELECT row_id, 'PHONE_NUMBER', "start", "end" FROM ({matches("(SELECT * FROM cells WHERE source_column = 'notes')", cat.UK_MOBILE, CELL_KEYS)}))"""
+      ORDER BY md5('0|' || row_id::VARCHAR), row_id LIMIT 500"""
+    every_type = f"""WITH {CELLS}, {span_steps(ALL_TYPES)}
+      SELECT source_column, row_id AS row_index, entity_type, round(score, 3) AS score, text AS original_text, "start", "end" FROM detections"""
+    sql["qa_sample_strata"] = f"""SELECT * FROM ({every_type}) QUALIFY row_number() OVER (PARTITION BY entity_type
+      ORDER BY md5('7|' || source_column || '|' || row_index::VARCHAR || '|' || "start"::BIGINT::VARCHAR || '|' || "end"::BIGINT::VARCHAR), source_column, row_index, "start", "end", score) <= 25"""
+    gold = f"""gold AS (SELECT {CELL_KEYS}, 'PERSON' AS entity_type, "start", "end" FROM entities WHERE label IN ('PERSON', 'PER')
+      UNION ALL SELECT {CELL_KEYS}, 'PHONE_NUMBER', "start", "end" FROM ({matches("cells", cat.UK_MOBILE, CELL_KEYS)}))"""
     sql["span_eval"] = f"""WITH {CELLS}, {ENTITIES}, {standard}, {gold},
-      found AS (SELECT DISTINCT row_id, entity_type, "start", "end" FROM detections WHERE source_column = 'notes'),
-      sides AS (SELECT entity_type, f.row_id IS NOT NULL AS f, g.row_id IS NOT NULL AS g FROM
-        (SELECT *, row_id AS r FROM found) f FULL JOIN (SELECT DISTINCT *, row_id AS r FROM gold) g USING (r, entity_type, "start", "end"))
+      found AS (SELECT DISTINCT {CELL_KEYS}, entity_type, "start", "end" FROM detections),
+      sides AS (SELECT entity_type, f.hit IS NOT NULL AS f, g.hit IS NOT NULL AS g FROM
+        (SELECT *, 1 AS hit FROM found) f FULL JOIN (SELECT DISTINCT *, 1 AS hit FROM gold) g USING ({CELL_KEYS}, entity_type, "start", "end"))
       SELECT entity_type, count(*) FILTER (f AND g) AS true_positives, count(*) FILTER (f AND NOT g) AS false_positives,
         count(*) FILTER (g AND NOT f) AS false_negatives,
         round(count(*) FILTER (f AND g) / nullif(count(*) FILTER (f), 0), 4) AS "precision",
@@ -379,4 +386,25 @@ def build() -> dict[str, str]:
       WHERE date_trunc('hour', e.ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)
       GROUP BY 1, 2"""
     sql["stream_anonymise"] = sql["redact_conversations"]
+    sql["stream_outputs"] = f"""WITH {everything}, {findings}
+      SELECT 'data' AS output, source_column, row_id, NULL::VARCHAR AS label, redacted AS text FROM redacted
+      UNION ALL SELECT 'detection', source_column, row_id, entity_type, text FROM detections
+      UNION ALL SELECT 'finding', source_column, row_id, label, text FROM findings
+      UNION ALL SELECT 'counters', NULL, (SELECT count(*) FROM comments), NULL, (SELECT count(*) FROM detections)::VARCHAR"""
+    sql["islands_relational"] = sql["merge_overlaps"]
+    sql["range_anti_join"] = f"""WITH {CELLS}, {ENTITIES}, {low},
+      words AS (SELECT {CELL_KEYS}, "start", "end" FROM ({places("cells", cat.WORD, CELL_KEYS)})),
+      named AS (SELECT {CELL_KEYS}, "start", "end", max(label) AS label FROM entities GROUP BY ALL)
+      SELECT {CELL_KEYS}, "start", "end", label FROM words a LEFT JOIN named USING ({CELL_KEYS}, "start", "end")
+      WHERE NOT EXISTS (SELECT 1 FROM detections b WHERE a.row_id = b.row_id AND a.source_column = b.source_column
+        AND a."start" >= b."start" AND a."end" <= b."end")"""
+    listed = f"(SELECT {ALLOWED_SQL} FROM range(100000) r(id))"
+    allowing = standard.replace("detections AS (SELECT * FROM reached WHERE", f"detections AS (SELECT * FROM reached WHERE text NOT IN (SELECT term FROM {listed}) AND")
+    sql["allow_list_table"] = f"""WITH {CELLS}, {allowing}
+      SELECT c.row_id, c.notes, c.description, c.category, n.redacted AS "notes_Anonymised", d.redacted AS "description_Anonymised"
+      FROM comments c JOIN redacted n ON c.row_id = n.row_id AND n.source_column = 'notes'
+      JOIN redacted d ON c.row_id = d.row_id AND d.source_column = 'description'"""
+    sql["redact_partial_overlap"] = f"""WITH notes AS ({OVERLAP_SQL}), cells AS (SELECT c_custkey, note AS t FROM notes),
+      {span_steps(ALL_TYPES, 0.45, keys="c_custkey")}
+      SELECT c_custkey, t AS note, redacted AS "note_Anonymised" FROM redacted"""
     return sql

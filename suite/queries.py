@@ -7,6 +7,7 @@ import re
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +16,28 @@ from quillmask import STYLE_ENTITY_TAGS, STYLE_GENERIC, anonymise
 from quillmask import catalogue as cat
 from quillmask.catalogue import DEFAULT_CATALOGUE
 from quillmask.functions import algebra
+from quillmask.functions.spans import find_matches
+from quillmask.operators.allowed import attach_allowed
 from quillmask.operators.annotations import attach_annotations, attach_entities, dictionary_entities
 from quillmask.operators.detection import candidates, raw_matches
 from quillmask.operators.quality import review_sample, span_scores, threshold_sweep
 from quillmask.operators.residual import findings_of
+from quillmask.operators.span_tables import islands, uncovered, with_exact_label
 from quillmask.plans import staging
 from suite.comments import comments
 from quillmask.sources.readers import read_csv, read_parquet
 from quillmask.sources.row_index import read_csv_with_index, read_parquet_with_index, with_row_index
-from quillmask.sources.writers import DATA, DETECTIONS, RESIDUALS, nan_to_null, write_outputs
-from quillmask.streaming.streams import detection_counts, write_stream
+from quillmask.sources.writers import DATA, DETECTIONS, RESIDUALS, STATS, nan_to_null, write_outputs
+from quillmask.streaming.streams import detection_counts, read_stream_outputs, write_stream, write_stream_outputs
 from suite.relations import (
+    ALLOWED_SQL,
     CUSTOMER_NOTES_SQL,
     DICTIONARY_SQL,
     ENTITIES_SPARK,
     EVENT_MESSAGE_SQL,
     MEASURES_SQL,
     NA_SQL,
+    OVERLAP_SQL,
     TOKEN_POS_SPARK,
 )
 
@@ -216,7 +222,7 @@ def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotated(spark, sf_dir).data.select("row_id", "notes_Anonymised")
+    return annotated(spark, sf_dir).data.select("row_id", "notes_Anonymised", "description_Anonymised")
 
 
 def missed_rows(result, keys: list[str]) -> DataFrame:
@@ -248,11 +254,11 @@ def standard(spark: SparkSession, sf_dir: str, **settings):
 
 
 def redact_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standard(spark, sf_dir, columns=["notes"], style=STYLE_GENERIC).data.select("row_id", "notes_Anonymised")
+    return standard(spark, sf_dir, style=STYLE_GENERIC).data.select("row_id", "notes_Anonymised", "description_Anonymised")
 
 
 def redact_entity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standard(spark, sf_dir, columns=["notes"]).data.select("row_id", "notes_Anonymised")
+    return standard(spark, sf_dir).data.select("row_id", "notes_Anonymised", "description_Anonymised")
 
 
 def redact_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +273,7 @@ def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = standard(spark, sf_dir).residual_flags().filter("source_column = 'notes'")
+    flagged = standard(spark, sf_dir).residual_flags()
     return flagged.select("row_index", "source_column", F.size("findings").cast("long").alias("n_findings"))
 
 
@@ -328,7 +334,7 @@ def document_run(spark: SparkSession, sf_dir: str, columns: list[str], **setting
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text column is picked by its name."""
     result = document_run(spark, sf_dir, [], entity_types=ALL_TYPES)
-    return result.data.drop("text")
+    return result.data
 
 
 def detections_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,12 +348,12 @@ def residuals_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return anonymise(turns, entity_types=ALL_TYPES, style=STYLE_ENTITY_TAGS, threshold=0.45).data.drop("text")
+    return anonymise(turns, entity_types=ALL_TYPES, style=STYLE_ENTITY_TAGS, threshold=0.45).data
 
 
 def redact_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return anonymise(pages, columns=["html"], style=STYLE_ENTITY_TAGS, threshold=0.45).data.drop("html")
+    return anonymise(pages, columns=["html"], style=STYLE_ENTITY_TAGS, threshold=0.45).data
 
 
 def redact_pages_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,23 +411,60 @@ def qa_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_sample(comment_table(spark, sf_dir).select("row_id", "notes"), "row_id")
 
 
+def qa_sample_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections to review: so many of each type, by a key of several columns, text among them."""
+    found = standard(spark, sf_dir, entity_types=ALL_TYPES).detections().drop("output_column")
+    return review_sample(found, ["source_column", "row_index", "start", "end"], size=25, seed=7, strata="entity_type")
+
+
 def span_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = comment_table(spark, sf_dir)
-    found = anonymise(df, columns=["notes"], threshold=0.45, key="row_id").detections()
-    people = spark.sql(ENTITIES_SPARK, comments=df).filter("label = 'PERSON'")
+    found = anonymise(df, threshold=0.45, key="row_id").detections()
+    people = spark.sql(ENTITIES_SPARK, comments=df).filter("label IN ('PERSON', 'PER')")
     mobiles = rows_of(
-        df.select("row_id", F.coalesce("notes", F.lit("")).alias("t")).select(
-            "row_id", F.expr(raw_matches("t", DETECTORS["uk_mobile"])).alias("found")
-        ),
-        ["row_id"],
-        "found",
-        "start",
-        "end",
+        cells(df).select(*CELL, F.expr(raw_matches("t", DETECTORS["uk_mobile"])).alias("found")), CELL, "found", "start", "end"
     )
-    gold = people.select("row_id", F.lit("PERSON").alias("entity_type"), "start", "end").unionByName(
+    gold = people.select(*CELL, F.lit("PERSON").alias("entity_type"), "start", "end").unionByName(
         mobiles.withColumn("entity_type", F.lit("PHONE_NUMBER"))
     )
-    return span_scores(found, gold, "row_id")
+    return span_scores(found, gold, CELL)
+
+
+# Span tables ----------------------------------------------------------------
+
+
+def span_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of all types as a table, before overlaps are resolved."""
+    return step_rows(low_threshold(spark, sf_dir), "detections", CELL, *SPAN)
+
+
+def islands_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps joined by windows over the table of spans, without the texts."""
+    return islands(span_table(spark, sf_dir), [*CELL, "entity_type"], score=F.max("score"))
+
+
+def range_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words outside all detections, with the label of the annotation of exactly their place."""
+    df = comment_table(spark, sf_dir)
+    words = rows_of(cells(df).select(*CELL, F.expr(find_matches("t", cat.WORD)).alias("w")), CELL, "w", "start", "end")
+    outside = uncovered(words, span_table(spark, sf_dir), CELL)
+    return with_exact_label(outside, spark.sql(ENTITIES_SPARK, comments=df), CELL)
+
+
+def allow_list_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of 100,000 allowed texts; half of the mobile numbers of one kind of comment are among them."""
+    df = comment_table(spark, sf_dir)
+    allowed = spark.range(100_000).selectExpr(ALLOWED_SQL)
+    columns = {"notes": "allowed_n", "description": "allowed_d"}
+    settings = {"style": STYLE_ENTITY_TAGS, "threshold": cat.INTERACTIVE_THRESHOLD, "key": "row_id"}
+    listed = attach_allowed(df, anonymise(df, **settings), allowed, columns)
+    return anonymise(listed, allowed=columns, **settings).data
+
+
+def redact_partial_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of two types that overlap in part: the earlier one ends where the later starts."""
+    notes = spark_sql(spark, OVERLAP_SQL, customer=table(spark, sf_dir, "customer", "c_custkey"))
+    return anonymise(notes, entity_types=ALL_TYPES, style=STYLE_ENTITY_TAGS, threshold=0.45).data
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name_: str) -> DataFrame:
@@ -434,10 +477,38 @@ def stream_anonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = stream_of(spark, sf_dir, "conversations")
     result = anonymise(turns, entity_types=ALL_TYPES, style=STYLE_ENTITY_TAGS, threshold=0.45)
     out = shared_folder(spark)
-    write_stream(result.data.drop("text"), f"{out}/data", f"{out}/checkpoint", available_now=True).awaitTermination()
+    write_stream(result.data, f"{out}/data", f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/data")
 
 
+def stream_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data, detections and findings of a stream of comments that comes in four parts, stopped after two of them."""
+    out = shared_folder(spark)
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    orders.repartition(4, "o_orderkey").write.parquet(f"{out}/orders")
+
+    def drain(parts: str) -> None:
+        source = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", parts)
+        write_stream_outputs(
+            comments(source.parquet(f"{out}/orders")), f"{out}/outputs", f"{out}/checkpoint", available_now=True,
+            key="row_id", row_index="row_id", style=STYLE_ENTITY_TAGS, threshold=cat.INTERACTIVE_THRESHOLD,
+        ).awaitTermination()
+
+    drain("part-0000[01]*")
+    drain("part-*")
+    found = read_stream_outputs(spark, f"{out}/outputs")
+    null = F.lit(None).cast("string")
+    rows = [
+        found[DATA].select(F.lit("data").alias("output"), F.lit(c).alias("source_column"), "row_id", null.alias("label"), F.col(f"{c}_Anonymised").alias("text"))
+        for c in ("notes", "description")
+    ]
+    rows.append(found[DETECTIONS].selectExpr("'detection'", "source_column", "row_index", "entity_type", "original_text"))
+    rows.append(found[RESIDUALS].selectExpr("'finding'", "source_column", "row_index", "label", "text"))
+    counted = found[STATS].agg(F.sum("pii_entities_detected").cast("string").alias("n"), F.sum("records_processed").alias("rows"))
+    rows.append(counted.selectExpr("'counters'", "CAST(NULL AS string)", "rows", "CAST(NULL AS string)", "n"))
+    return reduce(DataFrame.union, rows)
+
+
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections per hour over a stream of event messages; only closed windows are out."""
     messages = stream_of(spark, sf_dir, "events").selectExpr("cast(ts AS timestamp) AS ts", f"{EVENT_MESSAGE_SQL} AS message")
@@ -506,4 +577,10 @@ QUERIES: dict[str, Query] = {
     "span_eval": span_eval,
     "stream_anonymise": stream_anonymise,
     "stream_window_counts": stream_window_counts,
+    "stream_outputs": stream_outputs,
+    "islands_relational": islands_relational,
+    "range_anti_join": range_anti_join,
+    "allow_list_table": allow_list_table,
+    "qa_sample_strata": qa_sample_strata,
+    "redact_partial_overlap": redact_partial_overlap,
 }

@@ -84,3 +84,14 @@ EVENT_MESSAGE_SQL = """
 CASE event_type WHEN 'error' THEN 'ring 07' || lpad(cast(event_id * 7919 % 1000000000 AS string), 9, '0')
   WHEN 'click' THEN 'user' || cast(user_id AS string) || '@example.com clicked'
   WHEN 'view' THEN 'Mr Brown at SW1A ' || cast(user_id % 10 AS string) || 'AA' ELSE 'nothing here' END"""
+
+# Allowed texts: every second mobile number of the comments that hold one, and others.
+ALLOWED_SQL = """CASE WHEN id % 24 = 0 THEN '07' || lpad(cast(id * 7919 % 1000000000 AS string), 9, '0')
+  WHEN id = 1 THEN 'Mr Brown' ELSE 'allowed ' || cast(id AS string) END AS term"""
+
+# The digits after the label are the beginning of a phone number as well.
+OVERLAP_SQL = """
+SELECT c_custkey, 'Job 07' || lpad(cast(c_custkey % 1000 AS string), 3, '0') || ' ' || lpad(cast(c_custkey * 7919 % 1000000 AS string), 6, '0') ||
+  CASE WHEN c_custkey % 2 = 0 THEN ' and ref 0191 403 2203' ELSE ', call back' END AS note
+FROM customer
+"""

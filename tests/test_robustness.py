@@ -112,8 +112,8 @@ def test_stages_are_deleted(spark, run, tmp_path):
     paths = write_outputs(run(["ring 07700 900123"]), str(tmp_path / "out"), staging=stage, with_report=False)
     assert not os.path.exists(stage) and "detection_report" not in paths
     assert spark.read.parquet(paths["run_stats"]).first()["pii_entities_detected"] == 1
-    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
-        write_outputs(run(["ring 07700 900123"]), str(tmp_path / "out"))
+    with pytest.raises(Exception, match="DATA_SOURCE_NOT_FOUND"):
+        write_outputs(run(["ring 07700 900123"]), str(tmp_path / "out"), file_format="no.such.format")
     assert (set(os.listdir(root)) if os.path.isdir(root) else set()) == before
 
 

@@ -18,6 +18,7 @@ PIECES = [
     "SW1A 1AA", "gir0aa", "AB123456C", "AB 12 34 56 D", "GB123456A", "07700900123", "+44 7700 900123", "0191 403 2203",
     "BH-123", "REP 2023 1234", "tenancy 12345", "CUS1234", "ref-1234", "key safe: 1234", "pincode#12345", "98765432",
     "Name: Jo Bloggs", "Mr & Mrs O'Neil", "Miss Harlow", "ms. x", "a.b@c.example.com", "2024-03-12", "12/03/24", "3rd March 2024",
+    "March 12, 2024", "dec. 3rd 2021", "2024-03-12T10:30", "2024-03-12 10:30:00.5Z", "June 2025", "''a.-b+c@x-y.example.org", "é.ü@exámple.es",
     "+1 (499) 555-6503", "555-123-4567", "word", "Ünï", "😀", "\n", "\r\n", "\t", ".", ",", "code", "x", "Café", "1", "the",
 ]
 
