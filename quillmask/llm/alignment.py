@@ -42,14 +42,16 @@ from quillmask.llm.common import Scratch, documents, q
 
 BLANK = "▁"
 HEAD_PAIRS = 2**18
-MEMO = 400_000  # remembered words in a worker; others are encoded anew
+MEMO = 360_000  # remembered words in a worker, about; others are encoded anew
 LONG_WORD = 64  # longer ones are not remembered
-SLICE = 2 * 1024 * 1024  # characters of text that are aligned before they are passed on
+SLICE = 1024 * 1024  # characters of text that are aligned before they are passed on
 FLUSH = 2_000_000  # distinct pairs a task counts before it passes them on
 SHARES = 16  # classes of counts for each power of two
 
 # A blank between two characters that are no white space by any definition.
 CUT = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
+WHOLE = re.compile(r" [^\s᠎]+")
+UNCLEAR = re.compile(r"(?:^|[\s᠎]) | (?:[\s᠎]|$)")
 
 
 class ByteLevel:
@@ -108,105 +110,138 @@ def byte_signs() -> dict[str, int]:
 
 
 class Coder:
-    """Tokens of one tokenizer as numbers: id and length in bytes; 0 alone marks a word it does not cover."""
-
-    def __init__(self, tokenizer: ByteLevel | Pieces):
-        self.tokenizer = tokenizer
-        self.code = np.array([(k << 16) | len(b) for k, b in enumerate(tokenizer.bytes)], np.int64)
-        self.memo: dict[str, bytes] = {}
+    """Tokens of both tokenizers as numbers: id and length in bytes; 0 alone marks a word that one does not cover."""
+
+    def __init__(self, files: tuple[bytes, bytes]):
+        self.both = ByteLevel(files[0]), Pieces(files[1])
+        self.by_word = all(t.by_word for t in self.both)
+        self.codes = [np.array([(k << 16) | len(b) for k, b in enumerate(t.bytes)], np.int64) for t in self.both]
+        self.width = len(self.both[1].bytes)
+        # how an id is written: within its group, at the end of its side, for both sides
+        self.written = [f"{k}{end}" for t, last in zip(self.both, "|;", strict=True) for k in range(len(t.bytes)) for end in (",", last)]
+        self.second = 2 * len(self.both[0].bytes)
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
+    def words(self, text: str | None) -> list[str]:
+        """The words of a blank and the text, each with the blanks before it."""
+        if not text:
+            return []
+        if not self.by_word:
+            return [" " + text]
+        if UNCLEAR.search(text):
+            return CUT.split(" " + text)
+        return [" " + w for w in text.split(" ")]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        for word, ids in zip(new, self.tokenizer.encode(new), strict=True):
-            covered = b"".join([self.tokenizer.bytes[k] for k in ids]) == word.encode()
-            self.memo[word] = self.code[ids].tobytes() if covered else bytes(8)
+        """Remember the tokens of words; those not met for long are forgotten first."""
+        if len(self.memo) > MEMO // 2:
+            self.older, self.memo = self.memo, {}
+        again = [w for w in words if w not in self.memo]
+        self.memo.update((w, self.older[w]) for w in again if w in self.older)
+        new = [w for w in again if w not in self.memo]
+        if self.by_word:
+            plain = [w for w in new if WHOLE.fullmatch(w)]
+            whole = set(plain)
+            self.remember(plain, *[self.joined(k, plain) for k in range(2)])
+            new = [w for w in new if w not in whole]
+        self.remember(new, *[self.apart(k, new) for k in range(2)])
+
+    def remember(self, words: list[str], a: list[bytes], b: list[bytes]) -> None:
+        self.memo.update(zip(words, zip(a, b, strict=True), strict=True))
+
+    def apart(self, k: int, words: list[str]) -> list[bytes]:
+        """Tokens of each word, encoded one by one."""
+        tokenizer, own = self.both[k], []
+        for word, ids in zip(words, tokenizer.encode(words), strict=True):
+            covered = b"".join([tokenizer.bytes[i] for i in ids]) == word.encode()
+            own.append(self.codes[k][ids].tobytes() if covered else bytes(8))
+        return own
+
+    def joined(self, k: int, words: list[str]) -> list[bytes]:
+        """The same from one text of all words: no token crosses from one to the next."""
+        if not words:
+            return []
+        tokenizer, parts = self.both[k], [w.encode() for w in words]
+        ids = tokenizer.encode(["".join(words)])[0]
+        if b"".join([tokenizer.bytes[i] for i in ids]) != b"".join(parts):
+            return self.apart(k, words)
+        codes = self.codes[k][ids]
+        ends = np.searchsorted(np.cumsum(codes & 0xFFFF), np.cumsum([len(p) for p in parts])) + 1
+        data, at = codes.tobytes(), [0, *(8 * ends).tolist()]
+        return [data[at[i] : at[i + 1]] for i in range(len(words))]
 
     def forget(self, words: set[str]) -> None:
         for word in words:
             if len(word) > LONG_WORD:
                 del self.memo[word]
 
-    def tokens(self, words: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int64)
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = zip(*map(self.memo.__getitem__, words), strict=True) if words else ((), ())
+        return np.frombuffer(b"".join(a), np.int64), np.frombuffer(b"".join(b), np.int64)
 
 
-CODERS: dict[tuple[bytes, bytes], tuple[Coder, Coder]] = {}
+CODERS: dict[tuple[bytes, bytes], Coder] = {}
 
 
-def coders(files: tuple[bytes, bytes]) -> tuple[Coder, Coder]:
-    """The worker's coders, kept from task to task with what they remember."""
+def coder(files: tuple[bytes, bytes]) -> Coder:
+    """The worker's coder, kept from task to task with what it remembers."""
     if files not in CODERS:
         CODERS.clear()
-        CODERS[files] = (Coder(ByteLevel(files[0])), Coder(Pieces(files[1])))
+        CODERS[files] = Coder(files)
     return CODERS[files]
 
 
-def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(i, j, n): n tokens from i of a pair off with those from j of b; a and b are ends, with the same last one.
-
-    Between two stretches lies one irregular group.
-    """
+def walk(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of two lists of ends with the same last one: the places on either side that do not end a group,
+    and the overlapping places of the groups that are not one to one."""
+    a_inner, b_inner, left, right = [], [], [], []
     i = j = 0
     while i < len(a):
-        n, step = 0, 4
+        n, step = 0, 8
         while (x := a[i + n : i + n + step]) == b[j + n : j + n + step] and x:
             n, step = n + len(x), 2 * step
         while step > 1:
             step //= 2
             if (x := a[i + n : i + n + step]) == b[j + n : j + n + step]:
                 n += len(x)
-        yield i, j, n
         i, j = i + n, j + n
         if i == len(a):
-            return
+            break
         x, y = a[i], b[j]
+        left.append(i)
+        right.append(j)
         while x != y:
             if x < y:
+                a_inner.append(i)
                 i += 1
                 x = a[i]
             else:
+                b_inner.append(j)
                 j += 1
                 y = b[j]
+            left.append(i)
+            right.append(j)
         i, j = i + 1, j + 1
+    return a_inner, b_inner, left, right
 
 
-def overlaps(a: list[int], b: list[int], i: int, j: int, i_end: int, j_end: int) -> Iterator[tuple[int, int]]:
-    """Places of overlapping tokens within the group i..i_end, j..j_end."""
-    yield i, j
-    while i < i_end - 1 or j < j_end - 1:
-        if a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-        yield i, j
-
-
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray, np.ndarray]:
-    """Number of groups, the groups as text, and the ids of every link; a and b are Coder.tokens."""
+def align(a: np.ndarray, b: np.ndarray, coder: Coder) -> tuple[int, str, np.ndarray]:
+    """Number of groups, the groups as text, and the pair of every link; a and b are Coder.tokens."""
     a_ids, b_ids = a >> 16, b >> 16
-    a_ends, b_ends = np.cumsum(a & 0xFFFF).tolist(), np.cumsum(b & 0xFFFF).tolist()
-    a_list, b_list = a_ids.tolist(), b_ids.tolist()
-    groups: list[str] = []
-    left, right = [], []
-    i_at = j_at = 0
-    for i, j, n in stretches(a_ends, b_ends):
-        if i > i_at:
-            groups.append(",".join(map(str, a_list[i_at:i])) + "|" + ",".join(map(str, b_list[j_at:j])))
-            for x, y in overlaps(a_ends, b_ends, i_at, j_at, i, j):
-                left.append(a_list[x])
-                right.append(b_list[y])
-        i_at, j_at = i + n, j + n
-        groups += [f"{x}|{y}" for x, y in zip(a_list[i:i_at], b_list[j:j_at], strict=True)]
-        left += a_list[i:i_at]
-        right += b_list[j:j_at]
-    if i_at < len(a_ends):
-        groups.append(",".join(map(str, a_list[i_at:])) + "|" + ",".join(map(str, b_list[j_at:])))
-        for x, y in overlaps(a_ends, b_ends, i_at, j_at, len(a_ends), len(b_ends)):
-            left.append(a_list[x])
-            right.append(b_list[y])
-    return len(groups), ";".join(groups), np.array(left, np.int64), np.array(right, np.int64)
+    a_inner, b_inner, left, right = walk(np.cumsum(a & 0xFFFF).tolist(), np.cumsum(b & 0xFFFF).tolist())
+    a_last, b_last = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
+    a_last[a_inner], b_last[b_inner] = 0, 0
+    a_to, b_to = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1  # where each group ends
+    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    # a group's tokens of a come before those of b
+    written = np.empty(len(a) + len(b), np.int64)
+    written[np.arange(len(a)) + np.concatenate([[0], b_to])[a_group]] = 2 * a_ids + a_last
+    written[np.arange(len(b)) + a_to[b_group]] = coder.second + 2 * b_ids + b_last
+    text = "".join(map(coder.written.__getitem__, written.tolist()))[:-1]
+    single = (np.diff(a_to, prepend=0) == 1) & (np.diff(b_to, prepend=0) == 1)
+    pairs = np.concatenate([a_ids[a_to[single] - 1] * coder.width + b_ids[b_to[single] - 1], a_ids[left] * coder.width + b_ids[right]])
+    return len(a_to), text, pairs
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
@@ -235,7 +270,6 @@ def vocabulary(files: tuple[bytes, bytes]) -> int:
 def aligned(docs: DataFrame, files: tuple[bytes, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups, pairs, times) of every row; pairs are distinct and in order."""
     shared = docs.sparkSession.sparkContext.broadcast(files)  # two files of fixed size
-    width = vocabulary(files)
     kind = docs.select(q(id_col).alias("doc_id")).schema["doc_id"]
     schema = T.StructType([kind]).simpleString()[7:-1]
     schema += ", n_a: bigint, n_b: bigint, n_groups: bigint, groups: string, pairs: array<bigint>, times: array<int>"
@@ -245,21 +279,18 @@ def aligned(docs: DataFrame, files: tuple[bytes, bytes], id_col: str = "doc_id",
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(id_type).field(0).type
-        first, second = coders(shared.value)
-        by_word = first.tokenizer.by_word and second.tokenizer.by_word
+        own = coder(shared.value)
         for ids, texts in slices(batches):
-            words = [(CUT.split(" " + t) if by_word else [" " + t]) if t else [] for t in texts]
+            words = [own.words(t) for t in texts]
             every = set().union(*words)
-            first.learn(every)
-            second.learn(every)
+            own.learn(every)
             found = []
             for w in words:
-                a, b = first.tokens(w), second.tokens(w)
-                found.append(align(a, b) if len(a) and a.all() and b.all() else (0, "", a[:0], a[:0]))
-                found[-1] = (len(a), len(b), *found[-1]) if found[-1][0] else (0, 0, *found[-1])
-            first.forget(every)
-            second.forget(every)
-            pairs = [np.unique(f[4] * width + f[5], return_counts=True) for f in found]
+                a, b = own.tokens(w)
+                whole = len(a) and a.all() and b.all()
+                found.append((len(a), len(b), *align(a, b, own)) if whole else (0, 0, 0, "", a[:0]))
+            own.forget(every)
+            pairs = [np.unique(f[4], return_counts=True) for f in found]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p, _ in pairs])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [

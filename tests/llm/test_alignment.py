@@ -93,7 +93,7 @@ def test_odd_texts(spark, make, odd, empty, head):
     assert m.compared(empty, FILES, head_pairs=head).count() == 0
 
 
-def test_stretches_and_overlaps_on_random_ends():
+def test_walk_on_random_ends():
     lot = random.Random(9)
     for n in (1, 2, 5, 40, 700):
         for share in (0.02, 0.3, 0.9):
@@ -101,16 +101,13 @@ def test_stretches_and_overlaps_on_random_ends():
             b = [k for k in range(1, n) if lot.random() > share] + [n]
             if share == 0.02:
                 b = sorted(set(a) - {lot.choice(a[:-1] or [0])})
-            own = list(m.stretches(a, b))
-            pairs = [(i + k, j + k) for i, j, size in own for k in range(size)]
-            i_at = j_at = 0
-            for i, j, size in [*own, (len(a), len(b), 0)]:
-                if i > i_at:
-                    pairs += m.overlaps(a, b, i_at, j_at, i, j)
-                i_at, j_at = i + size, j + size
+            a_inner, b_inner, left, right = m.walk(a, b)
+            assert a_inner == [i for i, x in enumerate(a) if x not in b] and b_inner == [j for j, x in enumerate(b) if x not in a]
             starts = [0, *a], [0, *b]
-            want = {(i, j) for i in range(len(a)) for j in range(len(b)) if starts[0][i] < b[j] and starts[1][j] < a[i]}
-            assert len(pairs) == len(set(pairs)) and set(pairs) == want
+            every = {(i, j) for i in range(len(a)) for j in range(len(b)) if starts[0][i] < b[j] and starts[1][j] < a[i]}
+            single = {(i, j) for i, j in every if a[i] == b[j] and starts[0][i] == starts[1][j]}
+            pairs = list(zip(left, right, strict=True))
+            assert len(pairs) == len(set(pairs)) and set(pairs) == every - single
 
 
 def test_probes_are_few_on_a_long_stretch():
@@ -122,5 +119,5 @@ def test_probes_are_few_on_a_long_stretch():
             return super().__getitem__(k)
 
     a = Ends(range(1, 100_001))
-    assert list(m.stretches(a, Ends(range(1, 100_001)))) == [(0, 0, 100_000)]
+    assert m.walk(a, Ends(range(1, 100_001))) == ([], [], [], [])
     assert Ends.looks < 120
