@@ -27,6 +27,7 @@ best of its id; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -189,24 +190,34 @@ def coder(files: tuple[bytes, bytes]) -> Coder:
     if files not in CODERS:
         CODERS.clear()
         CODERS[files] = Coder(files)
+        gc.set_threshold(100_000)  # words and tokens make no cycles that it would have to look for
     return CODERS[files]
 
 
-def walk(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Of two lists of ends with the same last one: the places on either side that do not end a group,
+def stretch(a: bytes, b: bytes, i: int, j: int) -> int:
+    """How many ends (four bytes each) agree from place i of a and place j of b on."""
+    i, j, n, step = 4 * i, 4 * j, 0, 32
+    while (x := a[i + n : i + n + step]) == b[j + n : j + n + step] and x:
+        n, step = n + len(x), 2 * step
+    while step > 4:
+        step //= 2
+        if (x := a[i + n : i + n + step]) == b[j + n : j + n + step]:
+            n += len(x)
+    return n // 4
+
+
+def walk(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of two arrays of ends with the same last one: the places on either side that do not end a group,
     and the overlapping places of the groups that are not one to one."""
     a_inner, b_inner, left, right = [], [], [], []
+    a_bytes, b_bytes = a_ends.astype(np.int32).tobytes(), b_ends.astype(np.int32).tobytes()
+    a, b = memoryview(a_bytes).cast("i"), memoryview(b_bytes).cast("i")
+    size = len(a)
     i = j = 0
-    while i < len(a):
-        n, step = 0, 8
-        while (x := a[i + n : i + n + step]) == b[j + n : j + n + step] and x:
-            n, step = n + len(x), 2 * step
-        while step > 1:
-            step //= 2
-            if (x := a[i + n : i + n + step]) == b[j + n : j + n + step]:
-                n += len(x)
+    while i < size:
+        n = stretch(a_bytes, b_bytes, i, j)
         i, j = i + n, j + n
-        if i == len(a):
+        if i == size:
             break
         x, y = a[i], b[j]
         left.append(i)
@@ -229,7 +240,7 @@ def walk(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], l
 def align(a: np.ndarray, b: np.ndarray, coder: Coder) -> tuple[int, str, np.ndarray]:
     """Number of groups, the groups as text, and the pair of every link; a and b are Coder.tokens."""
     a_ids, b_ids = a >> 16, b >> 16
-    a_inner, b_inner, left, right = walk(np.cumsum(a & 0xFFFF).tolist(), np.cumsum(b & 0xFFFF).tolist())
+    a_inner, b_inner, left, right = walk(np.cumsum(a & 0xFFFF), np.cumsum(b & 0xFFFF))
     a_last, b_last = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
     a_last[a_inner], b_last[b_inner] = 0, 0
     a_to, b_to = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1  # where each group ends

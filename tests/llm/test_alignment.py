@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -101,7 +102,7 @@ def test_walk_on_random_ends():
             b = [k for k in range(1, n) if lot.random() > share] + [n]
             if share == 0.02:
                 b = sorted(set(a) - {lot.choice(a[:-1] or [0])})
-            a_inner, b_inner, left, right = m.walk(a, b)
+            a_inner, b_inner, left, right = m.walk(np.array(a), np.array(b))
             assert a_inner == [i for i, x in enumerate(a) if x not in b] and b_inner == [j for j, x in enumerate(b) if x not in a]
             starts = [0, *a], [0, *b]
             every = {(i, j) for i in range(len(a)) for j in range(len(b)) if starts[0][i] < b[j] and starts[1][j] < a[i]}
@@ -111,13 +112,18 @@ def test_walk_on_random_ends():
 
 
 def test_probes_are_few_on_a_long_stretch():
-    class Ends(list):
+    class Ends(bytes):
         looks = 0
 
         def __getitem__(self, k):
             Ends.looks += 1
             return super().__getitem__(k)
 
-    a = Ends(range(1, 100_001))
-    assert m.walk(a, Ends(range(1, 100_001))) == ([], [], [], [])
-    assert Ends.looks < 120
+    ends = np.arange(1, 100_001, dtype=np.int32)
+    other = ends.copy()
+    other[77_777] = 0
+    assert m.walk(ends, ends) == ([], [], [], [])
+    assert m.stretch(Ends(ends.tobytes()), Ends(ends.tobytes()), 0, 0) == 100_000
+    assert m.stretch(Ends(ends.tobytes()), Ends(other.tobytes()), 0, 0) == 77_777
+    assert m.stretch(Ends(ends.tobytes()), Ends(other.tobytes()), 77_777, 77_777) == 0
+    assert Ends.looks < 200
