@@ -1,11 +1,15 @@
 """Toxicity from averaged subword embeddings and a linear softmax.
 
 A text's words are cut into byte n-grams with the blanks around them, hashed
-into an embedding table. SPAN neighbouring words form a span; its vector is the
-average of its n-gram vectors, and a linear softmax over that vector gives the
-span's probability. A document is as toxic as its most toxic span, so a few
-words count in a text of any length. Table and softmax are trained jointly by
-gradient steps in numpy; a misspelled word shares most n-grams with its origin.
+into an embedding table. The vector of a run of words is the average of its
+n-gram vectors, and a linear softmax over that vector gives the run's
+probability. A document is as toxic as its most toxic run, as one insult in a
+long clean text would be averaged away otherwise. No n-gram crosses a blank, so
+the log odds of a run are a weighted mean of those of its words: the maximum over
+all runs, of any length and from any start, is that over single words, and only
+these are computed. Clean words before or after a text change nothing. Table and
+softmax are trained jointly by gradient steps in numpy; a misspelled word shares
+most n-grams with its origin.
 
 Training reads at most SAMPLE_ROWS labelled rows of either class, those with the
 smallest hash of their id; scoring covers every row and whole texts.
@@ -13,7 +17,9 @@ smallest hash of their id; scoring covers every row and whole texts.
 Defined cases: null texts and texts without words have score 0; without labelled
 rows of both classes every score is 0; null labels are ignored, of several
 labels of an id the largest counts, of several texts of an id the smallest is
-learned from; repeated rows are scored each; other columns are not looked at.
+learned from; repeated rows are scored each; a text of any length is scored
+whole, cut up BLOCK characters of texts at a time or, if longer, alone; of equal
+words in training the first counts; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,10 +37,9 @@ SAMPLE_ROWS = 2000
 GRAMS = (3, 4, 5)
 BUCKETS = 2**17
 DIM = 12
-SPAN = 2
 EPOCHS = 6
 BATCH = 16
-WARM = 1  # first epochs, in which random spans carry their document's label
+WARM = 1  # first epochs, in which random words carry their document's label
 RATE = 0.3
 BLOCK = 512 * 1024  # bytes of text that are cut up at once
 
@@ -44,17 +49,14 @@ TO_WORDS = bytes(
 
 
 def cut(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """N-gram buckets and their spans (as run numbers), and the document of each span."""
+    """N-gram buckets and the numbers of their words, and the document of each word."""
     parts = [b" " + b" ".join((t or "").lower().encode("utf-8", "surrogatepass").translate(TO_WORDS).split()) for t in texts]
     data = b"".join(p for p in parts if len(p) > 1) + b" "
     b = np.frombuffer(data, np.uint8)
     blank = b == 32
     word = np.cumsum(blank, dtype=np.int32) - 1  # number of the word that a byte, or the blank before it, belongs to
     counts = np.array([p.count(b" ") if len(p) > 1 else 0 for p in parts], np.int64)
-    spans = -(-counts // SPAN)
-    first_word, first_span = np.cumsum(counts) - counts, np.cumsum(spans) - spans
     doc_of_word = np.repeat(np.arange(len(parts)), counts)
-    span_of_word = (first_span[doc_of_word] + (np.arange(counts.sum()) - first_word[doc_of_word]) // SPAN).astype(np.int32)
     buckets, owners = [], []
     wide = b.astype(np.uint32)
     for n in GRAMS:
@@ -70,11 +72,10 @@ def cut(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(good)
         h = h[at] * np.uint32(2654435769)
         buckets.append((h >> np.uint32(32 - 17)).astype(np.int32))
-        owners.append(span_of_word[word[at]])
-    doc_of_span = np.repeat(np.arange(len(parts)), spans)
+        owners.append(word[at])
     if not buckets or not counts.sum():
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), doc_of_span
-    return np.concatenate(buckets), np.concatenate(owners), doc_of_span
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), doc_of_word
+    return np.concatenate(buckets), np.concatenate(owners), doc_of_word
 
 
 class Model:
@@ -92,7 +93,7 @@ class Model:
         return self.table @ (self.weights[1] - self.weights[0]), float(self.bias[1] - self.bias[0])
 
     def step(self, grams: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> None:
-        """One gradient step (Adagrad) over spans; owner numbers them from 0, in order."""
+        """One gradient step (Adagrad) over words; owner numbers them from 0, in order."""
         n = len(labels)
         size = np.bincount(owner, minlength=n).astype(np.float32)
         starts = np.cumsum(size.astype(np.int64)) - size.astype(np.int64)
@@ -124,8 +125,8 @@ class Model:
                 if epoch < WARM:
                     lots = self.random.random(len(doc))
                 else:
-                    lots = self.span_margins(grams, owner, len(doc))
-                chosen = top_spans(lots, doc, full, 8 if epoch < WARM else 1)
+                    lots = self.word_margins(grams, owner, len(doc))
+                chosen = top_words(lots, doc, full, 8 if epoch < WARM else 1)
                 number = np.full(len(doc), -1)
                 number[chosen] = np.arange(len(chosen))
                 keep = np.flatnonzero(number[owner] >= 0)
@@ -133,13 +134,13 @@ class Model:
                 self.step(grams[keep], number[owner[keep]], y[rows][doc[chosen]])
         return self
 
-    def span_margins(self, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    def word_margins(self, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         gain, base = self.margins()
         size = np.bincount(owner, minlength=n)
         return np.bincount(owner, weights=gain[grams], minlength=n) / np.maximum(size, 1) + base
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        """Probability of the most toxic span of each text."""
+        """Probability of the most toxic word of each text."""
         gain, base = self.margins()
         out: list[float] = []
         for block in blocks(texts):
@@ -152,8 +153,8 @@ class Model:
         return [0.0 if s < 1e-200 else s for s in out]
 
 
-def top_spans(lots: np.ndarray, doc: np.ndarray, full: np.ndarray, n: int) -> np.ndarray:
-    """The n highest spans of each document, in order of span."""
+def top_words(lots: np.ndarray, doc: np.ndarray, full: np.ndarray, n: int) -> np.ndarray:
+    """The n highest words of each document, in order of word."""
     order = full[np.lexsort((-lots[full], doc[full]))]
     d = doc[order]
     first = np.searchsorted(d, d)

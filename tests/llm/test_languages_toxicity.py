@@ -38,6 +38,57 @@ def test_mixtures_and_single_languages(spark, make):
     assert model.best(text_of(FR, 30, lot)) == ("fr", 1.0, "fr")
 
 
+def plain_shares(p, n, rounds=20000):
+    share = np.full(p.shape[1], 1 / p.shape[1])
+    for _ in range(rounds):
+        share = share * (p.T @ (n / (p @ share))) / n.sum()
+    return share, float(n @ np.log(p @ share))
+
+
+def test_shares_and_sets_against_plain_elimination(make):
+    rows = some_texts() + [(90 + k, text_of(EN[:6] + FR[:6], 40, random.Random(k)), "xx", "s") for k in range(6)]
+    model = languages.train(make(rows), F.lit(True))
+    lot = random.Random(11)
+    sizes = set()
+    for case in range(30):
+        text = " ".join(text_of(w, lot.choice([0, 3, 20, 80]), lot) for w in (EN, FR, DE)) + (" la" if case % 2 else " the")
+        buckets, n = model.counts(text)
+        p, held = model.p[buckets], list(range(len(model.names)))
+        penalty = 0.5 * np.log(n.sum())
+        share, reached = plain_shares(p, n)
+        grid = [(a / 20, b / 20, c / 20, 1 - (a + b + c) / 20) for a in range(21) for b in range(21 - a) for c in range(21 - a - b)]
+        assert reached >= max(float(n @ np.log(p @ np.abs(g))) for g in grid) - 1e-6
+        close = False
+        while len(held) > 1:
+            rest = [k for k in range(len(held)) if k != int(np.argmin(share))]
+            less, likely = plain_shares(p[:, [held[k] for k in rest]], n)
+            close |= abs(reached - likely - penalty) < 3 * languages.TOLERANCE
+            if reached - likely > penalty:
+                break
+            held, share, reached = [held[k] for k in rest], less, likely
+        got = model.shares(text)
+        assert close or set(got) == {model.names[k] for k in held}, text
+        sizes.add(len(got))
+        mixed = np.array([got.get(name, 0.0) for name in model.names])
+        assert close or float(n @ np.log(p @ mixed)) >= reached - 3 * languages.TOLERANCE
+    assert len(sizes) >= 2
+
+
+def test_texts_in_no_learned_language_leave_the_pipeline(spark, sf, make):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    cols = docs.columns
+    last = docs.agg(F.max("doc_id")).head()[0]
+    junk = ["zxqv kkjw qqpx vvbn zzxk", "Η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί", "日本語のテキスト"]
+    strange = spark.createDataFrame([(last + 1 + k, t) for k, t in enumerate(junk)], "doc_id long, text string")
+    both = docs.unionByName(strange, allowMissingColumns=True)
+    kept = corpus_pipeline.drop_unidentified(spark, both, sf)
+    assert kept.columns == cols
+    left = {r.doc_id for r in both.join(kept, "doc_id", "left_anti").collect()}
+    assert left == {last + 1 + k for k in range(len(junk))} | {r.doc_id for r in docs.filter("text is null or not text rlike '[a-zA-Z]'").collect()}
+
+
 def test_language_of_odd_rows(spark, odd, make, empty):
     got = {r.doc_id: r for r in languages.identify(odd, F.col("doc_id") != 5).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (2, 3, 4))
@@ -75,6 +126,40 @@ def test_one_word_in_a_long_text_and_misspellings():
     assert model.scores(texts[:5]) == [model.scores([t])[0] for t in texts[:5]]
 
 
+def plain_odds(model, words):
+    """Log odds of a run of words from its averaged n-gram vectors, gram by gram."""
+    grams = []
+    for word in words:
+        data = b" " + word.encode() + b" "
+        grams += [data[i : i + n] for n in toxicity.GRAMS for i in range(len(data) - n + 1)]
+    rows = []
+    for gram in grams:
+        h = len(gram)
+        for byte in gram:
+            h = (h * 16777619 & 0xFFFFFFFF) ^ byte
+        rows.append((h * 2654435769 & 0xFFFFFFFF) >> 15)
+    vector = model.table[rows].astype(float).mean(axis=0)
+    logits = model.weights @ vector + model.bias
+    return logits[1] - logits[0]
+
+
+def test_scores_against_every_run_of_words():
+    model = toxicity.Model().fit(*map(list, zip(*lots(120, 4), strict=True)))
+    for text in ["grumblewort", "a snotnosed lowlife", "La maison, the hill", "fleuve über dem hügel", *[t for t, _ in lots(6, 9)]]:
+        words = text.lower().encode().translate(toxicity.TO_WORDS).decode().split()[:40]
+        runs = [plain_odds(model, words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+        assert np.isclose(model.scores([" ".join(words)])[0], 1 / (1 + np.exp(-max(runs))), atol=1e-4)
+
+
+def test_clean_words_change_no_score():
+    texts, labels = map(list, zip(*lots(200, 6), strict=True))
+    model = toxicity.Model().fit(texts, labels)
+    before = np.array(model.scores(texts))
+    for changed in ([f"the {t}" for t in texts], [f"{t} river" for t in texts]):
+        after = np.array(model.scores(changed))
+        assert ((before >= 0.5) == (after >= 0.5)).all() and (after[before >= 0.5] == before[before >= 0.5]).all()
+
+
 def test_training_is_repeatable():
     texts, labels = map(list, zip(*lots(60, 5), strict=True))
     one, two = toxicity.Model().fit(texts, labels), toxicity.Model().fit(texts, labels)
