@@ -2,15 +2,21 @@
 
 Learning counts hashed byte trigrams of the words of all training documents per
 language. A document is a mixture: expectation-maximisation estimates the share
-of each language from the trigram likelihoods, and the set of languages is
-chosen by penalised likelihood (BIC): the weakest language is dropped as long as
-that lowers the penalty by more than it costs. The language with the largest
+of each language from the trigram likelihoods, until the shares are within
+TOLERANCE of the best log-likelihood, and the set of languages is chosen by
+penalised likelihood (BIC): the weakest language is dropped as long as that
+lowers the penalty by more than it costs. The language with the largest
 share is the prediction, its share the score.
 
 Defined cases: a null text or one without letters gets `und` and score 0; equal
 shares go to the smaller name; rows with null language or null text are not
 learned from; without any training row, every text is `und`; repeated rows are
-scored each; other columns are not looked at.
+scored each; a text of any length is counted whole, at most BUCKETS different
+trigrams of it are fitted; other columns are not looked at.
+
+A further value, gain, is the mean log-likelihood of a trigram under the chosen
+shares less that of buckets drawn at random. Text in no learned language is less
+likely than chance, so its gain is below 0.
 
 The model is one row of BUCKETS numbers a language, so it grows with the number
 of languages, not with the documents.
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from quillmask.llm.common import documents, fold_of, q, small_batches
 
 BUCKETS = 2**15
-ROUNDS = 12
+TOLERANCE = 0.02  # of log-likelihood, below the smallest penalty for which it could matter
 SMOOTHING = 0.5
 UNKNOWN = "und"
 NO_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -71,46 +77,70 @@ class Model:
         self.p = smooth / smooth.sum(axis=0)
         self.log_p = np.log(self.p)
 
-    def fit(self, p: np.ndarray, n: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, float]:
-        """Shares of the languages in p and the log-likelihood they reach."""
+    def fit(self, p: np.ndarray, n: np.ndarray, shares: np.ndarray, enough: float = -np.inf) -> tuple[np.ndarray, float, float]:
+        """Shares of the languages in p, the log-likelihood they reach, and how much more any shares could.
+
+        Ends where that is at most TOLERANCE, or where no shares can reach enough.
+        The bound is Jensen's inequality over the gradient; it falls to 0 with the rounds.
+        """
         total = n.sum()
-        for _ in range(ROUNDS):
+        while True:
             mixed = p @ shares
-            shares = shares * (p.T @ (n / mixed)) / total
-        return shares, float(n @ np.log(p @ shares))
-
-    def shares(self, text: str | None) -> dict[str, float]:
-        """The chosen languages of a text with their shares; empty if there is none."""
-        if not self.names or not has_letter(text):
-            return {}
-        g = grams(text)
-        if not len(g):
-            return {}
+            ratio = (p.T @ (n / mixed)) / total
+            reached = float(n @ np.log(mixed))
+            left = float(total * np.log(max(1.0, ratio.max())))
+            if left <= TOLERANCE or reached + left <= enough:
+                return shares, reached, left
+            shares = shares * ratio
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Trigram buckets of a text and their counts; none without a letter."""
+        g = grams(text) if self.names and has_letter(text) else np.zeros(0, np.int64)
         n = np.bincount(g, minlength=BUCKETS)
         buckets = np.flatnonzero(n)
-        p, n = self.p[buckets], n[buckets].astype(np.float64)
+        return buckets, n[buckets].astype(np.float64)
+
+    def shares_of(self, buckets: np.ndarray, n: np.ndarray) -> dict[int, float]:
+        """The chosen languages with their shares."""
+        p = self.p[buckets]
         held = np.arange(len(self.names))
-        share, reached = self.fit(p, n, np.full(len(held), 1 / len(held)))
         penalty = 0.5 * np.log(n.sum())
-        # no set of several languages can reach more than all of them together
         alone = n @ self.log_p[buckets]
-        if reached - alone.max() <= penalty:
-            return {self.names[int(alone.argmax())]: 1.0}
+        best = int(alone.argmax())
+        share, reached, left = self.fit(p, n, np.full(len(held), 1 / len(held)), alone[best] + penalty)
+        # no set of several languages can reach more than all of them together
+        if reached + left - alone[best] <= penalty:
+            return {best: 1.0}
         while len(held) > 1:
             rest = np.delete(np.arange(len(held)), np.argmin(share))
             start = share[rest] + 1e-6
-            less, likely = self.fit(p[:, held[rest]], n, start / start.sum())
+            less, likely, left = self.fit(p[:, held[rest]], n, start / start.sum(), reached - penalty)
             if reached - likely > penalty:
                 break
             held, share, reached = held[rest], less, likely
-        return {self.names[k]: float(s) for k, s in zip(held, share, strict=True)}
+        return {int(k): float(s) for k, s in zip(held, share, strict=True)}
+
+    def shares(self, text: str | None) -> dict[str, float]:
+        """The chosen languages of a text with their shares; empty if there is none."""
+        buckets, n = self.counts(text)
+        return {self.names[k]: s for k, s in self.shares_of(buckets, n).items()} if len(n) else {}
+
+    def gain(self, buckets: np.ndarray, n: np.ndarray, shares: dict[int, float]) -> float:
+        """Mean log-likelihood of a trigram over that of a random bucket."""
+        mixed = self.p[buckets][:, list(shares)] @ np.array(list(shares.values()))
+        return float(n @ np.log(mixed) / n.sum() + np.log(BUCKETS))
+
+    def judged(self, text: str | None) -> tuple[str, float, str, float | None]:
+        """Language of the largest share, that share, all chosen languages, gain."""
+        buckets, n = self.counts(text)
+        if not len(n):
+            return UNKNOWN, 0.0, "", None
+        found = self.shares_of(buckets, n)
+        k = min(found, key=lambda k: (-found[k], k))
+        return self.names[k], min(1.0, found[k]), ",".join(self.names[i] for i in sorted(found)), self.gain(buckets, n, found)
 
     def best(self, text: str | None) -> tuple[str, float, str]:
-        found = self.shares(text)
-        if not found:
-            return UNKNOWN, 0.0, ""
-        name = min(found, key=lambda k: (-found[k], k))
-        return name, min(1.0, found[name]), ",".join(sorted(found))
+        return self.judged(text)[:3]
 
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -133,26 +163,25 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 
 
 def predictor(spark: SparkSession, model: Model):
-    """An expression builder: text to struct(lang_pred, score, languages)."""
+    """An expression builder: text to struct(lang_pred, score, languages, gain)."""
     shared = spark.sparkContext.broadcast(model)
     small_batches(spark)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double, languages: string>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, languages: string, gain: double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        best = functools.partial(Model.best, shared.value)
+        judged = functools.partial(Model.judged, shared.value)
         for batch in batches:
-            rows = [best(t) for t in batch.to_pylist()]
-            parts = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.StructArray.from_arrays(
-                [pa.array(parts[0], pa.string()), pa.array(parts[1], pa.float64()), pa.array(parts[2], pa.string())],
-                ["lang_pred", "score", "languages"],
-            )
+            rows = [judged(t) for t in batch.to_pylist()]
+            parts = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            kinds = [pa.string(), pa.float64(), pa.string(), pa.float64()]
+            columns = [pa.array(part, kind) for part, kind in zip(parts, kinds, strict=True)]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "languages", "gain"])
 
     return predict
 
 
 def identify(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """(doc_id, lang_pred, score, languages) of every row, learned where learn holds."""
+    """(doc_id, lang_pred, score, languages, gain) of every row, learned where learn holds."""
     predict = predictor(docs.sparkSession, train(docs, learn, text_col, lang_col))
     return docs.select(q(id_col).alias("doc_id"), predict(q(text_col)).alias("p")).select("doc_id", "p.*")
 
@@ -161,4 +190,4 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = fold_of(F.col("doc_id"), 5)
     found = identify(docs, fold != 0)
-    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "languages")
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "languages", "gain")
