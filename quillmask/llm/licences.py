@@ -1,19 +1,22 @@
 """Find licence notices in documents with a positional rare-token index.
 
 The index holds the rare words of the licence templates with their postings
-(template, position). Rare are the highest-IDF words of a template without which
-the others cannot reach the coverage asked for, so no notice escapes. Each place
-of such a word in a file, less a posting's position, is where that template
-would start; there the template's words are compared by relative position, with
-a small drift, and weighed by IDF. A start with enough weight is accepted if
-all mandatory key phrases of the template stand in the file at that place.
+(template, position): the words of highest IDF, so many that any notice with the
+coverage asked for holds rare words of a known weight. A file's rare words are
+looked up, and their postings intersected by position: only stretches in which
+enough rare words of one template stand near each other are compared with it.
+There the heaviest row of template words is found whose distances agree with the
+template's up to a small drift from one word to the next, so words may be put in
+or left out all along. A row with enough weight is accepted if all mandatory key
+phrases of the template stand in its stretch.
 
 Three base phrases are found wherever their words stand consecutively.
 
 Defined cases: null and empty texts have no words, no labels, score 0 and null
-places; of several notices of one label the best counts; repeated rows are scanned each;
-other columns are not looked at. The index is fixed and small (the templates
-below), so every task builds it once.
+places; of several notices of one label the best counts, of rows of equal weight
+the one that starts last; repeated rows are scanned each; texts of any length are
+scanned whole; other columns are not looked at. The index is as large as the
+templates given (by default those below), and every task builds it.
 """
 
 from __future__ import annotations
@@ -102,7 +105,7 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 
-DRIFT = 2  # words that may be missing or added on the way
+DRIFT = 2  # words that may be missing or added between a word and the next that is found
 COVERAGE = 0.6  # least share of a template's weight
 
 # ASCII letters and digits and all bytes of other characters belong to words.
@@ -123,7 +126,12 @@ def places_of(words: list[bytes], at: dict[bytes, list[int]], phrase: list[bytes
 
 
 class Index:
-    """Rare words of the templates with postings, and the weights of all words."""
+    """Rare words of the templates with postings, and the weights of all words.
+
+    A word weighs its IDF, shared by its places in the template. The rare words of a
+    template are those of highest IDF until the others weigh less than half of
+    what a match needs, so a match always holds rare words of some weight.
+    """
 
     def __init__(self, templates=TEMPLATES, base=BASE_PHRASES, drift=DRIFT, coverage=COVERAGE):
         self.drift, self.coverage = drift, coverage
@@ -135,19 +143,23 @@ class Index:
             for word in text:
                 held_by[word].add(t)
         self.idf = {w: math.log(1 + len(self.texts) / len(ts)) for w, ts in held_by.items()}
-        self.weight = [sum(self.idf[w] for w in set(text)) for text in self.texts]
-        self.ranked = [
-            [(w, [p for p, x in enumerate(text) if x == w]) for w in sorted(set(text), key=lambda w: (-self.idf[w], w))]
-            for text in self.texts
-        ]
-        self.postings = defaultdict(list)
-        for t, ranked in enumerate(self.ranked):
-            left = self.weight[t]
-            for word, places in ranked:
-                if left < coverage * self.weight[t]:
+        self.weights = [[self.idf[w] / text.count(w) for w in text] for text in self.texts]
+        self.least = [coverage * sum(weights) - 1e-9 for weights in self.weights]
+        self.places = []  # of each template: word -> its places, last first
+        self.postings = defaultdict(list)  # rare word -> (template, place)
+        self.need = []  # weight of rare words that any match holds
+        for t, text in enumerate(self.texts):
+            places = defaultdict(list)
+            for p in reversed(range(len(text))):
+                places[text[p]].append(p)
+            self.places.append(dict(places))
+            left = sum(self.weights[t])
+            for word in sorted(places, key=lambda w: (-self.idf[w], w)):
+                if left < self.least[t] / 2:
                     break
                 left -= self.idf[word]
-                self.postings[word] += [(t, p) for p in places]
+                self.postings[word] += [(t, p) for p in places[word]]
+            self.need.append(self.least[t] - left - 1e-9)
         self.base = [(words_of(phrase), label) for phrase, label in base]
         self.known = set(self.postings) | {phrase[0] for phrase, _ in self.base}
 
@@ -171,36 +183,87 @@ class Index:
 
     def templates_in(self, words: list[bytes], at: dict[bytes, list[int]]) -> dict[str, float]:
         """Accepted labels with the share of their template's weight that was met."""
-        starts = {(t, i - p) for w in at for t, p in self.postings.get(w, ()) for i in at[w]}
+        seeds = defaultdict(list)
+        for w in at:
+            for t, p in self.postings.get(w, ()):
+                seeds[t] += [(i, p) for i in at[w]]
         accepted: dict[str, float] = {}
-        for t, start in starts:
-            label, share = self.labels[t], self.share(words, t, start)
-            if share >= self.coverage and share > accepted.get(label, 0.0) and self.verified(words, t, start):
-                accepted[label] = min(1.0, share)
+        for t, found in seeds.items():
+            for low, high in self.regions(t, sorted(found), len(words)):
+                share = self.best_match(t, words[low:high])
+                if share > accepted.get(self.labels[t], 0.0):
+                    accepted[self.labels[t]] = min(1.0, share)
         return accepted
 
-    def share(self, words: list[bytes], t: int, start: int) -> float:
-        """Weight of the template's words that stand near where they should.
+    def regions(self, t: int, seeds: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int]]:
+        """Stretches of a text in which the rare words of a template stand near enough to each other.
 
-        Rare words come first; 0 as soon as the coverage is out of reach.
+        Seeds are (place in the text, place in the template), in order. Consecutive words
+        of a match are off by drift at most, which bounds the length of a match.
         """
-        reach, least = self.weight[t], self.coverage * self.weight[t]
-        for word, places in self.ranked[t]:
-            for p in places:
-                low = start + p - self.drift
-                if word in words[low if low > 0 else 0 : max(0, start + p + self.drift + 1)]:
-                    break
-            else:
-                reach -= self.idf[word]
-                if reach < least:
-                    return 0.0
-        return reach / self.weight[t]
+        reach = len(self.texts[t]) * (1 + self.drift)
+        weights, held, total, first = self.weights[t], defaultdict(int), 0.0, 0
+        low = high = None
+        for i, p in seeds:
+            held[p] += 1
+            if held[p] == 1:
+                total += weights[p]
+            while seeds[first][0] < i - reach:
+                gone = seeds[first][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    total -= weights[gone]
+                first += 1
+            if total < self.need[t] - 1e-6:
+                continue
+            start = max(0, seeds[first][0] - reach)
+            if high is not None and start > high:
+                yield low, high
+                low = start
+            elif high is None:
+                low = start
+            high = min(n, i + reach + 1)
+        if high is not None:
+            yield low, high
+
+    def best_match(self, t: int, words: list[bytes]) -> float:
+        """Greatest share of the template's weight in a row of its words that holds all key phrases; 0 without any.
+
+        Words of a row follow each other in text and template, and their distances differ
+        by drift at most from one to the next, so offsets may drift along the template.
+        """
+        places, weights, size = self.places[t], self.weights[t], len(self.texts[t])
+        drift, least = self.drift, self.least[t]
+        ends: dict[int, list[tuple[int, float, int]]] = {}  # by offset: (place, best weight up to it, start of its text)
+        best, keys = 0.0, None
+        for i, word in enumerate(words):
+            for p in places.get(word, ()):
+                before, start = 0.0, i - p
+                for d in range(i - p - drift, i - p + drift + 1):
+                    for q_, weight, s in reversed(ends.get(d, ())):
+                        if q_ < p and q_ + d < i:
+                            if (weight, s) > (before, start) or not before:
+                                before, start = weight, s
+                            break
+                weight = before + weights[p]
+                row = ends.setdefault(i - p, [])
+                if weight >= least and weight > best:
+                    if keys is None:
+                        keys = [starts_of(words, key) for key in self.keys[t]]
+                    low, high = start - drift, i + size - p + drift
+                    held = zip(keys, self.keys[t], strict=True)
+                    if all(any(low <= k and k + len(key) <= high for k in found) for found, key in held):
+                        best = weight
+                # the better of this end and earlier ones at the same offset
+                if row and row[-1][1] > weight:
+                    row.append((p, row[-1][1], row[-1][2]))
+                else:
+                    row.append((p, weight, start))
+        return best / sum(weights)
+
 
-    def verified(self, words: list[bytes], t: int, start: int) -> bool:
-        low = max(0, start - self.drift)
-        part = words[low : max(0, start + len(self.texts[t]) + self.drift)]
-        text = b" " + b" ".join(part) + b" "
-        return all(b" " + b" ".join(k) + b" " in text for k in self.keys[t])
+def starts_of(words: list[bytes], phrase: list[bytes]) -> list[int]:
+    return [i for i, w in enumerate(words) if w == phrase[0] and words[i : i + len(phrase)] == phrase]
 
 
 RESULT = T.StructType(
@@ -210,20 +273,29 @@ RESULT = T.StructType(
 )
 
 
-@F.arrow_udf(RESULT)
-def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    index = Index()
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    for batch in batches:
-        rows = [index.scan(t) for t in batch.to_pylist()]
-        columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def scanner(templates=TEMPLATES):
+    """An expression builder: text to what Index.scan gives."""
+
+    @F.arrow_udf(RESULT)
+    def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(templates)
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+        for batch in batches:
+            rows = [index.scan(t) for t in batch.to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return scanned
+
 
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
+    templates: (label, wording, phrases that it must hold), as many as are wanted.
+    """
     small_batches(docs.sparkSession)
+    scanned = scanner(templates)
     return docs.select(q(id_col).alias("doc_id"), scanned(q(text_col)).alias("s")).select("doc_id", "s.*")
 
 
