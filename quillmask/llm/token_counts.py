@@ -10,7 +10,9 @@ Normalising may not change a count: it only turns a null text into an empty one.
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are
 counted each, encoded once; an empty table leaves the cache as it is; other
 columns are not looked at. If two runs append the same text at once, its equal
-entries are folded on reading; a lost executor leaves no part of an append.
+entries are folded on reading; a lost executor leaves no part of an append. What
+a run stores and joins grows with its own texts, not with the cache, of which it
+scans the digests.
 """
 
 from __future__ import annotations
@@ -123,21 +125,26 @@ def encoder_of(spark: SparkSession, tokenizer: Tokenizer):
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, id_col="doc_id", text_col="text", limit=LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row; adds to the cache."""
+    """(doc_id, n_bytes, n_tokens, over_limit, from_cache) of every row; adds to the cache.
+
+    The cache is read once, and only entries of this run's texts are kept from it.
+    """
     spark = docs.sparkSession
     tokenizer = Tokenizer(tokenizer_path)
     text = F.coalesce(q(text_col), F.lit(""))
     digested = docs.select(q(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content"))
     spark.createDataFrame([], CACHE).write.mode("ignore").parquet(cache)
     held = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == tokenizer.digest)
+    wanted = held.join(digested.select("content").distinct(), "content", "left_semi")
+    hits = stored(wanted.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")))
     distinct = digested.groupBy("content").agg(F.first("text").alias("text"))
-    misses = distinct.join(held, "content", "left_anti")
-    counted = misses.select(F.lit(tokenizer.digest).alias("tokenizer"), "content", encoder_of(spark, tokenizer)("text").alias("n_tokens"))
-    counted.write.mode("append").parquet(cache)
-    held = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == tokenizer.digest)
-    known = stored(held.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")))
+    misses = distinct.join(hits, "content", "left_anti")
+    counted = stored(misses.select("content", encoder_of(spark, tokenizer)("text").alias("n_tokens")))
+    counted.select(F.lit(tokenizer.digest).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
+    known = hits.withColumn("from_cache", F.lit(True)).unionByName(counted.withColumn("from_cache", F.lit(False)))
     rows = digested.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(known, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    over = (F.col("n_tokens") > limit).alias("over_limit")
+    return rows.join(known, "content").select("doc_id", "n_bytes", "n_tokens", over, "from_cache")
 
 
 def op2_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:

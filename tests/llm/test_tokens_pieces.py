@@ -64,6 +64,13 @@ def test_only_misses_are_encoded(spark, odd, odd_rows, empty):
     want = {r.doc_id: r.n_tokens for r in first}
     assert all(again[i] == want[i] + (1000 if want[i] > 1 else 0) for i in again)
     assert spark.read.parquet(other).count() == held.count()
+    # hits are told from misses, and repeated entries count once
+    other = shared_folder(spark)
+    marked.filter(F.col("n_tokens") > 1001).unionAll(marked.filter(F.col("n_tokens") > 1001)).write.parquet(other)
+    told = token_counts.token_counts(odd, JSON, other).collect()
+    assert len(told) == len(odd_rows) and all(r.from_cache == (r.n_tokens > 1000) for r in told)
+    assert {r.from_cache for r in told} == {True, False} and not any(r.from_cache for r in first)
+    assert all(r.from_cache for r in token_counts.token_counts(odd, JSON, other).collect())
     # entries of another tokenizer are not used
     assert token_counts.token_counts(odd, MODEL, cache).filter("n_tokens > 1000000").count() == 0
     assert spark.read.parquet(cache).count() == 2 * held.select("content").distinct().count()
