@@ -36,7 +36,7 @@ from quillmask.llm import blocks
 from quillmask.llm.blocks import Block, batch_of, best, meetings, met, packed, whole_vectors
 from quillmask.llm.common import Scratch
 
-FIRST_STEP = 64  # entries of each list; every step doubles the depth
+FIRST_STEP = 64  # entries of each list; every step makes the depth four times as large
 
 
 class Lists:
@@ -67,7 +67,7 @@ class Lists:
         alive, self.depth, step = ~own, 0, FIRST_STEP
         while len(left) > k and self.depth < n:
             before, self.depth = self.depth, min(n, self.depth + step)
-            step = self.depth
+            step = 3 * self.depth
             rank, x = self.rank[left], np.hstack([self.x[left]] * 2)
             read = rank < self.depth
             known += both @ np.where(read & (rank >= before), x, 0.0).T
