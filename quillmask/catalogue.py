@@ -334,6 +334,24 @@ class Catalogue:
     allow_list: tuple[str, ...] = ALLOW_LIST
     stopwords: tuple[str, ...] = STOPWORDS
     tags: tuple[tuple[str, str], ...] = tuple(ENTITY_TAGS.items())
+    lemmas: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+    def with_lemmas(self, forms) -> "Catalogue":
+        """Let word forms count as their lemmas in context; ``forms`` are pairs (form, lemma).
+
+        Pairs whose lemma holds no context word can lift nothing and are left out.
+        """
+        words = self.all_context_words
+        kept: dict[str, set[str]] = {}
+        for form, lemma in forms:
+            form, lemma = form.lower(), lemma.lower()
+            if form != lemma and any(w in lemma for w in words):
+                kept.setdefault(lemma, set()).add(form)
+        return replace(self, lemmas=tuple((lemma, tuple(sorted(kept[lemma]))) for lemma in sorted(kept)))
+
+    @property
+    def all_context_words(self) -> tuple[str, ...]:
+        return tuple(sorted({w for d in self.detectors for w in d.context_words}))
 
     def with_detector(
         self,

@@ -17,14 +17,20 @@ def telling_words(text: str, stopwords) -> str:
     return f"filter({words}, v -> v not in ({', '.join(map(text_literal, stopwords))}))"
 
 
-def context_of(text: str, match: str, stopwords) -> str:
+def lemmas_of(word: str, lemmas) -> str:
+    """The lemmas of a word: one hashed test of its forms for each lemma that can lift."""
+    cases = [f"if({word} in ({', '.join(map(text_literal, forms))}), {text_literal(lemma)}, null)" for lemma, forms in lemmas]
+    return f"filter(array({', '.join(cases)}), l -> l is not null)"
+
+
+def context_of(text: str, match: str, stopwords, lemmas=()) -> str:
     """The words that can lift a match, joined by blanks.
 
     These are the last five words before the match that are no stopwords, plus
     the match's own first run of non-blanks, punctuation included. Nearly always the ``lead`` characters hold
     enough words; if not, a longer and finally the whole prefix is read. A
     window cut inside a word is only trusted when it holds one word more than
-    needed.
+    needed. ``lemmas`` (lemma, forms) add the lemmas of the words before the match.
     """
     enough = CONTEXT_WORDS_BEFORE + 1
     window = f"substring({text}, greatest({match}.start - {_FAR}, 0) + 1, least({match}.start, {_FAR}))"
@@ -40,6 +46,8 @@ def context_of(text: str, match: str, stopwords) -> str:
         f"if(size(w1) >= {enough} or {match}.start <= {NEAR}, w1, {far})",
     )
     last = let("w0", before, f"slice(reverse(w0), 1, {CONTEXT_WORDS_BEFORE})")
+    if lemmas:
+        last = f"flatten(transform({last}, v -> concat(array(v), {lemmas_of('v', lemmas)})))"
     return f"concat_ws(' ', {last}, regexp_extract(lower({match}.text), {regex(chr(92) + "S+")}, 0))"
 
 

@@ -61,6 +61,11 @@ def check_selection(df: DataFrame, columns, entity_types, known_types, threshold
         raise ValueError(f"no such columns: {missing}")
     if len(set(columns)) != len(columns):
         raise ValueError("a column is selected twice")
+    check_options(entity_types, known_types, threshold)
+
+
+def check_options(entity_types, known_types, threshold: float) -> None:
+    """The part of the check that needs no frame."""
     if not entity_types:
         raise ValueError("select at least one entity type to anonymise")
     unknown = sorted(set(entity_types) - set(known_types) - set(ENTITY_OPTIONS.values()))

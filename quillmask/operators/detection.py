@@ -66,14 +66,14 @@ def pattern_hits(text: str, detectors, guards: dict[str, str] | None = None) ->
     return f"filter(array({', '.join(_hit(text, d, guards) for d in detectors)}), h -> h is not null)"
 
 
-def spans_of_hits(text: str, hits: str, stopwords, threshold: float) -> str:
+def spans_of_hits(text: str, hits: str, stopwords, threshold: float, lemmas=()) -> str:
     """Scored spans that reach the threshold.
 
     Cutting by score before duplicates are dropped is safe: a span below the
     threshold could only ever displace spans that score no higher. One
     expression serves all detectors, so the plan does not grow with them.
     """
-    lifted = has_context(context_of(text, "m", stopwords), "h.context")
+    lifted = has_context(context_of(text, "m", stopwords, lemmas), "h.context")
     span = struct(
         entity_type="h.entity_type",
         start="m.start",
@@ -121,7 +121,7 @@ def candidates(
     """All spans of the wanted types that reach the threshold, duplicates included."""
     parts = []
     if detectors:
-        spans = spans_of_hits(text, "hs", catalogue.stopwords, threshold)
+        spans = spans_of_hits(text, "hs", catalogue.stopwords, threshold, catalogue.lemmas)
         parts.append(let("hs", pattern_hits(text, detectors, guards), f"if(size(hs) = 0, {empty(SPANS)}, {spans})"))
     if entities is not None:
         parts.append(entity_spans(text, entities, entity_types, threshold))

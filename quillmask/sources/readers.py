@@ -59,18 +59,24 @@ def infer_types(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
 
 
 LOCATION = ("__file", "__block", "__pos")
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "nullValue": ""}
+
+
+def located_at(raw: DataFrame) -> DataFrame:
+    """Add where each row was read: file, block and running number."""
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return raw.select("*", *[p.alias(c) for p, c in zip(place, LOCATION, strict=True)])
 
 
 def _strings(spark: SparkSession, path: str, multi_line: bool, located: bool) -> DataFrame:
     """All fields as strings; a row with text beyond the last column fails the query."""
-    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "nullValue": ""}
+    options = {**CSV_OPTIONS, "multiLine": multi_line}
     header = spark.read.options(**options).csv(path, inferSchema=False).columns
     surplus = "__surplus"
     fields = [T.StructField(c, T.StringType()) for c in [*header, surplus]]
     raw = spark.read.options(**options).schema(T.StructType(fields)).csv(path)
     if located:
-        place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-        raw = raw.select("*", *[p.alias(c) for p, c in zip(place, LOCATION, strict=True)])
+        raw = located_at(raw)
     message = F.concat(F.lit("a row has more fields than the header, from: "), F.col(surplus))
     return raw.filter(F.when(F.col(surplus).isNull(), True).otherwise(F.raise_error(message).cast("boolean"))).drop(surplus)
 

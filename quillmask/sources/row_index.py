@@ -51,7 +51,12 @@ def read_csv_with_index(spark: SparkSession, path: str, index: str = "row_index"
     passes read the same blocks in the same tasks.
     """
     rows = read_csv(spark, path, located=True, **csv_options)
-    sizes = rows.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__pos").alias("__first"))
+    return numbered_csv(rows, index, rows)
+
+
+def numbered_csv(rows: DataFrame, index: str, read: DataFrame) -> DataFrame:
+    """Number located rows of CSV files; ``read`` has the place of every row that was read."""
+    sizes = read.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__pos").alias("__first"))
     return _numbered(rows, ["__file", "__block"], sizes, index, F.col("__pos") - F.col("__first"))
 
 

@@ -17,6 +17,10 @@ from suite.relations import (
     DICTIONARY_SQL,
     ENTITIES_SQL,
     EVENT_MESSAGE_SQL,
+    FAULTY_LINES_SQL,
+    FORMS,
+    FORMS_NOTES_SQL,
+    LARGE_DICTIONARY_SQL,
     MEASURES_SQL,
     NA_SQL,
     OVERLAP_SQL,
@@ -80,17 +84,18 @@ def detector_query(names: list[str], source: str = "cells", keys: str = CELL_KEY
     return f"WITH {ctes} {' UNION ALL '.join(parts)}"
 
 
-def scored(detectors: list[Detector], source: str, keys: str) -> str:
-    """All spans with their lifted scores (context words before the match)."""
+def scored(detectors: list[Detector], source: str, keys: str, forms: dict[str, str] | None = None) -> str:
+    """All spans with their lifted scores (context words before the match, with their lemmas)."""
     parts = []
+    lemma = "CASE x " + " ".join(f"WHEN {q(f.lower())} THEN {q(' ' + l)}" for f, l in forms.items()) + " ELSE '' END" if forms else "''"
     for d in detectors:
         lifted = " OR ".join(f"contains(around, {q(w)})" for w in d.context if " " not in w) or "false"
         parts.append(f"""
           SELECT {keys}, {q(d.entity_type)} AS entity_type, "start", "end",
             CASE WHEN {lifted} THEN round(least(1.0, greatest({d.score} + {cat.CONTEXT_BOOST}, {cat.CONTEXT_MIN_SCORE})), 3)::DOUBLE ELSE {d.score!r}::DOUBLE END AS score, text
-          FROM (SELECT *, array_to_string(
+          FROM (SELECT *, array_to_string(list_transform(
                   list_filter(regexp_extract_all(lower(t[1:CAST("start" AS BIGINT)]), {q(cat.WORD)}, 0),
-                    lambda x: x NOT IN ({qs(cat.STOPWORDS)}))[-5:], ' ')
+                    lambda x: x NOT IN ({qs(cat.STOPWORDS)}))[-5:], lambda x: x || {lemma}), ' ')
                   || ' ' || regexp_extract(lower(said), '[^ \t\r\n]+', 0) AS around, said AS text
                 FROM ({matches(source, d.pattern, keys, ignore_case=d.ignore_case)}))""")
     return " UNION ALL ".join(parts)
@@ -329,6 +334,23 @@ def build() -> dict[str, str]:
     sql["gazetteer_detect"] = f"""WITH {grams}
       SELECT c_custkey, 'note' AS source_column, "start", "end", label, 0.85::DOUBLE AS score
       FROM grams JOIN (SELECT DISTINCT array_to_string(regexp_extract_all(lower(term), {q(cat.WORD)}, 0), ' ') AS gram, label FROM dictionary) d USING (gram)"""
+    sql["gazetteer_large"] = f"""WITH {grams.replace(DICTIONARY_SQL, LARGE_DICTIONARY_SQL.replace("FROM ids", "FROM range(200000) r(id)")).replace("range(1, 10)", "range(1, 4)")}
+      SELECT c_custkey, 'note' AS source_column, "start", "end", label, 0.85::DOUBLE AS score
+      FROM grams JOIN (SELECT lower(term) AS gram, label FROM dictionary) d USING (gram)"""
+    sql["context_lemmas"] = f"""WITH notes AS ({FORMS_NOTES_SQL}), cells AS (SELECT c_custkey, note AS t FROM notes)
+      SELECT c_custkey, entity_type, "start", "end", score, text FROM ({scored(detectors_of(ALL_TYPES), "cells", "c_custkey", FORMS)})"""
+    sql["sql_redact"] = f"""WITH {everything}, {findings},
+      found AS (SELECT {CELL_KEYS}, count(*) AS n FROM detections GROUP BY ALL),
+      listed AS (SELECT {CELL_KEYS}, string_agg(label || '=' || text, '|' ORDER BY label || '=' || text) AS items FROM findings GROUP BY ALL)
+      SELECT {CELL_KEYS}, redacted, coalesce(n, 0) AS n_spans, coalesce(items, '') AS leftovers
+      FROM redacted LEFT JOIN found USING ({CELL_KEYS}) LEFT JOIN listed USING ({CELL_KEYS})"""
+    sql["csv_quarantine"] = f"""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index,
+        CASE WHEN o_orderkey % 8 NOT IN (1, 2, 6) THEN o_orderkey END AS row_id,
+        CASE o_orderkey % 8 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 6 THEN NULL WHEN 3 THEN 7 WHEN 4 THEN 8 WHEN 5 THEN 9 ELSE o_custkey END AS amount,
+        CASE o_orderkey % 8 WHEN 1 THEN line WHEN 2 THEN line WHEN 6 THEN line WHEN 3 THEN NULL WHEN 5 THEN NULL
+          WHEN 4 THEN 'two' || chr(10) || 'lines, "quoted"' ELSE 'plain' END AS remark,
+        CASE o_orderkey % 8 WHEN 1 THEN 'more fields than the header' WHEN 6 THEN 'more fields than the header' WHEN 2 THEN 'no amount' END AS reason
+      FROM orders JOIN ({FAULTY_LINES_SQL}) ON k = o_orderkey"""
 
     # Sources and sinks
     sql["csv_na_normalise"] = f"""SELECT row_id, n_items, CASE WHEN remark IN ({qs(cat.CSV_NA_TOKENS)}) THEN NULL ELSE remark END AS remark

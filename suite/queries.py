@@ -20,11 +20,14 @@ from quillmask.functions.spans import find_matches
 from quillmask.operators.allowed import attach_allowed
 from quillmask.operators.annotations import attach_annotations, attach_entities, dictionary_entities
 from quillmask.operators.detection import candidates, raw_matches
+from quillmask.operators.lemmas import with_lemma_table
 from quillmask.operators.quality import review_sample, span_scores, threshold_sweep
 from quillmask.operators.residual import findings_of
 from quillmask.operators.span_tables import islands, uncovered, with_exact_label
+from quillmask.operators.sql_functions import register_functions
 from quillmask.plans import staging
 from suite.comments import comments
+from quillmask.sources.quarantine import read_csv_quarantined
 from quillmask.sources.readers import read_csv, read_parquet
 from quillmask.sources.row_index import read_csv_with_index, read_parquet_with_index, with_row_index
 from quillmask.sources.writers import DATA, DETECTIONS, RESIDUALS, STATS, nan_to_null, write_outputs
@@ -35,6 +38,10 @@ from suite.relations import (
     DICTIONARY_SQL,
     ENTITIES_SPARK,
     EVENT_MESSAGE_SQL,
+    FAULTY_LINES_SQL,
+    FORMS,
+    FORMS_NOTES_SQL,
+    LARGE_DICTIONARY_SQL,
     MEASURES_SQL,
     NA_SQL,
     OVERLAP_SQL,
@@ -235,11 +242,34 @@ def missed_names_off_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missed_rows(result, ["row_id"])
 
 
-def gazetteer_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     customer = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
-    notes = spark_sql(spark, CUSTOMER_NOTES_SQL, customer=customer, nation=nation, region=region)
+    return spark_sql(spark, CUSTOMER_NOTES_SQL, customer=customer, nation=nation, region=region)
+
+
+def gazetteer_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary too large for a broadcast, with a term that every note holds."""
+    shared_folder(spark)
+    dictionary = spark_sql(spark, LARGE_DICTIONARY_SQL, ids=spark.range(200_000))
+    return dictionary_entities(customer_notes(spark, sf_dir), "note", "c_custkey", dictionary, broadcast_bytes=1 << 20)
+
+
+def context_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans with scores lifted by other forms of the context words."""
+    notes = spark_sql(spark, FORMS_NOTES_SQL, customer=table(spark, sf_dir, "customer", "c_custkey"))
+    forms = spark.createDataFrame(list(FORMS.items()), "form string, lemma string")
+    own = with_lemma_table(DEFAULT_CATALOGUE, forms)
+    on = own.active(ALL_TYPES, 0.0)
+    spans = notes.withColumn("spans", F.expr(candidates("note", on, own, ALL_TYPES, 0.0)))
+    return rows_of(spans, ["c_custkey"], "spans", *SPAN, "text")
+
+
+def gazetteer_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    notes = customer_notes(spark, sf_dir)
     dictionary = spark_sql(spark, DICTIONARY_SQL, nation=nation, region=region)
     return dictionary_entities(notes, "note", "c_custkey", dictionary)
 
@@ -375,6 +405,28 @@ def csv_na_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path)
 
 
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and faulty rows of one file, each with its place in it."""
+    path = shared_folder(spark) + ".csv"
+    lines = spark_sql(spark, FAULTY_LINES_SQL, orders=table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
+    lines.coalesce(1).sortWithinPartitions("k").select("line").write.text(path)
+    good, bad = read_csv_quarantined(spark, path, "row_id bigint, amount bigint, remark string")
+    nothing = F.lit(None).cast("string")
+    return good.select("row_index", "row_id", "amount", "remark", nothing.alias("reason")).unionByName(
+        bad.select("row_index", F.lit(None).cast("bigint").alias("row_id"), F.lit(None).cast("bigint").alias("amount"), F.col("record").alias("remark"), "reason")
+    )
+
+
+def sql_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run as SQL text: redacted cells, their spans and what may be left."""
+    register_functions(spark, style=STYLE_ENTITY_TAGS, threshold=cat.INTERACTIVE_THRESHOLD)
+    return spark.sql(
+        """SELECT row_id, source_column, quillmask_redact(t) AS redacted, size(quillmask_detect(t)) AS n_spans,
+          array_join(array_sort(transform(quillmask_leftovers(t), f -> concat(f.label, '=', f.text))), '|') AS leftovers FROM {cells}""",
+        cells=cells(comment_table(spark, sf_dir)),
+    )
+
+
 def nan_to_null_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")
     sql = MEASURES_SQL.replace("FROM orders", "FROM {orders}").replace("{nan}", "double('NaN')")
@@ -583,4 +635,8 @@ QUERIES: dict[str, Query] = {
     "allow_list_table": allow_list_table,
     "qa_sample_strata": qa_sample_strata,
     "redact_partial_overlap": redact_partial_overlap,
+    "gazetteer_large": gazetteer_large,
+    "context_lemmas": context_lemmas,
+    "csv_quarantine": csv_quarantine,
+    "sql_redact": sql_redact,
 }

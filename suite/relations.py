@@ -95,3 +95,31 @@ SELECT c_custkey, 'Job 07' || lpad(cast(c_custkey % 1000 AS string), 3, '0') ||
   CASE WHEN c_custkey % 2 = 0 THEN ' and ref 0191 403 2203' ELSE ', call back' END AS note
 FROM customer
 """
+
+# A dictionary of 200,000 terms with as many first words, and one word that every note holds.
+LARGE_DICTIONARY_SQL = """
+SELECT cast(id AS string) || CASE WHEN id % 3 = 0 THEN ' from' ELSE ' from nowhere' END AS term, 'ACCOUNT' AS label FROM ids
+UNION ALL SELECT 'CUSTOMER', 'ROLE' FROM ids WHERE id = 0 UNION ALL SELECT 'call with', 'TALK' FROM ids WHERE id = 0
+"""
+
+# Notes whose context stands in other forms of the telling words, or only looks like one.
+FORMS_NOTES_SQL = """
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'They Rang back, (191) ' WHEN 1 THEN 'Orange one (191) ' WHEN 2 THEN 'Had rung twice from (191) '
+  WHEN 3 THEN 'Two properties under REF 1' || cast(1000 + c_custkey % 9000 AS string) || ' or tenancies REF 2' || cast(1000 + c_custkey % 9000 AS string) || ' (191) '
+  ELSE 'Neighbour has keys 4' || cast(100 + c_custkey % 900 AS string) || ', (191) ' END
+  || cast(100 + c_custkey % 900 AS string) || '-' || cast(1000 + c_custkey % 9000 AS string) AS note
+FROM customer
+"""
+
+# Word forms and their lemmas; the last two are lemmas of no context word.
+FORMS = {"rang": "ring", "rung": "ring", "properties": "property", "tenancies": "tenancy", "Orange": "orange", "went": "go"}
+
+# Lines of a CSV file, some of them faulty, keyed by order; -1 is the header, ~ a quote.
+FAULTY_LINES_SQL = """
+SELECT k, replace(line, '~', chr(34)) AS line FROM (
+SELECT -1 AS k, 'row_id,amount,remark' AS line FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)
+UNION ALL SELECT o_orderkey, cast(o_orderkey AS string) || CASE o_orderkey % 8
+  WHEN 1 THEN ',12,~a, b~,extra,' WHEN 2 THEN ',n.d.,~x, y~' WHEN 3 THEN ',7' WHEN 4 THEN ',8,~two' || chr(10) || 'lines, ~~quoted~~~'
+  WHEN 5 THEN ',9,N/A' WHEN 6 THEN ',10,,,z' ELSE ',' || cast(o_custkey AS string) || ',plain' END
+FROM orders)
+"""

@@ -49,7 +49,8 @@ def test_words_that_start_no_term_are_never_rows(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     before_explode = plan[plan.index("Generate explode") :]
-    assert "filter" in before_explode and "= y" in before_explode
+    # The filter bits are tested inside the generator, whatever the size of the dictionary.
+    assert "xxhash64(lower" in before_explode[: before_explode.index("\n")] and "shiftright" in before_explode[: before_explode.index("\n")]
 
 
 def csv(tmp_path, text, name="a.csv"):
