@@ -17,7 +17,9 @@ so only rarer words are joined to the count table, and none of them is frequent.
 Defined cases: null and empty texts are the end token alone; a null id belongs
 to no held-out fold; without training rows all words are unknown and both scores
 are those of an untrained model; repeated rows are scored each; other columns
-are not looked at.
+are not looked at. Of words of equal count the smaller one is a class of its own
+first; which of the rarer words are sent and which joined changes no score. A
+very long text is a block of its own, held by one task with 8 numbers a token.
 """
 
 from __future__ import annotations
@@ -207,15 +209,50 @@ def blocks(codes: Iterator[pa.Array]) -> Iterator[list[np.ndarray]]:
         yield run
 
 
+def head_cut(counts: DataFrame) -> int:
+    """The least count that at most HEAD_WORDS words exceed, from histograms of the counts.
+
+    The first has 16 steps an octave, the second only the counts of one step, so
+    neither grows with the number of words.
+    """
+    step = F.floor(F.log2("c") * 16)
+    above = 0
+    for at, n in sorted(counts.groupBy(step).count().collect(), reverse=True):
+        if above + n > HEAD_WORDS:
+            break
+        above += n
+    else:
+        return 0
+    for c, n in sorted(counts.filter(step == at).groupBy("c").count().collect(), reverse=True):
+        if above + n > HEAD_WORDS:
+            return c
+        above += n
+    raise AssertionError("a step has as many words as its counts")
+
+
+def head_words(counts: DataFrame, types: int) -> list[tuple[bytes, int]]:
+    """Frequent words with their counts, the most frequent first, equal ones by word.
+
+    At most HEAD_WORDS, but all classes of their own. Words as frequent as the
+    least ones are joined like rarer words, unless classes are still to be named.
+    """
+    cut = head_cut(counts)
+    head = counts.filter(F.col("c") > cut).collect()
+    missing = min(CLASS_WORDS, types) - len(head)
+    if missing > 0:
+        # Written first, so that tasks and not the driver merge the tied words.
+        head += stored(counts.filter(F.col("c") == cut).orderBy("word").limit(missing)).collect()
+    return sorted(((bytes(w), c) for w, c in head), key=lambda r: (-r[1], r[0]))
+
+
 def vocabulary(training: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary and the stored table (word, c) of all training words. training: (text)."""
     counts = stored(training.mapInArrow(count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c")))
     texts = training.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    order = [F.col("c").desc(), F.col("word")]
-    head = [(bytes(w), c) for w, c in counts.orderBy(*order).limit(HEAD_WORDS).collect()]
+    head = head_words(counts, total[1])
     inside = {}
-    if len(head) > CLASS_WORDS:
+    if total[1] > CLASS_WORDS:
         word, c = head[CLASS_WORDS - 1]
         later = (F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(bytearray(word))))
         suffix = F.crc32(F.substring("word", -SUFFIX, SUFFIX)) % SUFFIX_CLASSES + CLASS_WORDS

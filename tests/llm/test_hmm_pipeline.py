@@ -148,3 +148,67 @@ def test_run_equals_its_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "ids", "n_pieces", "score", "round_trip"] and got.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def words_frame(spark, times):
+    """(word, c) of words w00000, w00001, ... with the given counts."""
+    rows = [(f"w{i:05}".encode(), c) for i, c in enumerate(times)]
+    return spark.createDataFrame(rows, "word binary, c long").repartition(7)
+
+
+@pytest.mark.parametrize("kind", ["zipf", "equal", "two", "few", "none"])
+def test_frequent_words_are_cut_by_histograms(spark, monkeypatch, kind):
+    monkeypatch.setattr(hmm, "HEAD_WORDS", 300)
+    monkeypatch.setattr(hmm, "CLASS_WORDS", 200)
+    times = {
+        "zipf": [50_000 // (i + 1) + 1 for i in range(3000)],
+        "equal": [1_000_000] * 900,
+        "two": [9] * 100 + [8] * 900,
+        "few": [3, 1, 2] * 50,
+        "none": [],
+    }[kind]
+    counts = words_frame(spark, times)
+    whole = sorted(((w.encode(), c) for w, c in ((f"w{i:05}", c) for i, c in enumerate(times))), key=lambda r: (-r[1], r[0]))
+    got = hmm.head_words(counts, len(times))
+    assert got == whole[: len(got)]
+    assert min(200, len(times)) <= len(got) <= 300
+    cut = hmm.head_cut(counts)
+    assert sum(c > cut for c in times) <= 300 and (cut == 0 or sum(c >= cut for c in times) > 300)
+
+
+def test_which_words_are_sent_changes_no_score(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in random.zipf(1.3, 400) % 9000) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = []
+    for head in (32_768, 4_200):
+        monkeypatch.setattr(hmm, "HEAD_WORDS", head)
+        rows = hmm.score(docs, F.col("doc_id") % 3 == 2, rounds=1).orderBy("doc_id").collect()
+        found.append([tuple(r) for r in rows])
+    for a, b in zip(*found, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6)
+
+
+def test_scores_of_the_model_by_value(spark):
+    random = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in random.zipf(1.5, random.integers(0, 60)) % 300) for _ in range(50)] + ["", "new words w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.score for r in hmm.score(docs, F.col("doc_id") % 4 == 3, rounds=2).collect()}
+    training = [t for i, t in enumerate(texts) if i % 4 != 3]
+    counts = Counter(w for t in training for w in t.split())
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    frequency = np.zeros(hmm.CLASSES)
+    frequency[: len(ranked)] = [counts[w] for w in ranked]
+    frequency[hmm.END] = len(training)
+    place = {w: i for i, w in enumerate(ranked)}
+
+    def codes(text):
+        last = [hmm.CLASS_WORDS + crc32(w.encode()[-hmm.SUFFIX :]) % hmm.SUFFIX_CLASSES for w in text.split()]
+        return np.array([place.get(w, c) for w, c in zip(text.split(), last, strict=True)] + [hmm.END], np.uint16)
+
+    states = hmm.States((frequency + 1) / (frequency + 1).sum())
+    for _ in range(2):
+        sums = [hmm.Layout([codes(t)]).expected(states)[:3] for t in training]
+        states.update(*[sum(part) for part in zip(*sums, strict=True)])
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_forward(states, codes(text)), rel=1e-4)
