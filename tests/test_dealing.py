@@ -1,5 +1,6 @@
 """Tables of one row group are dealt out to tasks; streams read tables of one file or of many."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmask.functions.spans import ascii_pattern, find_matches
@@ -14,6 +15,13 @@ def test_short_rows_of_one_row_group_fill_several_tasks(spark, sf, monkeypatch):
     assert rows.rdd.getNumPartitions() == 15 and rows.select("row_id").distinct().count() == rows.count() == 1500
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_tables_that_are_folders(spark, sf, tmp_path, files):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    turns.repartition(files).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries.stream_anonymise(spark, str(tmp_path)).count() == turns.count()
+
+
 def test_matches_in_plain_and_other_texts(spark):
     """The pattern for ASCII, the Unicode one, and texts that hold the mark between matches."""
     assert ascii_pattern(r"(?iU)\bREF \d+\b") == r"(?i)\bREF \d+\b" and ascii_pattern(r"(?U)\d") == r"\d"
