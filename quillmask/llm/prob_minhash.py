@@ -8,20 +8,21 @@ early. Two components are equal with the probability Jaccard similarity of the
 two texts. Texts that share a band of components are candidates, and candidates
 are verified by their exact similarity.
 
-Equal texts are folded before anything is compared. Within a bucket of candidates
-nobody meets everybody: one member is the bucket's hub, and the others are
-compared with it alone, so the work of a round is in proportion to the members of
-its buckets, whatever their size. Members of one class need no comparing; buckets
-of one class are done. What is left is put into narrower buckets, of pairs and of
-fours of bands, where more alike texts meet, with hubs drawn anew for each bucket.
-A text thus meets some hundred others of a large family, not all: RECALL in the
-tests is the share of linked pairs (by comparing all) that end up in one class.
-With exact=True the buckets that are left at the end compare all members of
-different classes, whose number grows with the square of a family.
+Equal texts are folded before anything is compared. First every bucket of candidates
+compares its members with one of them, its hub, in two rounds with other hubs; that
+joins most of a family in work that is in proportion to the members of its buckets.
+Members of one class need no comparing; buckets of one class are done. In the others
+every two members of different classes meet, so no pair that shares a band is left
+out: members lie in blocks of MEMBERS signatures, blocks of one and the same class
+never meet, and a meeting of two blocks is one row and one small array comparison.
+Only pairs that are alike by their signatures become rows. The meetings of a bucket
+are dealt over tasks. Their number grows with the square of the members outside its
+large classes, which is the nature of the job; memory and rows do not.
 
 Pairs whose signatures agree in fewer than LEAST_ALIKE components (one byte of
 each is kept) are not alike and their texts are not brought together; a pair at
-SIMILARITY is lost by that with a probability of 7e-5.
+SIMILARITY is lost by that with a probability of 3e-8. With exact=True the texts of
+all pairs that share a band are compared whatever their signatures.
 
 Defined cases: null texts are empty; texts without words are alike only to
 equal ones; a text of fewer words than a run is one run; equal texts are always
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmask.llm.common import Scratch, documents, q, stored
+from quillmask.llm.common import Scratch, documents, q, small_batches, stored
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -51,8 +52,10 @@ BANDS = 32
 ROWS = 4
 COMPONENTS = BANDS * ROWS
 BLOCK = 256 * 1024  # characters of text that are signed at once
-LEAST_ALIKE = 84  # of COMPONENTS
-SHIFTS = {1: ((),), 2: ((1,), (5,)), 4: ((1, 3, 7), (2, 11, 17))}  # bands that make up a key, besides each band itself
+LEAST_ALIKE = 76  # of COMPONENTS
+MEMBERS = 128  # of a bucket that lie in one block
+LARGE = 64  # members of one class in a bucket that get blocks of their own
+SPREAD = 16  # blocks of a bucket that one task compares with all others
 SLACK = 1e-9  # of sums of fractions
 HELD = 64  # texts whose runs a task remembers
 
@@ -257,14 +260,9 @@ def with_label(members: DataFrame, label: DataFrame | None) -> DataFrame:
     return joined.select("bucket", "node", F.coalesce("label", "node").alias("label"), F.col("label").isNull().alias("lone"))
 
 
-def memberships(nodes: DataFrame, span: int, scratch: Scratch) -> DataFrame:
-    """Stored (bucket, node) of the buckets of at least two texts, one of each set of members; keys of span bands."""
-    keys = [
-        F.expr("transform(bands, (k, i) -> xxhash64(k" + "".join(f", element_at(bands, cast((i + {j}) % {BANDS} + 1 AS int))" for j in others) + f", {n}))")
-        if others else F.col("bands")
-        for n, others in enumerate(SHIFTS[span])
-    ]
-    buckets = scratch.stored(nodes.filter("size(bands) > 0").select("node", F.explode(F.concat(*keys)).alias("bucket")))
+def memberships(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Stored (bucket, node) of the buckets of at least two texts, one of each set of members."""
+    buckets = scratch.stored(nodes.filter("size(bands) > 0").select("node", F.explode("bands").alias("bucket")))
     sets = buckets.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("set"), F.bit_xor(F.hash("node")).alias("set2")
     )
@@ -272,17 +270,16 @@ def memberships(nodes: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     return scratch.stored(buckets.join(scratch.stored(kept), "bucket"))
 
 
-def starred(members: DataFrame, label: DataFrame | None, by_bucket: bool, lone_last: bool, scratch: Scratch) -> DataFrame:
+def starred(members: DataFrame, label: DataFrame | None, by_bucket: bool, scratch: Scratch) -> DataFrame:
     """Stored (bucket, node, label, hub, hub_label) of the buckets of several classes.
 
     Hubs are the first by a hash of the node, so the buckets of a family mostly
-    have the same, or of node and bucket. With lone_last, members of a class come
-    before lone ones: its other members then need not be compared with the hub.
+    have the same, or of node and bucket. Members of a class come before lone
+    ones: its other members then need not be compared with the hub.
     """
     own = with_label(members, label)
     order = F.shiftrightunsigned(F.xxhash64("node", "bucket") if by_bucket else F.xxhash64("node"), 2)
-    if lone_last:
-        order = order + F.when(F.col("lone"), F.lit(2**62)).otherwise(F.lit(0))
+    order = order + F.when(F.col("lone"), F.lit(2**62)).otherwise(F.lit(0))
     hubs = own.groupBy("bucket").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", order).alias("hub"), F.min_by("label", order).alias("hub_label")
     )
@@ -290,14 +287,73 @@ def starred(members: DataFrame, label: DataFrame | None, by_bucket: bool, lone_l
     return scratch.stored(own.join(scratch.stored(hubs), "bucket"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Stored (a, b, likeness) of the distinct pairs whose signatures are alike."""
+PAIRS = "node bigint, hub bigint"
+
+
+def alike_members(least: int):
+    """Function of meetings of blocks: the pairs of members of different classes that agree in at least so many components."""
+
+    def unpacked(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = block.values
+        node, label = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
+        return node, label, np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, hubs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                a, a_label, a_signature = unpacked(batch["block"][i])
+                b, b_label, b_signature = unpacked(batch["other"][i])
+                alike = a_label[:, None] != b_label[None, :]
+                if batch["same"][i].as_py():
+                    alike &= a[:, None] < b[None, :]
+                x, y = np.nonzero(alike)
+                if least and len(x):
+                    near = (a_signature[x] == b_signature[y]).sum(axis=1) >= least
+                    x, y = x[near], y[near]
+                nodes.append(a[x])
+                hubs.append(b[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(hubs), pa.int64())], ["node", "hub"])
+
+    return run
+
+
+def meetings(left: DataFrame, nodes: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """(node, hub) of the members of a bucket that are of different classes and alike; left: (bucket, node, label)."""
+    small_batches(left.sparkSession)
+    large = left.groupBy("bucket", "label").count().filter(F.col("count") >= LARGE).select("bucket", "label", F.col("label").alias("own"))
+    dealt = scratch.stored(left.select("bucket", "node", "label").join(large, ["bucket", "label"], "left"))
+    sizes = dealt.groupBy("bucket", "own").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks")).withColumnRenamed("bucket", "at").withColumnRenamed("own", "class")
+    many = scratch.stored(sizes.filter("blocks > 1"))
+    dealt = dealt.join(many, (F.col("bucket") == F.col("at")) & F.col("own").eqNullSafe(F.col("class")), "left")
+    block = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
+    signed = dealt.select("bucket", "own", block.alias("block_id"), "node", "label").join(nodes.select("node", "signature"), "node")
+    packed = signed.groupBy("bucket", "own", "block_id").agg(F.collect_list(F.struct("node", "label", "signature")).alias("block"))
+    packed = scratch.stored(packed.withColumn("id", F.monotonically_increasing_id()))
+    # a bucket of one block meets itself; of several, each lot of SPREAD blocks meets all
+    counts = packed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = scratch.stored(counts.select("bucket", F.ceil(F.col("n") / SPREAD).alias("lots")))
+    itself = packed.filter("own IS NULL").select("block", F.col("block").alias("other"), F.lit(True).alias("same"))
+    several = packed.join(counts, "bucket")
+    one = several.withColumn("lot", F.pmod(F.xxhash64("id"), "lots"))
+    all_ = several.select(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"),
+        F.col("id").alias("other_id"), F.col("own").alias("other_own"), F.col("block").alias("other"),
+    )
+    met = one.join(all_, ["bucket", "lot"]).filter("id < other_id AND (own IS NULL OR other_own IS NULL OR own <> other_own)")
+    met = met.select("block", "other", F.lit(False).alias("same"))
+    return scratch.stored(itself.unionByName(met).mapInArrow(alike_members(least), PAIRS).distinct())
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, known: bool = False) -> DataFrame:
+    """Stored (a, b, likeness) of the distinct pairs whose signatures are alike, which may be known."""
+    if not known:
+        for end in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("signature").alias(f"{end}_signature")), end)
+        pairs = scratch.stored(pairs.filter(agreeing("a_signature", "b_signature") >= LEAST_ALIKE).select("a", "b"))
     for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("signature").alias(f"{end}_signature")), end)
-    alike = scratch.stored(pairs.filter(agreeing("a_signature", "b_signature") >= LEAST_ALIKE).select("a", "b"))
-    for end in ("a", "b"):
-        alike = alike.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text")), end)
-    return scratch.stored(alike.select("a", "b", similarity("a_text", "b_text").alias("likeness")))
+        pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text")), end)
+    return scratch.stored(pairs.select("a", "b", similarity("a_text", "b_text").alias("likeness")))
 
 
 def classes_of(nodes: DataFrame, texts, threshold: float = SIMILARITY, exact: bool = False) -> DataFrame | None:
@@ -306,34 +362,29 @@ def classes_of(nodes: DataFrame, texts, threshold: float = SIMILARITY, exact: bo
     nodes: (node, bands, signature); texts(nodes) gives (node, text).
     """
     scratch = Scratch(nodes.sparkSession)
-    label, tested, held, active = None, None, None, nodes
+    label, tested = None, None
+    members = memberships(nodes, scratch)
+    held = scratch.stored(texts(members.select("node").distinct()))
 
-    def compare(pairs: DataFrame) -> None:
+    def compare(pairs: DataFrame, known: bool = False) -> None:
         nonlocal label, tested
         asked = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        asked = scratch.stored(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"))
-        links = verified(asked, nodes, held, scratch).filter(F.col("likeness") >= threshold - SLACK)
+        # pairs that exact=True compares may have been passed over by their signatures before
+        fresh = tested is None or known and exact
+        asked = scratch.stored(asked if fresh else asked.join(tested, ["a", "b"], "left_anti"))
+        links = verified(asked, nodes, held, scratch, known).filter(F.col("likeness") >= threshold - SLACK)
         label = contracted(label, links.select("a", "b"), scratch)
         tested = scratch.stored(asked if tested is None else tested.unionByName(asked))
 
-    for span, rounds in ((1, (False, True)), (2, (True,)), (4, (True,))):
-        members = memberships(active, span, scratch)
-        if held is None:
-            held = scratch.stored(texts(members.select("node").distinct()))
-        for by_bucket in rounds:
-            members = starred(members, label, by_bucket, span < 4, scratch)
-            compare(members.filter("label <> hub_label"))
-            scratch.clear(*[x for x in (label, tested, held, members) if x is not None])
-        left = with_label(members, label)
-        mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        left = scratch.stored(left.join(mixed, "bucket"))
-        if span == 1 and exact:
-            other = left.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-            compare(left.join(other, "bucket").filter("node < hub AND label <> hub_label"))
-            break
-        active = nodes.join(left.select("node").distinct(), "node", "left_semi")
-        if not left.limit(1).count():
-            break
+    for by_bucket in (False, True):
+        members = starred(members, label, by_bucket, scratch)
+        compare(members.filter("label <> hub_label"))
+        scratch.clear(label, tested, held, members)
+    left = with_label(members, label)
+    mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    left = scratch.stored(left.join(mixed, "bucket"))
+    if left.limit(1).count():
+        compare(meetings(left, nodes, 0 if exact else LEAST_ALIKE, scratch), known=True)
     scratch.clear(label)
     return label
 

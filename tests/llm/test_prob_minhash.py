@@ -118,6 +118,23 @@ def test_recall_on_a_large_family(spark, make):
     assert exact == brute(rows)
 
 
+def test_no_link_of_a_large_family_is_left_out(spark, make):
+    """Default classes equal those of comparing all pairs, in families that fill several blocks."""
+    for n, seed in ((400, 6), (300, 9)):
+        rows = family(n, seed)
+        got = {r.doc_id: r.class_id for r in m.near_duplicates(make([(i, t, "en", "a") for i, t in rows])).collect()}
+        assert got == brute(rows)
+
+
+def test_blocks_meet_across_lots(spark, make, monkeypatch):
+    """Small blocks and lots, so that members meet in every way there is."""
+    for name, value in (("MEMBERS", 4), ("LARGE", 3), ("SPREAD", 2)):
+        monkeypatch.setattr(m, name, value)
+    rows = family(120, 11)
+    got = {r.doc_id: r.class_id for r in m.near_duplicates(make([(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == brute(rows)
+
+
 def test_exact_threshold_through_a_third_text(spark, make):
     """h and y are each at 0.8 from x and at 0.6 from each other."""
     w = [f"w{k}" for k in range(14)]
