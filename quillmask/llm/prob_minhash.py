@@ -15,12 +15,15 @@ Members of one class need no comparing; buckets of one class are done. In the ot
 every two members of different classes meet, so no pair that shares a band is left
 out: members lie in blocks of MEMBERS signatures, blocks of one and the same class
 never meet, and a meeting of two blocks is one row and one small array comparison.
-Only pairs that are alike by their signatures become rows. The meetings of a bucket
+Members that are alike to one of another class by their signatures meet again in
+blocks, with their texts: products of tables of runs give the likenesses of all pairs
+of a meeting (of texts with repeated runs, bounds that few pairs pass), and only links
+that join two classes become rows, fewer than there are members. The meetings of a bucket
 are dealt over tasks. Their number grows with the square of the members outside its
 large classes, which is the nature of the job; memory and rows do not.
 
-Pairs whose signatures agree in fewer than LEAST_ALIKE components (one byte of
-each is kept) are not alike and their texts are not brought together; a pair at
+Members whose signatures agree in fewer than LEAST_ALIKE components (one byte of
+each is kept) with all others they meet do not bring their texts; a pair at
 SIMILARITY is lost by that with a probability of 3e-8. With exact=True the texts of
 all pairs that share a band are compared whatever their signatures.
 
@@ -54,6 +57,8 @@ COMPONENTS = BANDS * ROWS
 BLOCK = 256 * 1024  # characters of text that are signed at once
 LEAST_ALIKE = 76  # of COMPONENTS
 MEMBERS = 128  # of a bucket that lie in one block
+BLOCK_BYTES = 1 << 20  # of their texts
+WIDTH = 4096  # runs of words whose table is multiplied at once
 LARGE = 64  # members of one class in a bucket that get blocks of their own
 SPREAD = 16  # blocks of a bucket that one task compares with all others
 SLACK = 1e-9  # of sums of fractions
@@ -287,70 +292,161 @@ def starred(members: DataFrame, label: DataFrame | None, by_bucket: bool, scratc
     return scratch.stored(own.join(scratch.stored(hubs), "bucket"))
 
 
-PAIRS = "node bigint, hub bigint"
+def blocks_of(batch: pa.RecordBatch, i: int, content: str) -> tuple[np.ndarray, np.ndarray, list]:
+    """Nodes and contents of the members of two blocks that meet, and which of them are to be compared.
+
+    Those are of different classes and of different blocks, if there are two; each pair once.
+    """
+    names = ("block",) if batch["same"][i].as_py() else ("block", "other")
+    met = [batch[name][i].values for name in names]
+    node, label = (np.concatenate([rows.field(c).to_numpy(zero_copy_only=False) for rows in met]) for c in ("node", "label"))
+    block = np.repeat(np.arange(len(met)), [len(rows) for rows in met])
+    pairs = np.triu(label[:, None] != label[None, :], 1)
+    if len(met) > 1:
+        pairs &= block[:, None] != block[None, :]
+    return node, label, [c for rows in met for c in rows.field(content).to_pylist()], np.nonzero(pairs)
+
+
+MEMBER, PAIR = "bucket bigint, node bigint", "a bigint, b bigint"
 
 
-def alike_members(least: int):
-    """Function of meetings of blocks: the pairs of members of different classes that agree in at least so many components."""
+def two_columns(schema: str, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [np.concatenate([np.zeros(0, np.int64), *[pair[k] for pair in found]]) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in schema.split(", ")])
 
-    def unpacked(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = block.values
-        node, label = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
-        return node, label, np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+
+def alike_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of meetings of blocks of signatures, the members that are alike to one of another class."""
+    for batch in batches:
+        found = []
+        for i in range(batch.num_rows):
+            node, _, low, (x, y) = blocks_of(batch, i, "signature")
+            signature = np.frombuffer(b"".join(low), np.uint8).reshape(-1, COMPONENTS)
+            near = (signature[x] == signature[y]).sum(axis=1) >= LEAST_ALIKE
+            alike = np.unique(np.concatenate([x[near], y[near]]))
+            found.append((np.full(len(alike), batch["bucket"][i].as_py(), np.int64), node[alike]))
+        yield two_columns(MEMBER, found)
+
+
+def sums_of_shared(doc: np.ndarray, code: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the first text's values over the codes that it shares with the second, n x n; a code comes once in a text."""
+    shared = np.bincount(code)[code] > 1
+    _, code = np.unique(code[shared], return_inverse=True)
+    doc, value = doc[shared], value[shared]
+    total = np.zeros((n, n))
+    for low in range(0, int(code.max(initial=-1)) + 1, WIDTH):
+        here = (code >= low) & (code < low + WIDTH)
+        own, held = np.zeros((n, WIDTH), np.float32), np.zeros((n, WIDTH), np.float32)
+        own[doc[here], code[here] - low] = value[here]
+        held[doc[here], code[here] - low] = 1
+        total += own @ held.T
+    return total
+
+
+def likeness_bounds(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(bound, certain), n x n: no likeness is above its bound, and where that is certain it is the bound.
+
+    With p, q the weights over their sums and m the sum of min(p, q), the likeness is at most the
+    sum of max(p, q) over shared runs, which is that of p and of q less m, divided by 2 - m.
+    """
+    n = len(texts)
+    run, doc, weight = runs(texts)
+    _, code = np.unique(run, return_inverse=True)
+    size, single = np.bincount(doc, weight, n), np.ones(n, bool)
+    single[doc[weight > 1]] = False
+    # a run that comes k times is k things, so shared things are the smaller weights
+    times = weight.astype(np.int64)
+    every = np.repeat(np.arange(len(run)), times)
+    copy = np.arange(len(every)) - np.repeat(np.cumsum(times) - times, times)
+    _, thing = np.unique(code[every] * (int(times.max(initial=0)) + 1) + copy, return_inverse=True)
+    least = sums_of_shared(doc[every], thing, np.ones(len(every)), n)
+    certain = single[:, None] & single[None, :]
+    bound = least / (size[:, None] + size[None, :] - least)
+    if not single.all():
+        shared = sums_of_shared(doc, code, weight, n) / size[:, None]
+        m = least / np.maximum(size[:, None], size[None, :])
+        bound = np.where(certain, bound, (shared + shared.T - m) / (2 - m))
+    return bound, certain
+
+
+def linked_members(threshold: float):
+    """Function of meetings of blocks of texts: links of members of different classes, as many as join all that are linked."""
+
+    def links(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        node, label, texts, (x, y) = blocks_of(batch, i, "text")
+        bound, certain = likeness_bounds([words(t) for t in texts])
+        maybe = bound[x, y] >= threshold - SLACK
+        x, y = x[maybe], y[maybe]
+        runs_of = functools.lru_cache(None)(lambda k: weighted(texts[k]))
+        _, root = np.unique(label, return_inverse=True)
+        kept: list[tuple[int, int]] = []
+        # certain links first: what they join needs no comparing
+        for k in np.argsort(~certain[x, y], kind="stable"):
+            a, b = int(x[k]), int(y[k])
+            if root[a] == root[b] or not (certain[a, b] or probability_jaccard(runs_of(a), runs_of(b)) >= threshold - SLACK):
+                continue
+            root[root == root[b]] = root[a]
+            kept.append((a, b))
+        ends = np.array(kept, np.int64).reshape(-1, 2)
+        return np.minimum(node[ends[:, 0]], node[ends[:, 1]]), np.maximum(node[ends[:, 0]], node[ends[:, 1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, hubs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
-                a, a_label, a_signature = unpacked(batch["block"][i])
-                b, b_label, b_signature = unpacked(batch["other"][i])
-                alike = a_label[:, None] != b_label[None, :]
-                if batch["same"][i].as_py():
-                    alike &= a[:, None] < b[None, :]
-                x, y = np.nonzero(alike)
-                if least and len(x):
-                    near = (a_signature[x] == b_signature[y]).sum(axis=1) >= least
-                    x, y = x[near], y[near]
-                nodes.append(a[x])
-                hubs.append(b[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(hubs), pa.int64())], ["node", "hub"])
+                yield two_columns(PAIR, [links(batch, i)])
 
     return run
 
 
-def meetings(left: DataFrame, nodes: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """(node, hub) of the members of a bucket that are of different classes and alike; left: (bucket, node, label)."""
-    small_batches(left.sparkSession)
-    large = left.groupBy("bucket", "label").count().filter(F.col("count") >= LARGE).select("bucket", "label", F.col("label").alias("own"))
-    dealt = scratch.stored(left.select("bucket", "node", "label").join(large, ["bucket", "label"], "left"))
-    sizes = dealt.groupBy("bucket", "own").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks")).withColumnRenamed("bucket", "at").withColumnRenamed("own", "class")
-    many = scratch.stored(sizes.filter("blocks > 1"))
+def met(members: DataFrame, contents: DataFrame, function, schema: str, scratch: Scratch) -> DataFrame:
+    """Stored rows that function finds in the meetings of the blocks of each bucket.
+
+    members: (bucket, node, label); contents: (node, a column that function reads, its size in bytes).
+    """
+    small_batches(members.sparkSession)
+    content = contents.columns[1]
+    sized = members.select("bucket", "node", "label").join(contents.select("node", "size"), "node")
+    large = members.groupBy("bucket", "label").count().filter(F.col("count") >= LARGE).select("bucket", "label", F.col("label").alias("own"))
+    dealt = scratch.stored(sized.join(large, ["bucket", "label"], "left"))
+    sizes = dealt.groupBy("bucket", "own").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    many = scratch.stored(sizes.filter("blocks > 1").withColumnRenamed("bucket", "at").withColumnRenamed("own", "class"))
     dealt = dealt.join(many, (F.col("bucket") == F.col("at")) & F.col("own").eqNullSafe(F.col("class")), "left")
     block = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
-    signed = dealt.select("bucket", "own", block.alias("block_id"), "node", "label").join(nodes.select("node", "signature"), "node")
-    packed = signed.groupBy("bucket", "own", "block_id").agg(F.collect_list(F.struct("node", "label", "signature")).alias("block"))
+    full = dealt.select("bucket", "own", block.alias("block_id"), "node", "label").join(contents.select("node", content), "node")
+    packed = full.groupBy("bucket", "own", "block_id").agg(F.collect_list(F.struct("node", "label", content)).alias("block"))
     packed = scratch.stored(packed.withColumn("id", F.monotonically_increasing_id()))
     # a bucket of one block meets itself; of several, each lot of SPREAD blocks meets all
     counts = packed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     counts = scratch.stored(counts.select("bucket", F.ceil(F.col("n") / SPREAD).alias("lots")))
-    itself = packed.filter("own IS NULL").select("block", F.col("block").alias("other"), F.lit(True).alias("same"))
+    itself = packed.filter("own IS NULL").select("bucket", "block", F.col("block").alias("other"), F.lit(True).alias("same"))
     several = packed.join(counts, "bucket")
     one = several.withColumn("lot", F.pmod(F.xxhash64("id"), "lots"))
     all_ = several.select(
         "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"),
         F.col("id").alias("other_id"), F.col("own").alias("other_own"), F.col("block").alias("other"),
     )
-    met = one.join(all_, ["bucket", "lot"]).filter("id < other_id AND (own IS NULL OR other_own IS NULL OR own <> other_own)")
-    met = met.select("block", "other", F.lit(False).alias("same"))
-    return scratch.stored(itself.unionByName(met).mapInArrow(alike_members(least), PAIRS).distinct())
+    pairs = one.join(all_, ["bucket", "lot"]).filter("id < other_id AND (own IS NULL OR other_own IS NULL OR own <> other_own)")
+    every = itself.unionByName(pairs.select("bucket", "block", "other", F.lit(False).alias("same")))
+    return scratch.stored(every.mapInArrow(function, schema).distinct())
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, known: bool = False) -> DataFrame:
-    """Stored (a, b, likeness) of the distinct pairs whose signatures are alike, which may be known."""
-    if not known:
-        for end in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("signature").alias(f"{end}_signature")), end)
-        pairs = scratch.stored(pairs.filter(agreeing("a_signature", "b_signature") >= LEAST_ALIKE).select("a", "b"))
+def meetings(left: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, exact: bool, scratch: Scratch) -> DataFrame:
+    """(a, b): links that join all members of a bucket that are linked; left: (bucket, node, label).
+
+    Signatures only tell which members are worth bringing their texts.
+    """
+    if not exact:
+        signed = nodes.select("node", "signature", F.lit(COMPONENTS).alias("size"))
+        left = left.join(met(left, signed, alike_members, MEMBER, scratch), ["bucket", "node"], "left_semi")
+    given = texts.select("node", "text", F.octet_length("text").alias("size"))
+    return met(left, given, linked_members(threshold), PAIR, scratch)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Stored (a, b, likeness) of the distinct pairs whose signatures are alike."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("signature").alias(f"{end}_signature")), end)
+    pairs = scratch.stored(pairs.filter(agreeing("a_signature", "b_signature") >= LEAST_ALIKE).select("a", "b"))
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text")), end)
     return scratch.stored(pairs.select("a", "b", similarity("a_text", "b_text").alias("likeness")))
@@ -366,13 +462,11 @@ def classes_of(nodes: DataFrame, texts, threshold: float = SIMILARITY, exact: bo
     members = memberships(nodes, scratch)
     held = scratch.stored(texts(members.select("node").distinct()))
 
-    def compare(pairs: DataFrame, known: bool = False) -> None:
+    def compare(pairs: DataFrame) -> None:
         nonlocal label, tested
         asked = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        # pairs that exact=True compares may have been passed over by their signatures before
-        fresh = tested is None or known and exact
-        asked = scratch.stored(asked if fresh else asked.join(tested, ["a", "b"], "left_anti"))
-        links = verified(asked, nodes, held, scratch, known).filter(F.col("likeness") >= threshold - SLACK)
+        asked = scratch.stored(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"))
+        links = verified(asked, nodes, held, scratch).filter(F.col("likeness") >= threshold - SLACK)
         label = contracted(label, links.select("a", "b"), scratch)
         tested = scratch.stored(asked if tested is None else tested.unionByName(asked))
 
@@ -384,7 +478,7 @@ def classes_of(nodes: DataFrame, texts, threshold: float = SIMILARITY, exact: bo
     mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
     left = scratch.stored(left.join(mixed, "bucket"))
     if left.limit(1).count():
-        compare(meetings(left, nodes, 0 if exact else LEAST_ALIKE, scratch), known=True)
+        label = contracted(label, meetings(left, nodes, held, threshold, exact, scratch), scratch)
     scratch.clear(label)
     return label
 

@@ -135,6 +135,50 @@ def test_blocks_meet_across_lots(spark, make, monkeypatch):
     assert got == brute(rows)
 
 
+def test_bounds_of_likeness():
+    """Products of tables: equal to the definition without repeated runs, never below it with them."""
+    lot = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(40):
+        text = base[lot.randrange(8) :] * (1 + (k % 4 == 0))
+        for _ in range(lot.randrange(9)):
+            text[lot.randrange(len(text))] = f"x{lot.randrange(5)}"
+        texts.append(" ".join(text))
+    texts += ["a", "a b", "a b c d e " * 9]
+    bound, certain = m.likeness_bounds([m.words(t) for t in texts])
+    counts = [m.weighted(t) for t in texts]
+    want = np.array([[m.probability_jaccard(a, b) for b in counts] for a in counts])
+    assert 0 < certain.sum() < certain.size
+    np.fill_diagonal(want, 0)  # a text is not compared with itself
+    np.fill_diagonal(bound, 0)
+    assert np.allclose(bound[certain], want[certain], atol=1e-12) and (bound >= want - 1e-9).all()
+
+
+def test_rows_of_a_family_do_not_grow_with_its_square(spark, make, monkeypatch):
+    """Many texts that are alike by signature and not linked: meetings give fewer links than there are members."""
+    rows = family(240, 5, words=60, most=30)
+    given = []
+    real = m.contracted
+    monkeypatch.setattr(m, "contracted", lambda label, links, scratch: (given.append(links.count()), real(label, links, scratch))[1])
+    asked = []
+    checked = m.verified
+    monkeypatch.setattr(m, "verified", lambda pairs, *rest: (asked.append(pairs.count()), checked(pairs, *rest))[1])
+    got = {r.doc_id: r.class_id for r in m.near_duplicates(make([(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == brute(rows)
+    assert len(asked) == 2 and len(given) == 3 and given[2] < len(rows)
+
+
+def test_repeated_runs_in_blocks(spark, make, monkeypatch):
+    """Texts with runs of several weights meet in small blocks, also blocks cut by bytes."""
+    for name, value in (("MEMBERS", 8), ("LARGE", 6), ("SPREAD", 2), ("BLOCK_BYTES", 3000), ("WIDTH", 64)):
+        monkeypatch.setattr(m, name, value)
+    rows = [(i, f"{t} {t}" if i % 3 else f"{t} {t} {t[:200]}") for i, t in family(90, 3, words=50, most=14)]
+    docs = make([(i, t, "en", "a") for i, t in rows])
+    assert {r.doc_id: r.class_id for r in m.near_duplicates(docs).collect()} == brute(rows)
+    assert {r.doc_id: r.class_id for r in m.near_duplicates(docs, exact=True).collect()} == brute(rows)
+
+
 def test_exact_threshold_through_a_third_text(spark, make):
     """h and y are each at 0.8 from x and at 0.6 from each other."""
     w = [f"w{k}" for k in range(14)]
