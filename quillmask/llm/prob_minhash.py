@@ -58,7 +58,7 @@ BLOCK = 256 * 1024  # characters of text that are signed at once
 LEAST_ALIKE = 76  # of COMPONENTS
 MEMBERS = 128  # of a bucket that lie in one block
 BLOCK_BYTES = 1 << 20  # of their texts
-WIDTH = 4096  # runs of words whose table is multiplied at once
+WIDTH = 1024  # runs of words whose table is multiplied at once
 LARGE = 64  # members of one class in a bucket that get blocks of their own
 SPREAD = 16  # blocks of a bucket that one task compares with all others
 SLACK = 1e-9  # of sums of fractions
@@ -374,6 +374,8 @@ def linked_members(threshold: float):
 
     def links(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
         node, label, texts, (x, y) = blocks_of(batch, i, "text")
+        if not len(x):
+            return node[:0], node[:0]
         bound, certain = likeness_bounds([words(t) for t in texts])
         maybe = bound[x, y] >= threshold - SLACK
         x, y = x[maybe], y[maybe]
