@@ -154,3 +154,16 @@ def test_a_hot_term_is_joined_apart(spark):
     assert sum(per_task) == 8000
     median = sorted(per_task)[len(per_task) // 2]
     assert max(per_task) <= 4 * median
+
+
+def test_quarantine_over_several_files(spark, sf, monkeypatch):
+    """Lines beyond FILE_ROWS go to further files, so no task sorts or reads all; rows and places are those of one file."""
+    from suite import queries
+
+    whole = sorted(map(str, queries.csv_quarantine(spark, sf).collect()))
+    paths = []
+    real = queries.read_csv_quarantined
+    monkeypatch.setattr(queries, "read_csv_quarantined", lambda spark, path, schema: (paths.append(path), real(spark, path, schema))[1])
+    monkeypatch.setattr(queries, "FILE_ROWS", 100)
+    assert sorted(map(str, queries.csv_quarantine(spark, sf).collect())) == whole
+    assert len(spark.read.text(paths[0]).select("_metadata.file_path").distinct().collect()) == 15
