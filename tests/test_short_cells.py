@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmask import DEFAULT_CATALOGUE
 from quillmask.catalogue import RESIDUAL_PATTERNS
 from quillmask.functions import algebra, spans
-from quillmask.functions.spans import folded
+from quillmask.functions.spans import ascii_pattern, find_matches, folded
 from quillmask.operators import names
 from quillmask.operators.detection import pattern_hits
 from tests.test_spans_property import random_spans, texts
@@ -57,3 +57,22 @@ def test_short_ways_equal_the_walks(spark, monkeypatch, step):
     for module in (spans, algebra, names):
         monkeypatch.setattr(module, "FEW", -1 if module is not names else 0)
     assert short == results()
+
+
+@pytest.mark.parametrize("name", ["email", "title_name"])
+def test_plain_texts_meet_narrowed_patterns(spark, name):
+    pattern = next(d for d in DEFAULT_CATALOGUE.detectors if d.name == name).java_pattern
+    quick = ascii_pattern(pattern)
+    assert quick is not None and quick.isascii() and r"\p" not in quick
+    rng = random.Random(9)
+    pieces = ["a", "Z", "7", "_", ".", "+", "'", "-", "@", "@x.ie", " ", "Mr ", "miss. ", "& ", "O'Neil", "\t", "{", "x" * 70]
+    rows = [("".join(rng.choices(pieces, k=rng.randint(1, 12))),) for _ in range(600)]
+    df = spark.createDataFrame(rows, "t string").select(F.expr(find_matches("t", pattern, "true", quick)).alias("q"), F.expr(find_matches("t", pattern, "false")).alias("w"))
+    found = df.collect()
+    assert all(r.q == r.w for r in found) and sum(len(r.w) for r in found) > 20
+
+
+def test_classes_that_are_not_plain_letters_have_no_narrowed_pattern():
+    assert ascii_pattern(r"(?U)[\p{L}_]\p{N}") == "[A-Za-z_][0-9]"
+    assert ascii_pattern(r"(?U)[a’]") == r"[a\x00]"
+    assert ascii_pattern(r"(?iU)ſ") is None and ascii_pattern(r"(?U)\p{Lu}") is None and ascii_pattern(r"(?U)\Q[\E") is None
