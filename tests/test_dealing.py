@@ -22,6 +22,21 @@ def test_streams_read_tables_that_are_folders(spark, sf, tmp_path, files):
     assert queries.stream_anonymise(spark, str(tmp_path)).count() == turns.count()
 
 
+def test_streams_read_tables_that_are_files(spark, sf, tmp_path):
+    """Of several files side by side only the one that is named; folders keep their partition columns."""
+
+    def drained(folder, name):
+        query = queries.stream_of(spark, folder, "events").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.table(name)
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert sorted(drained(sf, "of_a_file").collect()) == sorted(events.collect())
+    events.withColumn("day", F.dayofmonth("ts")).write.partitionBy("day").parquet(f"{tmp_path}/events.parquet")
+    parts = drained(str(tmp_path), "of_a_folder")
+    assert parts.count() == events.count() and parts.filter(F.dayofmonth("ts") == F.col("day")).count() == events.count()
+
+
 def test_matches_in_plain_and_other_texts(spark):
     """The pattern for ASCII, the Unicode one, and texts that hold the mark between matches."""
     assert ascii_pattern(r"(?iU)\bREF \d+\b") == r"(?i)\bREF \d+\b" and ascii_pattern(r"(?U)\d") == r"\d"
