@@ -1,26 +1,33 @@
 """Whole vectors in blocks, and the meeting of query blocks with blocks of all rows.
 
-A block is one row: some thousand vectors of equal length as bytes. Query blocks
-are sent to the blocks they have to meet, so every product is one small matrix
-product in a task, and no pair of vectors ever becomes a row.
+A block is one row: some thousand vectors of equal length as bytes. All meetings
+of a length or lot are cut into tiles, groups of query blocks by groups of
+blocks, and a tile is read by one task: its query blocks are held and its blocks
+come one by one. So every product is one small matrix product, what is found in
+one block bounds the search of the next, no pair of vectors ever becomes a row,
+and a block is copied once for each group it meets, not once for each block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.llm.common import Scratch, q
 
 BLOCK = 4096
 QUERY_BLOCK = 256
-COPIES = 4  # of a block, so that several tasks can read it
+TILE_QUERIES, TILE_BLOCKS = 32, 16  # query blocks and blocks of a tile at most
+WAVES = 4  # tiles for each task slot, if there are as many meetings
 EXACT = 2.0**53  # whole numbers below it are exact as floating point
+EXACT_SHORT = 2.0**24  # and as floating point of half the width
 
+FIELDS = ("dim", "size", "row", "vec_id", "label", "limits", "kind", "data")
 PACKED = "dim int, lot int, block int, size int, row binary, vec_id binary, label array<string>, limits array<array<bigint>>, kind string, data binary"
 
 
@@ -50,7 +57,7 @@ def pack(table: pa.Table) -> pa.Table:
             "row": pa.array([table["row"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
             "vec_id": pa.array([table["vec_id"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
             "label": pa.array([table["label"].to_pylist()], pa.list_(pa.string())),
-            "limits": pa.array([table["limits"].to_pylist()], pa.list_(pa.list_(pa.int64()))),
+            "limits": pa.array([table["limits"].to_pylist() if table["limits"].null_count < n else None], pa.list_(pa.list_(pa.int64()))),
             "kind": pa.array([kind.str], pa.string()),
             "data": pa.array([values.astype(kind).tobytes()], pa.binary()),
         }
@@ -74,7 +81,7 @@ def packed(rows: DataFrame, per_block: int) -> DataFrame:
     third of all rows fills many blocks.
     """
     lot = F.col("lot") if "lot" in rows.columns else F.lit(0)
-    limits = F.col("limits") if "limits" in rows.columns else F.array().cast("array<bigint>")
+    limits = F.col("limits") if "limits" in rows.columns else F.lit(None).cast("array<bigint>")
     rows = rows.select("dim", lot.alias("lot"), "row", "vec_id", "label", limits.alias("limits"), "v")
     full = rows.groupBy("dim", "lot").agg(F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
@@ -83,20 +90,56 @@ def packed(rows: DataFrame, per_block: int) -> DataFrame:
     return dealt.repartition("dim", "lot", "block").groupBy("dim", "lot", "block").applyInArrow(pack, PACKED)
 
 
-def meetings(queries: DataFrame, lists: DataFrame, same_lot: bool = False) -> DataFrame:
-    """Rows of (columns of lists, q_ columns of queries): every query block with the blocks it has to meet."""
+def _places(blocks: DataFrame, on: list[str]) -> DataFrame:
+    """The addresses of blocks with their number and how many there are, by length or lot: a small row for each block."""
+    each = Window.partitionBy(*on)
+    order = each.orderBy(*[c for c in ("lot", "block") if c not in on])
+    return blocks.select("dim", "lot", "block").withColumns({"n": F.row_number().over(order) - 1, "many": F.count("*").over(each)})
+
+
+def tiles(queries: DataFrame, lists: DataFrame, same_lot: bool = False) -> DataFrame:
+    """The rows of both with their tile, in the order in which tasks read them; every query block meets the blocks it has to."""
+    spark = queries.sparkSession
     on = ["dim", "lot"] if same_lot else ["dim"]
-    # the addresses of the blocks of a length or lot: one for each BLOCK rows
-    places = lists.groupBy(*on).agg(F.collect_list(F.struct(F.col("lot").alias("l"), F.col("block").alias("b"))).alias("places"))
-    own = ["size", "row", "vec_id", "label", "limits", "kind", "data"]
-    sent = queries.join(places, on).withColumn("to", F.explode("places"))
-    sent = sent.select(
-        "dim", F.col("to.l").alias("lot"), F.col("to.b").alias("block"), F.pmod(F.xxhash64("row"), F.lit(COPIES)).alias("copy"),
-        *[F.col(c).alias(f"q_{c}") for c in own],
-    )
-    spread = lists.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
-    joined = sent.join(spread, ["dim", "lot", "block", "copy"])
-    return joined.select("dim", *own, *[f"q_{c}" for c in own])
+    asked, there = _places(queries, on), _places(lists, on)
+    counts = asked.groupBy(*on).agg(F.max("many").alias("asked")).join(there.groupBy(*on).agg(F.max("many").alias("there")), on)
+    pairs = counts.agg(F.sum(F.col("asked") * F.col("there"))).first()[0] or 0
+    # as large as tiles may be, or smaller so that there are tiles for all task slots
+    share = max(1, pairs // (WAVES * spark.sparkContext.defaultParallelism))
+    down = min(TILE_BLOCKS, max(1, int(share**0.5)))
+    across = min(TILE_QUERIES, max(1, share // down))
+    counts = counts.withColumns({"rows_": F.ceil(F.col("asked") / across), "columns_": F.ceil(F.col("there") / down)})
+    needed = max(1, counts.agg(F.sum(F.col("rows_") * F.col("columns_"))).first()[0] or 0)
+
+    def side(rows: DataFrame, places: DataFrame, kind: int, per: int, own: str, other: str) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows_" if other == "q" else "columns_") - 1))
+        sized = places.join(counts.select(*on, "rows_", "columns_"), on)
+        addressed = sized.withColumns({own: F.floor(F.col("n") / per), "side": F.lit(kind)}).withColumn(other, spread)
+        # tiles of a length or lot go to partitions that follow one another
+        tile = F.pmod(F.xxhash64(*on) + F.col("q") * F.col("columns_") + F.col("l"), F.lit(needed)).cast("int")
+        addressed = addressed.select("dim", "lot", "block", F.col(on[-1]).alias("of"), "q", "l", "side", tile.alias("tile"))
+        return rows.join(addressed, ["dim", "lot", "block"])
+
+    both = side(queries, asked, 0, across, "q", "l").unionByName(side(lists, there, 1, down, "l", "q"))
+    order = ["dim", "of", "q", "l", "side", "lot", "block"]
+    return both.repartitionById(int(needed), F.col("tile")).sortWithinPartitions(*order).select(*order[1:5], *FIELDS)
+
+
+def meetings(queries: DataFrame, lists: DataFrame, read: Callable, schema: str, same_lot: bool = False) -> DataFrame:
+    """What ``read`` finds in tiles: it takes the query blocks of one and an iterator of its blocks and gives batches."""
+
+    def of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ({n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)} for batch in batches for i in range(batch.num_rows))
+        asked: list[Block] = []
+        for (*_, side), part in groupby(rows, key=lambda r: (r["dim"], r["of"], r["q"], r["l"], r["side"])):
+            blocks = (Block(*[r[n] for n in FIELDS]) for r in part)
+            if side == 0:
+                asked = list(blocks)
+            elif asked:
+                yield from read(asked, blocks)
+                asked = []
+
+    return tiles(queries, lists, same_lot).mapInArrow(of_tiles, schema)
 
 
 class Block:
@@ -116,24 +159,14 @@ class Block:
         """Whether products with the other block are exact in floating point."""
         return self.largest * other.largest * max(1, self.values.shape[1]) < EXACT
 
-    def products(self, other: Block) -> np.ndarray:
-        """Inner products of this block's vectors (rows) with the other's (columns), as long."""
-        if self.exact(other):
-            return np.rint(self.values.astype(np.float64) @ other.values.astype(np.float64).T).astype(np.int64)
-        return self.values.astype(np.int64) @ other.values.astype(np.int64).T
-
+    def kind_for(self, other: Block) -> type:
+        """The narrowest type of floating point in which products with the other block are exact, else the widest."""
+        return np.float32 if self.largest * other.largest * max(1, self.values.shape[1]) < EXACT_SHORT else np.float64
 
-def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, Block]]:
-    """(query block, block) of the rows of meetings; a block that comes again is not unpacked again."""
-    held, at = None, None
-    for batch in batches:
-        names = batch.schema.names
-        for i in range(batch.num_rows):
-            r = {n: batch.column(k)[i].as_py() for k, n in enumerate(names)}
-            mine = [r[n] for n in ("dim", "size", "row", "vec_id", "label", "limits", "kind", "data")]
-            if at != (r["dim"], r["row"]):
-                held, at = Block(*mine), (r["dim"], r["row"])
-            yield Block(r["dim"], *[r[f"q_{n}"] for n in ("size", "row", "vec_id", "label", "limits", "kind", "data")]), held
+    def products(self, other: Block) -> np.ndarray:
+        """Inner products of this block's vectors (rows) with the other's (columns), whole numbers: as floating point where that is exact, else as long."""
+        kind = self.kind_for(other) if self.exact(other) else np.int64
+        return self.values.astype(kind) @ other.values.astype(kind).T
 
 
 def best(scores: np.ndarray, vec_id: np.ndarray, k: int) -> np.ndarray:
@@ -144,6 +177,33 @@ def best(scores: np.ndarray, vec_id: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((vec_id[places], -scores[places]))][:k]
 
 
+class Best:
+    """The k best (score, vec_id) of each group met so far; groups are numbered from 0."""
+
+    def __init__(self, groups: int, k: int):
+        self.k = k
+        self.group = self.vec_id = self.score = np.zeros(0, np.int64)
+        self.bar = np.full(groups, -np.inf)  # the k-th best score of a group, once there is one
+
+    def add(self, group: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> None:
+        group, vec_id, score = np.concatenate([self.group, group]), np.concatenate([self.vec_id, vec_id]), np.concatenate([self.score, score])
+        order = np.lexsort((vec_id, -score, group))
+        group = group[order]
+        kept = np.arange(len(group)) - np.searchsorted(group, group) < self.k
+        self.group, self.vec_id, self.score = group[kept], vec_id[order[kept]], score[order[kept]]
+        counts = np.bincount(self.group, minlength=len(self.bar))
+        full = counts >= self.k
+        self.bar[full] = self.score[np.cumsum(counts)[full] - 1]
+
+
+def reached(scores: np.ndarray, alive: np.ndarray, k: int, bar: np.ndarray) -> np.ndarray:
+    """``bar``, or where there is none yet the k-th best score of a row among those alive."""
+    n = scores.shape[1]
+    if n <= k or (bar > -np.inf).all():
+        return bar
+    return np.maximum(bar, np.partition(np.where(alive, scores, -np.inf), n - k, axis=1)[:, n - k])
+
+
 def batch_of(columns: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
     """A batch of long columns from their parts."""
     whole = {n: np.concatenate(parts) if parts else np.zeros(0, np.int64) for n, parts in columns.items()}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.blocks import BLOCK, QUERY_BLOCK, batch_of, best, in_lots, lot_counts, meetings, met, packed, whole_vectors
+from quillmask.llm.blocks import BLOCK, QUERY_BLOCK, Best, Block, batch_of, in_lots, lot_counts, meetings, packed, reached, whole_vectors
 from quillmask.llm.common import Scratch, q
 
 POSITIVES = 5
@@ -56,47 +56,77 @@ def top(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def numbered(blocks: list[Block]) -> tuple[list[np.ndarray], dict[str, int]]:
+    """The labels of blocks as numbers, and the number of each."""
+    codes: dict[str, int] = {}
+    return [b.coded(codes) for b in blocks], codes
+
+
 def positives_in(k: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, vec_id, score) of the k best rows of an anchor's label in a block."""
-        for anchors, block in met(batches):
-            codes: dict[str, int] = {}
-            labels, own = block.coded(codes), anchors.coded(codes)
-            scores = anchors.products(block)
-            out: dict[str, list] = {"row": [], "vec_id": [], "score": []}
-            for i in range(len(own)):
-                mates = np.flatnonzero((labels == own[i]) & (block.vec_id != anchors.vec_id[i]))
-                mates = mates[best(scores[i, mates], block.vec_id[mates], k)]
-                out["row"].append(np.full(len(mates), anchors.row[i]))
-                out["vec_id"].append(block.vec_id[mates])
-                out["score"].append(scores[i, mates])
-            yield batch_of(out)
+    def read(asked: list[Block], blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        """(row, vec_id, score) of the k best rows of an anchor's label in a tile."""
+        own, codes = numbered(asked)
+        kept = [Best(len(anchors.row), k) for anchors in asked]
+        for block in blocks:
+            labels = block.coded(codes)
+            for anchors, label, mates in zip(asked, own, kept, strict=True):
+                scores = anchors.products(block)
+                alive = (labels[None, :] == label[:, None]) & (block.vec_id[None, :] != anchors.vec_id[:, None])
+                ranked = scores if scores.dtype.kind == "f" else scores.astype(np.float64)
+                bar = reached(ranked, alive, k, mates.bar.astype(ranked.dtype))
+                at, rows = np.nonzero(alive & (ranked >= bar[:, None]))
+                mates.add(at, block.vec_id[rows], scores[at, rows].astype(np.int64))
+        for anchors, mates in zip(asked, kept, strict=True):
+            yield batch_of({"row": [anchors.row[mates.group]], "vec_id": [mates.vec_id], "score": [mates.score]})
 
     return read
 
 
+class Slots:
+    """The slots of a block of anchors, and the k best rows of other labels met so far in each."""
+
+    def __init__(self, anchors: Block, label: np.ndarray, k: int, low: int, high: int):
+        self.anchors, self.label = anchors, label
+        limits = [np.array(p, np.int64) for p in anchors.limits]
+        upper = [np.unique(hundredths(p, high)) for p in limits]
+        self.sizes = np.array([len(u) for u in upper])
+        self.upper = np.array([np.pad(u, (0, self.sizes.max() - len(u)), mode="edge") for u in upper])
+        self.least = np.array([(-hundredths(-p, low)).min() for p in limits])
+        self.first = np.cumsum(self.sizes) - self.sizes  # the number of an anchor's lowest slot
+        self.best = Best(int(self.sizes.sum()), k)
+
+    def add(self, block: Block, labels: np.ndarray) -> None:
+        scores = self.anchors.products(block)
+        kind = scores.dtype if scores.dtype.kind == "f" else np.dtype(np.float64)
+        # below the k best of the lowest slot there is nothing to be found; floating point rounds limits and scores alike
+        least = np.maximum(self.least, self.best.bar[self.first]).astype(kind)[:, None]
+        at, rows = np.nonzero((scores >= least) & (scores <= self.upper[:, -1].astype(kind)[:, None]))
+        score = scores[at, rows].astype(np.int64)
+        kept = (self.label[at] != labels[rows]) & (self.anchors.vec_id[at] != block.vec_id[rows])
+        kept &= (score >= self.least[at]) & (score <= self.upper[at, -1])
+        at, rows, score = at[kept], rows[kept], score[kept]
+        slot = self.first[at]  # of the smallest limit that is not below the score
+        for limit in self.upper.T:
+            slot += score > limit[at]
+        kept = score >= self.best.bar[slot]
+        self.best.add(slot[kept], block.vec_id[rows[kept]], score[kept])
+
+    def rows(self) -> pa.RecordBatch:
+        at = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.best.group]
+        return batch_of({"row": [self.anchors.row[at]], "slot": [self.best.group - self.first[at]], "vec_id": [self.best.vec_id], "score": [self.best.score]})
+
+
 def negatives_in(k: int, low: int, high: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, slot, vec_id, score) of the k best rows of other labels in each slot of a block."""
-        for anchors, block in met(batches):
-            codes: dict[str, int] = {}
-            labels, own = block.coded(codes), anchors.coded(codes)
-            scores = anchors.products(block)
-            out: dict[str, list] = {"row": [], "slot": [], "vec_id": [], "score": []}
-            for i in range(len(own)):
-                p = np.array(anchors.limits[i], np.int64)
-                upper, lower = np.unique(hundredths(p, high)), -hundredths(-p, low)
-                inside = (scores[i] <= upper[-1]) & (scores[i] >= lower.min()) & (labels != own[i]) & (block.vec_id != anchors.vec_id[i])
-                others = np.flatnonzero(inside)
-                slot = np.searchsorted(upper, scores[i, others])  # of the smallest limit that is not below the score
-                for s in np.unique(slot):
-                    kept = others[slot == s]
-                    kept = kept[best(scores[i, kept], block.vec_id[kept], k)]
-                    out["row"].append(np.full(len(kept), anchors.row[i]))
-                    out["slot"].append(np.full(len(kept), s))
-                    out["vec_id"].append(block.vec_id[kept])
-                    out["score"].append(scores[i, kept])
-            yield batch_of(out)
+    def read(asked: list[Block], blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        """(row, slot, vec_id, score) of the k best rows of other labels in each slot of a tile."""
+        own, codes = numbered(asked)
+        held = [Slots(anchors, label, k, low, high) for anchors, label in zip(asked, own, strict=True)]
+        for block in blocks:
+            labels = block.coded(codes)
+            for slots in held:
+                slots.add(block, labels)
+        for slots in held:
+            yield slots.rows()
 
     return read
 
@@ -120,14 +150,14 @@ def mine(
     lots = scratch.stored(lot_counts(rows))
     lists = scratch.stored(packed(in_lots(rows, lots), BLOCK))
     asked = scratch.stored(packed(in_lots(anchors, lots), QUERY_BLOCK))
-    mates = scratch.stored(meetings(asked, lists, same_lot=True).mapInArrow(positives_in(positives), "row bigint, vec_id bigint, score bigint"))
+    mates = scratch.stored(meetings(asked, lists, positives_in(positives), "row bigint, vec_id bigint, score bigint", same_lot=True))
     pair = F.struct((-F.col("score")).alias("down"), "vec_id", "score")
     best_mates = top(mates, ["row"], positives).groupBy("row").agg(F.sort_array(F.collect_list(pair)).alias("mates"))
     held = scratch.stored(anchors.join(best_mates, "row").withColumn("limits", F.transform("mates", lambda m: m["score"])))
 
     windows = scratch.stored(packed(held, QUERY_BLOCK))
     slots = "row bigint, slot bigint, vec_id bigint, score bigint"
-    near = scratch.stored(meetings(windows, lists).mapInArrow(negatives_in(negatives, low, high), slots))
+    near = scratch.stored(meetings(windows, lists, negatives_in(negatives, low, high), slots))
     scratch.clear(held, near)
     kept = top(near, ["row", "slot"], negatives)
     merged = kept.groupBy("row").agg(F.sort_array(F.collect_list(pair)).alias("slots"))

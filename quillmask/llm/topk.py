@@ -8,10 +8,12 @@ values are at their worst for its lower bound, and at the list's frontier for it
 upper one. After each step, candidates whose upper bound lies below a query's
 k-th best lower bound are out, and those that no query of the block needs leave
 it. Reading stops when no candidate but the best k can qualify, or the lists
-end; the values not yet read of those that are left resolve their scores. The
-best k of all blocks are merged by query.
+end; the values not yet read of those that are left resolve their scores.
 
-Queries are read in blocks against all blocks of candidates.
+A task reads a tile: some blocks of candidates, one after the other, for some
+blocks of queries. The k best of the blocks before are a query's lower bound in
+the next, and lists are read on in one step as deep as searches had to be read
+before without any candidate falling out. The best k of a tile are merged by query.
 
 Defined cases: vectors that are null or hold null or non-finite values take no
 part, nor do rows with a null id; a query meets only vectors of its length (an
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmask.llm import blocks
-from quillmask.llm.blocks import Block, batch_of, best, meetings, met, packed, whole_vectors
+from quillmask.llm.blocks import Best, Block, batch_of, best, meetings, packed, reached, whole_vectors
 from quillmask.llm.common import Scratch
 
 FIRST_STEP = 64  # entries of each list; every step makes the depth four times as large
@@ -44,57 +46,81 @@ class Lists:
 
     def __init__(self, block: Block):
         self.block = block
-        self.x = block.values.astype(np.float64)
-        n = len(self.x)
-        order = np.argsort(self.x, axis=0, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-        # places of a candidate's values in the lists read from the top, then in those from the bottom
-        self.rank = np.hstack([n - 1 - rank, rank])
-        up = np.take_along_axis(self.x, order, axis=0)
-        self.lists = np.hstack([up[::-1], up])
-        self.depth = 0  # that the last search has read
+        self.depth = self.useful = 0  # that the last search has read, and by which it left half
+        self.made: dict[type, tuple[np.ndarray, ...]] = {}
+
+    def of_kind(self, kind: type) -> tuple[np.ndarray, ...]:
+        """Twice the values; their places in the lists read from the top, then in those from the bottom; these lists."""
+        if kind not in self.made:
+            values = np.ascontiguousarray(self.block.values.T)
+            n = values.shape[1]
+            order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[None, :], axis=1)
+            up = np.take_along_axis(values, order, axis=1).T.astype(kind)
+            x = self.block.values.astype(kind)
+            self.made[kind] = np.hstack([x, x]), np.hstack([(n - 1 - rank).T, rank.T]), np.hstack([up[::-1], up])
+        return self.made[kind]
 
     def nearest(self, queries: Block, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, candidate ids, scores) of the best k of each query."""
-        q = queries.values.astype(np.float64)
+        at, ids, scores = self.found(queries, k, np.full(len(queries.values), -np.inf))
+        for i in range(len(queries.values)):
+            rows = np.flatnonzero(at == i)
+            rows = rows[best(scores[rows], ids[rows], k)]
+            yield i, ids[rows], scores[rows]
+
+    def found(self, queries: Block, k: int, bar: np.ndarray, step: int = FIRST_STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate id, score) of all that may be among a query's best k; ``bar`` is a score that each of these reaches.
+
+        ``useful`` is afterwards the depth by which half of the candidates were out for all queries.
+        """
+        n, kind = len(self.block.values), queries.kind_for(self.block)
+        bar, alive = bar.astype(kind), queries.vec_id[:, None] != self.block.vec_id[None, :]
+        self.useful = n
+        if n <= k or step >= n:
+            return self.whole(queries, k, bar, alive)
+        q = queries.values.astype(kind)
         both = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-        n = len(self.x)
-        margin = 0.0 if queries.exact(self.block) else 2.0**-44 * (np.abs(both) @ np.abs(self.lists).max(axis=0, initial=0))[:, None]
-        own = queries.vec_id[:, None] == self.block.vec_id[None, :]
-        left = np.arange(n)
-        known = np.zeros((len(q), n))
-        alive, self.depth, step = ~own, 0, FIRST_STEP
+        values, ranks, lists = self.of_kind(kind)
+        margin = kind(0) if queries.exact(self.block) else 2.0**-44 * (np.abs(both) @ np.abs(lists).max(axis=0, initial=0))[:, None]
+        left, known, self.depth = np.arange(n), np.zeros((len(q), n), kind), 0
         while len(left) > k and self.depth < n:
             before, self.depth = self.depth, min(n, self.depth + step)
             step = 3 * self.depth
-            rank, x = self.rank[left], np.hstack([self.x[left]] * 2)
+            rank, x = ranks[left], values[left]
             read = rank < self.depth
-            known += both @ np.where(read & (rank >= before), x, 0.0).T
-            unread = (~read).astype(np.float64)
-            low = known + (both * self.lists[-1]) @ unread.T - margin
-            high = known + (both * self.lists[self.depth - 1]) @ unread.T + margin
-            low[~alive] = -np.inf
-            bar = np.partition(low, len(left) - k, axis=1)[:, len(left) - k]
-            alive &= high >= bar[:, None]
+            known += both @ np.where(read & (rank >= before), x, kind(0)).T
+            unread = (~read).astype(kind)
+            if not (bar > -np.inf).all():
+                bar = reached(known + (both * lists[-1]) @ unread.T - margin, alive, k, bar)
+            alive &= known + (both * lists[self.depth - 1]) @ unread.T + margin >= bar[:, None]
             needed = alive.any(axis=0)
+            if 2 * np.count_nonzero(needed) < n:
+                self.useful = min(self.useful, self.depth)
             left, alive, known = left[needed], alive[:, needed], known[:, needed]
-            if (alive.sum(axis=1) <= k).all():
+            if (np.count_nonzero(alive, axis=1) <= k).all():
                 break
-        yield from self.resolved(queries, both, left, alive, known, k)
-
-    def resolved(self, queries: Block, both: np.ndarray, left: np.ndarray, alive: np.ndarray, known: np.ndarray, k: int):
-        """Add what is not read yet of the candidates that are left."""
-        ids = self.block.vec_id[left]
-        if queries.exact(self.block):
-            rest = np.where(self.rank[left] >= self.depth, np.hstack([self.x[left]] * 2), 0.0)
-            scores = np.rint(known + both @ rest.T).astype(np.int64)
-        else:
-            scores = queries.values.astype(np.int64) @ self.block.values[left].astype(np.int64).T
-        for i in range(len(queries.values)):
-            rows = np.flatnonzero(alive[i])
-            rows = rows[best(scores[i, rows], ids[rows], k)]
-            yield i, ids[rows], scores[i, rows]
+        # what is not read yet of the candidates that are left
+        if not queries.exact(self.block):
+            known = queries.values.astype(np.int64) @ self.block.values[left].astype(np.int64).T
+        elif self.depth < n:
+            known = known + both @ np.where(ranks[left] < self.depth, kind(0), values[left]).T
+        return self.chosen(alive, left, known)
+
+    def whole(self, queries: Block, k: int, bar: np.ndarray, alive: np.ndarray):
+        """The lists read to their ends in one step, so bounds and scores are one."""
+        n, self.depth = len(self.block.values), len(self.block.values)
+        scores = queries.products(self.block)
+        # floating point rounds both alike, so none that reaches the bar is lost
+        ranked = scores.astype(bar.dtype, copy=False)
+        alive &= ranked >= reached(ranked, alive, k, bar)[:, None]
+        return self.chosen(alive, np.arange(n), scores)
+
+    def chosen(self, alive: np.ndarray, left: np.ndarray, scores: np.ndarray):
+        at, rows = np.nonzero(alive)
+        found = scores[at, rows]
+        return at, self.block.vec_id[left[rows]], found if found.dtype == np.int64 else np.rint(found).astype(np.int64)
 
 
 def search(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -104,20 +130,19 @@ def search(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id",
     lists = scratch.stored(packed(rows, blocks.BLOCK))
     queries = scratch.stored(packed(rows.filter(is_query), blocks.QUERY_BLOCK))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, None
-        for own, block in met(batches):
-            if at is not block:
-                held, at = Lists(block), block
-            out: dict[str, list] = {"row": [], "query_id": [], "vec_id": [], "score": []}
-            for i, ids, scores in held.nearest(own, k):
-                out["row"].append(np.full(len(ids), own.row[i]))
-                out["query_id"].append(np.full(len(ids), own.vec_id[i]))
-                out["vec_id"].append(ids)
-                out["score"].append(scores)
-            yield batch_of(out)
-
-    near = scratch.stored(meetings(queries, lists).mapInArrow(read, "row bigint, query_id bigint, vec_id bigint, score bigint"))
+    def read(asked: list[Block], candidates: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        kept, step = [Best(len(own.row), k) for own in asked], FIRST_STEP
+        for block in candidates:
+            held = Lists(block)
+            step = max(FIRST_STEP, step // 4)
+            for own, best_of in zip(asked, kept, strict=True):
+                best_of.add(*held.found(own, k, best_of.bar, step))
+                step = held.useful
+        for own, best_of in zip(asked, kept, strict=True):
+            at = best_of.group
+            yield batch_of({"row": [own.row[at]], "query_id": [own.vec_id[at]], "vec_id": [best_of.vec_id], "score": [best_of.score]})
+
+    near = scratch.stored(meetings(queries, lists, read, "row bigint, query_id bigint, vec_id bigint, score bigint"))
     scratch.clear(near)
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
