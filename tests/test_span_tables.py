@@ -70,6 +70,36 @@ def test_one_cell_of_many_spans_is_not_one_task(spark):
     assert "hashpartitioning(cell" in plan and "__bin" in plan
 
 
+def test_spans_are_found_once(spark):
+    """However often a plan reads them, and with a shuffle only where no cell is wider than a bin."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return spans(spark, rows).mapInArrow(count, "cell string, start int, end int")
+
+    for rows in (random_rows(4), [("a", 0, 3), ("a", 600, 700), ("a", 2, 700), ("b", 1, 2)]):
+        before = seen.value
+        joined = islands(counted(rows), "cell", n=F.count("*"))
+        assert sum(r["n"] for r in joined.collect()) == len(rows) and seen.value - before == len(rows)
+        before = seen.value
+        assert uncovered(counted(rows), counted(rows), "cell").count() == 0 and seen.value - before == 2 * len(rows)
+    short = islands(spans(spark, random_rows(4)), "cell", n=F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert short.count("Exchange hashpartitioning") == 1 and "Join" not in short
+
+
+def test_spans_without_a_place_are_left_out(spark):
+    """And columns keep their order and values, whatever their names."""
+    rows = spark.createDataFrame([("a", "x", 0, 2, 7), ("a", "y", None, 2, 8), (None, "z", 0, 2, 9), ("a", "w", 9, 12, 10)], "cell string, `__kind` string, start int, `end` int, `a.b` int")
+    left = uncovered(rows, spans(spark, [("a", 9, 12), ("a", None, 99), (None, 0, 9)]), "cell")
+    assert left.columns == rows.columns and [tuple(r) for r in left.collect()] == [("a", "x", 0, 2, 7)]
+    assert sorted(tuple(r) for r in islands(rows, "cell", n=F.count("*")).collect()) == [("a", 0, 2, 1), ("a", 9, 12, 1)]
+
+
 def test_exact_label_takes_the_greatest(spark):
     own = spans(spark, [("a", 0, 2), ("a", 0, 3), ("b", 0, 2)])
     named = spark.createDataFrame([("a", 0, 2, "X"), ("a", 0, 2, "Z"), ("a", 0, 2, None)], "cell string, start int, end int, label string")
