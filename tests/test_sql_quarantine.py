@@ -48,6 +48,19 @@ def test_functions_work_in_filters_and_refuse_bad_settings(spark):
         register_functions(spark, "a b")
 
 
+def test_calls_on_one_value_share_their_search(spark):
+    """All searches stand in one projection, as equal columns, which Spark computes once."""
+    register_functions(spark, "shared_", style=STYLE_ENTITY_TAGS, threshold=0.45)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    got = df.selectExpr("id", "shared_redact(text) AS r", "size(shared_detect(text)) AS n", "shared_leftovers(text) AS l")
+    columns = got._jdf.queryExecution().optimizedPlan().children().apply(0).expressions()
+    columns = [columns.apply(i) for i in range(columns.size())]
+    searches = [c.children().apply(0).canonicalized() for c in columns if "in_found" in c.toString()[-20:]]
+    assert len(searches) == 3 and all(s.equals(searches[0]) for s in searches)
+    assert sum("GIR" in c.toString() for c in columns) == 3
+    assert spark.conf.get("spark.sql.subexpressionElimination.enabled") == "true"
+
+
 def csv_of(folder, text, name="a.csv"):
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, name), "w", newline="") as f:
